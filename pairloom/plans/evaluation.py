@@ -17,16 +17,14 @@ def score_generations(
 ) -> DataFrame:
     """Result records: cleaned text, BLEU, pass rate, judge score, latency and memory.
 
-    ``generations`` has one row per (*keys, model); ``references`` one per sample_id.
+    ``generations`` has one row per (*keys, model); ``references`` one per sample_id. Texts are
+    scored where they are read; later joins move them only if the caller keeps them.
     """
     cleaned = clean_output(generations)
     scored = bleu(cleaned, references, ["sample_id"], hyp_col="generated")
+    measures = {c: F.round(c, 1) for c in ("latency_ms", "memory_mb") if c in scored.columns}
     rated = scored.withColumns(
-        {
-            "quality_score": parse_judge_score(F.col("judge_response")),
-            "latency_ms": F.round("latency_ms", 1),
-            "memory_mb": F.round("memory_mb", 1),
-        }
+        {"quality_score": parse_judge_score(F.col("judge_response")), **measures}
     ).drop("judge_response")
     return test_pass_rate(rated, outcomes, [*keys, "model"])
 

@@ -73,7 +73,7 @@ EXAMPLES = T.StructType(
     ]
 )
 
-# Leaves of test cases are of mixed type, so both stay JSON text.
+# Inputs and expected values of test cases are JSON of any type.
 EVAL_SAMPLE = T.StructType(
     [
         T.StructField("id", T.LongType()),
@@ -86,8 +86,8 @@ EVAL_SAMPLE = T.StructType(
             T.ArrayType(
                 T.StructType(
                     [
-                        T.StructField("input", T.StringType()),
-                        T.StructField("expected", T.StringType()),
+                        T.StructField("input", T.VariantType()),
+                        T.StructField("expected", T.VariantType()),
                     ]
                 )
             ),

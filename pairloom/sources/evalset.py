@@ -27,5 +27,8 @@ def docstring_samples(df: DataFrame) -> DataFrame:
 def explode_test_cases(df: DataFrame) -> DataFrame:
     """One row per test case; input and expected value are JSON text."""
     return df.select("id", F.posexplode("test_cases").alias("case_idx", "case")).select(
-        "id", "case_idx", "case.input", "case.expected"
+        "id",
+        "case_idx",
+        F.to_json("case.input").alias("input"),
+        F.to_json("case.expected").alias("expected"),
     )

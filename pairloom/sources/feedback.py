@@ -4,9 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.schemas import FEEDBACK_RAW
+from pairloom.sources import csv_format
 
 NAME_PATTERN = "feedback_*.csv"
-_CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
 
 
 def load_feedback_csv(spark: SparkSession, directory: str, partitioned: bool = False) -> DataFrame:
@@ -15,21 +15,15 @@ def load_feedback_csv(spark: SparkSession, directory: str, partitioned: bool = F
     ``partitioned`` reads the layout of ``write_feedback_csv``. Rows carry ``file`` for ordering by
     name; they are not sorted.
     """
-    reader = (
-        spark.read.schema(FEEDBACK_RAW)
-        .options(**_CSV)
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", "_corrupt")
-    )
     prefix = "file=" if partitioned else ""
+    reader = spark.read.schema(FEEDBACK_RAW).options(**csv_format.READ)
     rows = reader.csv(f"{directory}/{prefix}{NAME_PATTERN}")
+    # A bare empty field is an empty text here. A row that ends early lacks its rating.
+    texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in FEEDBACK_RAW.names[:-1]]
     name = F.regexp_extract(F.col("_metadata.file_path"), rf"/{prefix}(feedback_[^/]*\.csv)", 1)
     return rows.select(
         F.url_decode(name).alias("file"),
-        "timestamp",
-        "task",
-        "prompt",
-        "response",
+        *texts,
         F.col("rating").alias("rating_raw"),
     )
 
@@ -37,9 +31,9 @@ def load_feedback_csv(spark: SparkSession, directory: str, partitioned: bool = F
 def write_feedback_csv(df: DataFrame, directory: str) -> None:
     """Rows below one folder per daily file name (column ``file``)."""
     columns = ["file", *FEEDBACK_RAW.names]
-    df.select(*columns).write.mode("append").options(**_CSV).option("quoteAll", True).partitionBy(
-        "file"
-    ).csv(directory)
+    df.select(*columns).write.mode("append").options(**csv_format.WRITE).partitionBy("file").csv(
+        directory
+    )
 
 
 def feedback_json_sink(rows: DataFrame, pairs: DataFrame, out_dir: str) -> list[str]:

@@ -4,21 +4,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from pairloom.schemas import EXAMPLES, PAIRS
+from pairloom.sources import csv_format
 
 # A quoted field may span lines, so a file is read by one task: keep files small.
 ROWS_PER_FILE = 1_000_000
-_CSV = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "nullValue": "\u0000"}
 
 
 def write_pairs_csv(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
-    """CSV with a header and every field quoted; quotes are doubled."""
-    options = {**_CSV, "quoteAll": True, "emptyValue": "", "maxRecordsPerFile": rows_per_file}
-    df.write.mode("errorifexists").options(**options).csv(path)
+    """CSV with a header; quotes inside fields are doubled."""
+    df.write.mode("errorifexists").options(**csv_format.WRITE).option(
+        "maxRecordsPerFile", rows_per_file
+    ).csv(path)
 
 
 def read_pairs_csv(spark: SparkSession, path: str, schema: T.StructType = PAIRS) -> DataFrame:
-    options = {**_CSV, "multiLine": True, "enforceSchema": False, "emptyValue": ""}
-    return spark.read.schema(schema).options(**options).csv(path)
+    return spark.read.schema(schema).options(**csv_format.READ).csv(path)
 
 
 def write_examples(df: DataFrame, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from pairloom.schemas import FEEDBACK_RAW
+from pairloom.sources import csv_format
 
 ROWS_PER_FILE = 5_000_000
 
@@ -21,7 +22,7 @@ def read_feedback_stream(
     """New files of a folder as a stream."""
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.options(header=True, quote='"', escape='"', multiLine=True, emptyValue="")
+        reader = reader.options(**csv_format.READ)
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)
     if files_per_trigger:
