@@ -285,7 +285,7 @@ def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract_function(spark: SparkSession, d: str) -> DataFrame:
-    return t.raw_responses(spark, d).select("doc_id", cleaning.extract_function(F.col("raw")).alias("generated"))
+    return t.raw_responses(spark, d).select("doc_id", cleaning.extract_function("raw").alias("generated"))
 
 
 def clean_docstring(spark: SparkSession, d: str) -> DataFrame:

@@ -1,92 +1,59 @@
 """Sentence BLEU as one expression per row: no shuffle of n-grams, no Python.
 
 The clipped count of an order is a multiset intersection. It is computed as the common distinct
-n-grams plus the common tags of repeated ones (``repeat_tags``), both by hash set inside
-``array_intersect``.
+n-grams plus the common tags of repeated ones, both by hash set inside ``array_intersect``.
+Arguments are SQL expressions, see ``ngrams``.
 """
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from pairloom.functions.text import extend_ngrams, let, repeat_tags, run_lengths
+from pairloom.functions.ngrams import let, per_order, repeat_tags, run_lengths
 from pairloom.schemas import BLEU_FLOOR, BLEU_ORDER
 
 # Up to this many common words, looking each token up costs less than joining its n-grams.
 MASK_LIMIT = 64
 
 
-def reference_profile(toks: Column, max_n: int = BLEU_ORDER) -> Column:
+def reference_profile(toks: str, max_n: int = BLEU_ORDER) -> str:
     """Token count, and per order the distinct n-grams and repeat tags of a reference."""
 
-    def level(grams: Column, n: int) -> Column:
-        own = F.struct(
-            F.array_distinct(grams).alias("grams"), repeat_tags(run_lengths(grams)).alias("tags")
-        )
-        if n == max_n:
-            return F.array(own)
-        return let(
-            extend_ngrams(grams, toks, n + 1),
-            lambda longer: F.concat(F.array(own), level(longer, n + 1)),
+    def entry(grams: str, n: int) -> str:
+        return (
+            f"named_struct('grams', array_distinct({grams}), 'tags', {repeat_tags(run_lengths(grams))})"
         )
 
-    return F.struct(F.size(toks).alias("length"), level(toks, 1).alias("orders"))
+    return f"named_struct('length', size({toks}), 'orders', {per_order(toks, max_n, entry)})"
 
 
-def clipped_counts(toks: Column, profile: Column, max_n: int = BLEU_ORDER) -> Column:
+def clipped_counts(toks: str, profile: str, max_n: int = BLEU_ORDER) -> str:
     """Clipped n-gram matches of a hypothesis against a reference profile, one entry per order."""
 
-    def clip(grams: Column, n: int) -> Column:
-        ref = profile["orders"][n - 1]
-
-        def repeats(present: Column) -> Column:
-            tags = repeat_tags(run_lengths(present))
-            return F.when(F.size(ref["tags"]) == 0, 0).otherwise(
-                F.size(F.array_intersect(tags, ref["tags"]))
-            )
-
-        return let(
-            F.array_compact(grams),
-            lambda present: F.when(F.size(present) == 0, 0).otherwise(
-                F.size(F.array_intersect(present, ref["grams"])) + repeats(present)
-            ),
-        )
-
-    def level(grams: Column, first: Column, n: int) -> Column:
-        own = F.array(clip(grams, n))
-        if n == max_n:
-            return own
-        return let(
-            extend_ngrams(grams, first, n + 1),
-            lambda longer: F.concat(own, level(longer, first, n + 1)),
-        )
-
-    def masked(common: Column) -> Column:
-        # A token the reference lacks turns every n-gram over it into null.
-        known = F.transform(toks, lambda t: F.when(F.array_contains(common, t), t))
-        return F.when(F.size(common) <= MASK_LIMIT, known).otherwise(toks)
+    def entry(grams: str, n: int) -> str:
+        ref = f"{profile}.orders[{n - 1}]"
+        tags = repeat_tags(run_lengths("present"))
+        repeats = f"if(size({ref}.tags) = 0, 0, size(array_intersect({tags}, {ref}.tags)))"
+        hits = f"size(array_intersect(present, {ref}.grams)) + {repeats}"
+        return let("present", f"array_compact({grams})", f"if(size(present) = 0, 0, {hits})")
 
+    # A token the reference lacks turns every n-gram over it into null.
+    masked = f"transform({toks}, t -> if(array_contains(common, t), t, null))"
     return let(
-        F.array_intersect(toks, profile["orders"][0]["grams"]),
-        lambda common: let(masked(common), lambda kept: level(kept, kept, 1)),
+        "common",
+        f"array_intersect({toks}, {profile}.orders[0].grams)",
+        let("g1", f"if(size(common) <= {MASK_LIMIT}, {masked}, {toks})", per_order("g1", max_n, entry)),
     )
 
 
-def bleu_score(
-    ref_length: Column, hyp_length: Column, clipped: Column, max_n: int = BLEU_ORDER
-) -> Column:
-    """BLEU out of lengths and clipped counts, with the smoothing of zero counts."""
+def bleu_score(toks: str, profile: str, max_n: int = BLEU_ORDER) -> str:
+    """BLEU with smoothing of zero counts; 0 if either text has no token."""
 
-    def log_precision(n: int) -> Column:
-        total = hyp_length - (n - 1)
-        hits = clipped[n - 1]
+    def log_precision(n: int) -> str:
+        total, hits = f"(h - {n - 1})", f"hits[{n - 1}]"
         return (
-            F.when(total <= 0, F.log(F.lit(BLEU_FLOOR)))
-            .when(hits == 0, F.log(F.lit(1.0) / (total * 2)))
-            .otherwise(F.log(hits / total))
+            f"case when {total} <= 0 then ln({BLEU_FLOOR}D)"
+            f" when {hits} = 0 then ln(1D / (2 * {total})) else ln({hits} / {total}) end"
         )
 
-    mean = sum((log_precision(n) for n in range(2, max_n + 1)), log_precision(1)) / max_n
-    brevity = F.least(F.lit(1.0), F.exp(F.lit(1.0) - ref_length / hyp_length))
-    return F.when((ref_length == 0) | (hyp_length == 0), F.lit(0.0)).otherwise(
-        brevity * F.exp(mean)
-    )
+    mean = f"({' + '.join(log_precision(n) for n in range(1, max_n + 1))}) / {max_n}"
+    value = f"least(1D, exp(1D - {profile}.length / h)) * exp({mean})"
+    scored = let("hits", clipped_counts("toks", profile, max_n), value)
+    guarded = f"if(h = 0 or {profile}.length = 0, 0D, {scored})"
+    return let("toks", toks, let("h", "size(toks)", guarded))

@@ -3,7 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import WHITESPACE_CLASS, let, lstrip, strip
+from pairloom.functions.ngrams import let
+from pairloom.functions.text import WHITESPACE, WHITESPACE_CLASS, strip
 
 FENCE_PATTERN = rf"```(?:python)?{WHITESPACE_CLASS}*\n?"
 # One pattern per quote, outermost first; quotes that overlap leave nothing.
@@ -21,49 +22,39 @@ def drop_fences(col: Column) -> Column:
     return F.replace(F.regexp_replace(col, FENCE_PATTERN, ""), F.lit("```"), F.lit(""))
 
 
-def extract_function(col: Column) -> Column:
+def extract_function(col: str) -> Column:
     """The first function of a text: its def line and the lines that are blank or indented deeper.
 
-    Without a def line the whole stripped text is returned. Both ends are always stripped.
+    Without a def line the whole stripped text is returned. Both ends are always stripped. ``col``
+    is a SQL expression, see ``ngrams`` for the reason.
     """
 
-    def indent(line: Column) -> Column:
-        return F.length(line) - F.length(lstrip(line))
-
-    def first_true(flags: Column) -> Column:
-        return F.array_position(flags, F.lit(True)).cast("int")
-
-    def body(lines: Column, start: Column) -> Column:
-        def cut(rest: Column, base: Column) -> Column:
-            leaves = F.transform(rest, lambda x: (lstrip(x) != "") & (indent(x) <= base))
-            return let(
-                first_true(leaves),
-                lambda stop: F.when(stop == 0, rest).otherwise(
-                    F.slice(rest, 1, F.greatest(stop - 1, F.lit(0)))
-                ),
-            )
-
-        head = F.get(lines, start - 1)
-        rest = F.slice(lines, start + 1, F.size(lines))
-        kept = let(rest, lambda r: let(indent(head), lambda b: cut(r, b)))
-        return strip(F.array_join(F.concat(F.array(head), kept), "\n"))
-
-    def search(text: Column) -> Column:
-        found = lambda lines: first_true(
-            F.transform(lines, lambda x: lstrip(x).startswith("def "))
-        )
-        return let(
-            F.split(text, "\n", -1),
-            lambda lines: let(
-                found(lines),
-                lambda at: F.when(at == 0, strip(text)).otherwise(body(lines, at)),
-            ),
-        )
-
-    return let(
-        drop_fences(col),
-        lambda text: F.when(F.contains(text, F.lit("def ")), search(text)).otherwise(strip(text)),
+    def bare(line: str) -> str:
+        return f"trim(LEADING '{WHITESPACE}' FROM {line})"
+
+    def indent(line: str) -> str:
+        return f"(length({line}) - length({bare(line)}))"
+
+    def first(flags: str) -> str:
+        return f"cast(array_position({flags}, true) as int)"
+
+    stripped = f"trim(BOTH '{WHITESPACE}' FROM body)"
+    head = "get(lines, start - 1)"
+    leaves = f"transform(rest, x -> {bare('x')} <> '' and {indent('x')} <= base)"
+    kept = let("stop", first(leaves), "if(stop = 0, rest, slice(rest, 1, greatest(stop - 1, 0)))")
+    cut = let(
+        "rest", "slice(lines, start + 1, size(lines))", let("base", indent(head), f"concat(array({head}), {kept})")
+    )
+    function = let("body", f"array_join({cut}, char(10))", stripped)
+    starts = first(f"transform(lines, x -> startswith({bare('x')}, 'def '))")
+    found = let(
+        "lines",
+        "split(body, char(10), -1)",
+        let("start", starts, f"if(start = 0, {stripped}, {function})"),
     )
+    text = f"replace(regexp_replace({col}, r'{FENCE_PATTERN}', ''), '```', '')"
+    whole = f"if(contains(body, 'def '), {found}, {stripped})"
+    return F.expr(let("body", text, whole))
 
 
 def clean_docstring(col: Column) -> Column:

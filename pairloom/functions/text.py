@@ -1,7 +1,5 @@
 """String, token and array expressions. Everything here stays in the JVM."""
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +10,6 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
 JSON_TOKEN_PATTERN = r'"(?:[^"\\]|\\.)*+"|[^\s,:\[\]{}"]+|[,:\[\]{}]'
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind an expensive value once; a plain reference inside a lambda is evaluated per element."""
-    return F.transform(F.array(value), body)[0]
-
-
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
@@ -35,46 +28,9 @@ def tokens(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def extend_ngrams(grams: Column, toks: Column, n: Column | int) -> Column:
-    """n-grams out of (n-1)-grams and the tokens. Tokens hold no space, so a space separates safely."""
-    shorter = F.slice(grams, 1, F.greatest(F.size(grams) - 1, F.lit(0)))
-    later = F.slice(toks, n, F.greatest(F.size(toks) - (n - 1), F.lit(0)))
-    return F.zip_with(shorter, later, lambda a, b: F.concat(a, F.lit(" "), b))
-
-
-def run_lengths(values: Column) -> Column:
-    """Distinct values with their counts, by sorting: n log n for any text length."""
-
-    def runs(s: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1),
-            lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)),
-        )
-        return let(
-            starts,
-            lambda st: F.zip_with(
-                st,
-                F.concat(F.slice(st, 2, F.size(st)), F.array(F.size(s))),
-                lambda a, b: F.struct(F.get(s, a).alias("value"), (b - a).alias("cnt")),
-            ),
-        )
-
-    empty = F.array().cast("array<struct<value:string,cnt:int>>")
-    return let(F.sort_array(values), lambda s: F.when(F.size(s) == 0, empty).otherwise(runs(s)))
-
-
-def repeat_tags(runs: Column) -> Column:
-    """One tag per occurrence beyond the first, so that multisets intersect like sets."""
-    repeated = F.filter(runs, lambda r: r["cnt"] > 1)
-    return F.flatten(
-        F.transform(
-            repeated,
-            lambda r: F.transform(
-                F.sequence(F.lit(2), r["cnt"]),
-                lambda k: F.concat(r["value"], F.lit(" "), k.cast("string")),
-            ),
-        )
-    )
+def tokens_sql(col: str) -> str:
+    """The same tokens as SQL text; a null text has none."""
+    return f"regexp_extract_all(lower(coalesce({col}, '')), r'{TOKEN_PATTERN}', 0)"
 
 
 def canonical_json(col: Column) -> Column:

@@ -1,12 +1,13 @@
 """Cleaning and scoring of generations and test outcomes."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.bleu import bleu_score, clipped_counts, reference_profile
+from pairloom.functions.bleu import bleu_score, reference_profile
 from pairloom.functions.cleaning import clean_docstring, extract_function
 from pairloom.functions.prompts import chat_prompt, judge_prompt
-from pairloom.functions.text import extend_ngrams, json_equal, let, run_lengths, tokens
+from pairloom.functions.ngrams import per_order, run_lengths
+from pairloom.functions.text import json_equal, tokens, tokens_sql
 from pairloom.operators.joins import BROADCAST_BYTES, lookup_join
 from pairloom.schemas import BLEU_ORDER, CODE_TASK
 
@@ -25,26 +26,21 @@ def ngram_counts(df: DataFrame, key: str, tok: str, max_n: int = BLEU_ORDER) ->
     joined by a space, which no token contains.
     """
 
-    def level(grams: Column, toks: Column, n: int) -> Column:
-        own = F.transform(
-            run_lengths(grams),
-            lambda r: F.struct(F.lit(n).alias("n"), r["value"].alias("gram"), r["cnt"].alias("cnt")),
-        )
-        if n == max_n:
-            return own
-        return let(
-            extend_ngrams(grams, toks, n + 1), lambda longer: F.concat(own, level(longer, toks, n + 1))
+    def entry(grams: str, n: int) -> str:
+        return (
+            f"transform({run_lengths(grams)}, r -> named_struct('n', {n}, 'gram', r.value, 'cnt', r.cnt))"
         )
 
+    grams = F.expr(f"flatten({per_order(f'`{tok}`', max_n, entry)})")
     # The outer form adds no filter that would count every text a second time.
-    rows = df.select(key, F.explode_outer(level(F.col(tok), F.col(tok), 1)).alias("g"))
+    rows = df.select(key, F.explode_outer(grams).alias("g"))
     return rows.where(F.col("g").isNotNull()).select(key, "g.n", "g.gram", "g.cnt")
 
 
 def reference_profiles(refs: DataFrame, on: list[str], col: str = "reference") -> DataFrame:
     """Per reference its length, distinct n-grams and repeat tags; computed once per reference."""
-    toks = refs.select(*on, tokens(F.coalesce(F.col(col), F.lit(""))).alias("_tokens"))
-    return toks.select(*on, reference_profile(F.col("_tokens")).alias("_profile"))
+    toks = refs.select(*on, F.expr(tokens_sql(f"`{col}`")).alias("_tokens"))
+    return toks.select(*on, F.expr(reference_profile("_tokens")).alias("_profile"))
 
 
 def bleu(
@@ -64,19 +60,13 @@ def bleu(
     joined = lookup_join(
         hyps, profiles, on, max_bytes=BROADCAST_BYTES // PROFILE_GROWTH, size_of=refs.select(*on, ref_col)
     )
-    toks = tokens(F.coalesce(F.col(hyp_col), F.lit("")))
-    scored = let(
-        toks,
-        lambda t: bleu_score(
-            F.col("_profile.length"), F.size(t), clipped_counts(t, F.col("_profile"))
-        ),
-    )
-    return joined.withColumn(out, F.round(scored, 4)).drop("_profile")
+    score = F.expr(bleu_score(tokens_sql(f"`{hyp_col}`"), "_profile"))
+    return joined.withColumn(out, F.round(score, 4)).drop("_profile")
 
 
 def clean_output(df: DataFrame, col: str = "raw_response", out: str = "generated") -> DataFrame:
     """Code for code tasks, plain docstring text for the others."""
-    cleaned = F.when(F.col("task") == CODE_TASK, extract_function(F.col(col)))
+    cleaned = F.when(F.col("task") == CODE_TASK, extract_function(f"`{col}`"))
     return df.withColumn(out, cleaned.otherwise(clean_docstring(F.col(col))))
 
 
