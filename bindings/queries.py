@@ -4,11 +4,12 @@ Arrays are returned as joined text so that any client can compare them.
 """
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindings import tables as t
+from bindings.tables import Tables, spread
 from pairloom import schemas as s
 from pairloom.functions import cleaning
 from pairloom.functions.text import space_pieces
@@ -34,14 +35,14 @@ def joined(col: str) -> Column:
 # Sources and sinks
 
 
-def union_splits(spark: SparkSession, d: str) -> DataFrame:
-    pairs = t.pairs(spark, d)
+def union_splits(t: Tables) -> DataFrame:
+    pairs = t.pairs()
     by_split = {name: pairs.where(F.col("split") == name).drop("split") for name in s.SPLIT_ORDER}
     return curate.union_splits(by_split, "ex_id")
 
 
-def project_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = t.pairs(spark, d)
+def project_pairs(t: Tables) -> DataFrame:
+    pairs = t.pairs()
     parts = []
     for task, (prompt, answer) in s.PAIR_COLUMNS.items():
         raw = pairs.where(F.col("task") == task).select(
@@ -51,27 +52,27 @@ def project_pairs(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def pairs_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "pairs-csv")
-    pair_files.write_pairs_csv(t.pairs(spark, d).select(*s.PAIRS.names), path)
-    return pair_files.read_pairs_csv(spark, path)
+def pairs_csv_roundtrip(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "pairs-csv")
+    pair_files.write_pairs_csv(t.pairs().select(*s.PAIRS.names), path)
+    return pair_files.read_pairs_csv(t.spark, path)
 
 
-def examples_parquet_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "examples")
-    pair_files.write_examples(split.exact_split(_examples(spark, d)), path)
-    stored = pair_files.read_examples(spark, path)
+def examples_parquet_roundtrip(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "examples")
+    pair_files.write_examples(split.exact_split(_examples(t)), path)
+    stored = pair_files.read_examples(t.spark, path)
     return stored.select("ex_id", "task", "part", *map(joined, ("input_ids", "attention_mask", "labels")))
 
 
-def _eval_set(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "eval-set")
-    t.eval_documents(spark, d).write.partitionBy("file").text(path)
-    return evalset.load_eval_set(spark, path)
+def _eval_set(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "eval-set")
+    t.eval_documents().write.partitionBy("file").text(path)
+    return evalset.load_eval_set(t.spark, path)
 
 
-def load_eval_set(spark: SparkSession, d: str) -> DataFrame:
-    loaded = _eval_set(spark, d)
+def load_eval_set(t: Tables) -> DataFrame:
+    loaded = _eval_set(t)
     return loaded.select(
         "id",
         "task",
@@ -84,50 +85,50 @@ def load_eval_set(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def explode_test_cases(spark: SparkSession, d: str) -> DataFrame:
-    return evalset.explode_test_cases(_eval_set(spark, d))
+def explode_test_cases(t: Tables) -> DataFrame:
+    return evalset.explode_test_cases(_eval_set(t))
 
 
-def _feedback_files(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "feedback-csv")
-    raw = t.feedback_raw(spark, d)
+def _feedback_files(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "feedback-csv")
+    raw = t.feedback_raw()
     feedback_files.write_feedback_csv(raw.withColumnRenamed("rating_raw", "rating"), path)
-    return feedback_files.load_feedback_csv(spark, path, partitioned=True)
+    return feedback_files.load_feedback_csv(t.spark, path, partitioned=True)
 
 
-def load_feedback_csv(spark: SparkSession, d: str) -> DataFrame:
-    return _feedback_files(spark, d)
+def load_feedback_csv(t: Tables) -> DataFrame:
+    return _feedback_files(t)
 
 
-def feedback_json_sink(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "feedback-json")
-    rows = _parsed_feedback(spark, d).drop("file", "event_id", "ts")
+def feedback_json_sink(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "feedback-json")
+    rows = _parsed_feedback(t).drop("file", "event_id", "ts")
     feedback_files.feedback_json_sink(rows, feedback.feedback_pairs(rows), path)
-    stored = spark.read.schema(
+    stored = t.spark.read.schema(
         "timestamp string, task string, prompt string, response string, rating bigint"
     ).json(f"{path}/all_feedback")
-    pairs = spark.read.schema("task string, text string").json(f"{path}/training_pairs")
+    pairs = t.spark.read.schema("task string, text string").json(f"{path}/training_pairs")
     none = F.lit(None).cast("string")
     return stored.select(
         F.lit("all_feedback").alias("output"), "timestamp", "task", "prompt", "response", "rating", none.alias("text")
     ).unionByName(pairs.select(F.lit("training_pairs").alias("output"), "task", "text"), allowMissingColumns=True)
 
 
-def results_json_sink(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "results-json")
-    records = materialise(_filled(spark, d, texts=True))
-    samples = t.run_samples(spark, d)
+def results_json_sink(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "results-json")
+    records = materialise(_filled(t, texts=True))
+    samples = t.run_samples()
     metrics = results.compute_metrics(records)
     result_files.results_json_sink(
         results.assemble_results(samples, records, RUN_KEYS),
         metrics,
-        result_files.run_config(spark, "base-model", ["task_1", "task_2"], None, samples),
+        result_files.run_config(t.spark, "base-model", ["task_1", "task_2"], None, samples),
         path,
     )
-    config = spark.read.schema("num_samples bigint, adapters array<string>").json(f"{path}/config")
-    stored = spark.read.schema(metrics.schema).json(f"{path}/metrics")
+    config = t.spark.read.schema("num_samples bigint, adapters array<string>").json(f"{path}/config")
+    stored = t.spark.read.schema(metrics.schema).json(f"{path}/metrics")
     record = "struct<bleu: double, raw_response: string>"
-    rows = spark.read.schema(
+    rows = t.spark.read.schema(
         ", ".join(["run_id bigint, sample_id bigint", *[f"{m} {record}" for m in s.MODELS]])
     ).json(f"{path}/results")
     parts = [
@@ -157,9 +158,9 @@ def results_json_sink(spark: SparkSession, d: str) -> DataFrame:
 # Filters and limits
 
 
-def _document_pairs(spark: SparkSession, d: str) -> DataFrame:
+def _document_pairs(t: Tables) -> DataFrame:
     digit = F.col("doc_id") % 10
-    return t.documents(spark, d, "doc_id", "text", "source").select(
+    return t.documents("doc_id", "text", "source").select(
         F.col("doc_id").alias("ord"),
         F.when(digit == 0, 2).when(digit == 1, 1).otherwise(0).alias("split_rank"),
         F.col("text").alias("prompt"),
@@ -167,39 +168,39 @@ def _document_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def length_filter(spark: SparkSession, d: str) -> DataFrame:
+def length_filter(t: Tables) -> DataFrame:
     pieces = space_pieces(F.col("prompt")) + space_pieces(F.col("answer"))
-    return curate.length_filter(_document_pairs(spark, d)).select("ord", "answer", pieces.alias("pieces"))
+    return curate.length_filter(_document_pairs(t)).select("ord", "answer", pieces.alias("pieces"))
 
 
-def first_n(spark: SparkSession, d: str) -> DataFrame:
-    short = curate.length_filter(_document_pairs(spark, d))
+def first_n(t: Tables) -> DataFrame:
+    short = curate.length_filter(_document_pairs(t))
     return curate.first_n(short, FIRST).select("split_rank", "ord", "prompt")
 
 
-def sample_per_task(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.generations(spark, d).select("gen_id", "task", "model")
+def sample_per_task(t: Tables) -> DataFrame:
+    rows = t.generations().select("gen_id", "task", "model")
     return curate.sample_per_task(rows, PER_TASK, ("gen_id",))
 
 
-def truncate_tokens(spark: SparkSession, d: str) -> DataFrame:
-    ids = _document_ids(spark, d).withColumn(
+def truncate_tokens(t: Tables) -> DataFrame:
+    ids = _document_ids(t).withColumn(
         "attention_mask", F.transform("input_ids", lambda x: F.lit(1))
     )
     cut = examples.truncate_tokens(ids, s.APP_TOKEN_LIMIT)
     return cut.select("doc_id", *map(joined, ("input_ids", "attention_mask")))
 
 
-def truncate_response(spark: SparkSession, d: str) -> DataFrame:
+def truncate_response(t: Tables) -> DataFrame:
     cut = cleaning.truncate_response(F.col("text"), s.RESPONSE_LIMIT)
-    return t.documents(spark, d, "doc_id", "text").select("doc_id", cut.alias("raw_response"))
+    return t.documents("doc_id", "text").select("doc_id", cut.alias("raw_response"))
 
 
 # Examples
 
 
-def format_prompt(spark: SparkSession, d: str) -> DataFrame:
-    pairs = t.pairs(spark, d).withColumn(
+def format_prompt(t: Tables) -> DataFrame:
+    pairs = t.pairs().withColumn(
         "task", F.when(F.col("ex_id") % 7 == 0, "other").otherwise(F.col("task"))
     )
     padded = pairs.withColumn("prompt", F.concat(F.lit(" \t"), "prompt", F.lit("\n")))
@@ -208,22 +209,22 @@ def format_prompt(spark: SparkSession, d: str) -> DataFrame:
     return both.select("ex_id", "task", "model_input", "app_input")
 
 
-def _document_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return examples.build_vocab(t.documents(spark, d, "text"), ("text",), VOCAB)
+def _document_vocab(t: Tables) -> DataFrame:
+    return examples.build_vocab(t.documents("text"), ("text",), VOCAB)
 
 
-def build_vocab(spark: SparkSession, d: str) -> DataFrame:
-    return _document_vocab(spark, d)
+def build_vocab(t: Tables) -> DataFrame:
+    return _document_vocab(t)
 
 
-def _document_ids(spark: SparkSession, d: str) -> DataFrame:
-    docs = t.documents(spark, d, "doc_id", "text")
-    vocab = materialise(_document_vocab(spark, d))
+def _document_ids(t: Tables) -> DataFrame:
+    docs = t.documents("doc_id", "text")
+    vocab = materialise(_document_vocab(t))
     return examples.encode_tokens(docs, vocab, {"text": "input_ids"}, key="doc_id").drop("text")
 
 
-def encode_tokens(spark: SparkSession, d: str) -> DataFrame:
-    ids = _document_ids(spark, d)
+def encode_tokens(t: Tables) -> DataFrame:
+    ids = _document_ids(t)
     return ids.select(
         "doc_id",
         F.size("input_ids").alias("n_tokens"),
@@ -232,8 +233,8 @@ def encode_tokens(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _examples(spark: SparkSession, d: str) -> DataFrame:
-    texts = examples.format_prompt(t.spread(t.pairs(spark, d))).drop("split")
+def _examples(t: Tables) -> DataFrame:
+    texts = examples.format_prompt(spread(t.pairs())).drop("split")
     vocab = materialise(examples.build_vocab(texts, ("model_input", "answer"), VOCAB))
     encoded = examples.encode_tokens(texts, vocab, {"model_input": "prompt_ids", "answer": "answer_ids"})
     return examples.assemble_examples(encoded)
@@ -243,68 +244,68 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select("ex_id", "task", *map(joined, ("input_ids", "attention_mask", "labels")))
 
 
-def assemble_examples(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(_examples(spark, d))
+def assemble_examples(t: Tables) -> DataFrame:
+    return _shown(_examples(t))
 
 
-def max_length(spark: SparkSession, d: str) -> DataFrame:
-    return examples.max_length(_examples(spark, d))
+def max_length(t: Tables) -> DataFrame:
+    return examples.max_length(_examples(t))
 
 
-def pad_right(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "unpadded")
-    _examples(spark, d).write.parquet(path)
-    return _shown(examples.pad_right(spark.read.parquet(path)))
+def pad_right(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "unpadded")
+    _examples(t).write.parquet(path)
+    return _shown(examples.pad_right(t.spark.read.parquet(path)))
 
 
 # Splitting
 
 
-def exact_split(spark: SparkSession, d: str) -> DataFrame:
-    events = t.table(spark, d, "events").select("event_id", "event_type")
+def exact_split(t: Tables) -> DataFrame:
+    events = t.table("events").select("event_id", "event_type")
     return split.exact_split(events, key="event_id", group="event_type")
 
 
-def split_counts(spark: SparkSession, d: str) -> DataFrame:
-    pairs = t.pairs(spark, d).select("ex_id", "task", "split")
+def split_counts(t: Tables) -> DataFrame:
+    pairs = t.pairs().select("ex_id", "task", "split")
     return split.split_counts(split.exact_split(pairs), ("task", "split", "part"))
 
 
 # Cleaning and scoring
 
 
-def chat_prompts(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.chat_prompts(t.generations(spark, d), "raw_response").select("gen_id", "chat_prompt")
+def chat_prompts(t: Tables) -> DataFrame:
+    return scoring.chat_prompts(t.generations(), "raw_response").select("gen_id", "chat_prompt")
 
 
-def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
-    refs = t.references(spark, d)
-    gens = lookup_join(t.generations(spark, d), refs, ["sample_id"])
+def judge_prompts(t: Tables) -> DataFrame:
+    refs = t.references()
+    gens = lookup_join(t.generations(), refs, ["sample_id"])
     filled = scoring.judge_prompts(gens.withColumn("prompt", F.col("model")), generated_col="raw_response")
     return filled.select("gen_id", "judge_prompt")
 
 
-def extract_function(spark: SparkSession, d: str) -> DataFrame:
-    return t.raw_responses(spark, d).select("doc_id", cleaning.extract_function("raw").alias("generated"))
+def extract_function(t: Tables) -> DataFrame:
+    return t.raw_responses().select("doc_id", cleaning.extract_function("raw").alias("generated"))
 
 
-def clean_docstring(spark: SparkSession, d: str) -> DataFrame:
-    return t.raw_responses(spark, d).select("doc_id", cleaning.clean_docstring(F.col("raw")).alias("generated"))
+def clean_docstring(t: Tables) -> DataFrame:
+    return t.raw_responses().select("doc_id", cleaning.clean_docstring(F.col("raw")).alias("generated"))
 
 
-def function_name(spark: SparkSession, d: str) -> DataFrame:
-    return t.raw_responses(spark, d).select(
+def function_name(t: Tables) -> DataFrame:
+    return t.raw_responses().select(
         "doc_id", cleaning.function_name(F.col("raw"), F.col("doc_id")).alias("function")
     )
 
 
-def tokenize_text(spark: SparkSession, d: str) -> DataFrame:
-    toks = scoring.tokenize_text(t.documents(spark, d, "doc_id", "text"), "text")
+def tokenize_text(t: Tables) -> DataFrame:
+    toks = scoring.tokenize_text(t.documents("doc_id", "text"), "text")
     return toks.select("doc_id", F.size("tokens").alias("n_tokens"), joined("tokens"))
 
 
-def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
-    toks = scoring.tokenize_text(t.documents(spark, d, "doc_id", "text"), "text")
+def ngram_counts(t: Tables) -> DataFrame:
+    toks = scoring.tokenize_text(t.documents("doc_id", "text"), "text")
     grams = scoring.ngram_counts(toks, "doc_id", "tokens")
     return grams.groupBy("doc_id", "n").agg(
         F.count(F.lit(1)).alias("n_distinct"),
@@ -316,38 +317,38 @@ def ngram_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def bleu(spark: SparkSession, d: str) -> DataFrame:
-    hyps = t.generations(spark, d).select("gen_id", "sample_id", "raw_response")
-    scored = scoring.bleu(hyps, t.references(spark, d), ["sample_id"], hyp_col="raw_response")
+def bleu(t: Tables) -> DataFrame:
+    hyps = t.generations().select("gen_id", "sample_id", "raw_response")
+    scored = scoring.bleu(hyps, t.references(), ["sample_id"], hyp_col="raw_response")
     return scored.select("gen_id", "sample_id", "bleu")
 
 
-def parse_judge_score(spark: SparkSession, d: str) -> DataFrame:
+def parse_judge_score(t: Tables) -> DataFrame:
     score = cleaning.parse_judge_score(F.col("judge_response"))
-    return t.generations(spark, d).select("gen_id", "judge_response", score.alias("quality_score"))
+    return t.generations().select("gen_id", "judge_response", score.alias("quality_score"))
 
 
-def test_pass_rate(spark: SparkSession, d: str) -> DataFrame:
-    every = results.with_models(t.run_samples(spark, d).select(*RUN_KEYS))
-    return scoring.test_pass_rate(every, t.outcomes(spark, d), [*RUN_KEYS, "model"])
+def test_pass_rate(t: Tables) -> DataFrame:
+    every = results.with_models(t.run_samples().select(*RUN_KEYS))
+    return scoring.test_pass_rate(every, t.outcomes(), [*RUN_KEYS, "model"])
 
 
 # Joins and aggregates over scored generations
 
 
-def _records(spark: SparkSession, d: str, texts: bool) -> DataFrame:
-    scored = score_generations(t.generations(spark, d), t.references(spark, d), t.outcomes(spark, d), RUN_KEYS)
+def _records(t: Tables, texts: bool) -> DataFrame:
+    scored = score_generations(t.generations(), t.references(), t.outcomes(), RUN_KEYS)
     if not texts:
         scored = scored.drop("generated", "raw_response")
-    return scored.join(t.telemetry(spark, d), "gen_id").drop("gen_id", "task")
+    return scored.join(t.telemetry(), "gen_id").drop("gen_id", "task")
 
 
-def _filled(spark: SparkSession, d: str, texts: bool = False) -> DataFrame:
-    return results.fill_skipped(t.run_samples(spark, d), _records(spark, d, texts), RUN_KEYS)
+def _filled(t: Tables, texts: bool = False) -> DataFrame:
+    return results.fill_skipped(t.run_samples(), _records(t, texts), RUN_KEYS)
 
 
-def fill_skipped(spark: SparkSession, d: str) -> DataFrame:
-    return _filled(spark, d, texts=True).select(
+def fill_skipped(t: Tables) -> DataFrame:
+    return _filled(t, texts=True).select(
         *RUN_KEYS,
         "model",
         "task",
@@ -363,69 +364,69 @@ def fill_skipped(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def assemble_results(spark: SparkSession, d: str) -> DataFrame:
-    nested = results.assemble_results(t.run_samples(spark, d), _filled(spark, d, texts=True), RUN_KEYS)
+def assemble_results(t: Tables) -> DataFrame:
+    nested = results.assemble_results(t.run_samples(), _filled(t, texts=True), RUN_KEYS)
     fields = ("bleu", "pass_rate", "quality_score", "generated")
     flat = [F.col(f"{m}.{f}").alias(f"{m}_{f}") for m in s.MODELS for f in fields]
     return nested.select(*RUN_KEYS, "task", "function_name", "code", *flat)
 
 
-def _run_metrics(spark: SparkSession, d: str) -> DataFrame:
+def _run_metrics(t: Tables) -> DataFrame:
     """(run_id, model, metric, value) of every run."""
     by = ("run_id", "model")
-    return materialise(results.long_metrics(results.compute_metrics(_filled(spark, d), by), by))
+    return materialise(results.long_metrics(results.compute_metrics(_filled(t), by), by))
 
 
 def _as_baseline(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("run_id", F.col("run_id") + 1)
 
 
-def _gate(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    new = _run_metrics(spark, d)
+def _gate(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    new = _run_metrics(t)
     old = _as_baseline(new)
     return new, old, gate.regression_gate(new, old, by=("run_id", "model"))
 
 
-def regression_gate(spark: SparkSession, d: str) -> DataFrame:
+def regression_gate(t: Tables) -> DataFrame:
     """Every run against the run before it."""
-    judged = _gate(spark, d)[2]
+    judged = _gate(t)[2]
     verdict = gate.gate_verdict(judged, ("run_id", "model"))
     return judged.join(verdict, ["run_id", "model"])
 
 
-def promote_baseline(spark: SparkSession, d: str) -> DataFrame:
-    new, old, judged = _gate(spark, d)
+def promote_baseline(t: Tables) -> DataFrame:
+    new, old, judged = _gate(t)
     by = ("run_id", "model")
     return gate.promote_baseline(new, old, gate.gate_verdict(judged, by), by)
 
 
-def params_diff(spark: SparkSession, d: str) -> DataFrame:
+def params_diff(t: Tables) -> DataFrame:
     """The parameters of every day against those of the day before."""
-    params = t.daily_params(spark, d)
+    params = t.daily_params()
     return gate.params_diff(params.withColumn("run_id", F.col("run_id") + 1), params, ("run_id",))
 
 
-def metrics_diff(spark: SparkSession, d: str) -> DataFrame:
-    new = _run_metrics(spark, d)
+def metrics_diff(t: Tables) -> DataFrame:
+    new = _run_metrics(t)
     return gate.metrics_diff(_as_baseline(new), new, ("run_id", "model"))
 
 
-def compute_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return results.compute_metrics(_filled(spark, d))
+def compute_metrics(t: Tables) -> DataFrame:
+    return results.compute_metrics(_filled(t))
 
 
-def metrics_table(spark: SparkSession, d: str) -> DataFrame:
-    return results.metrics_table(results.compute_metrics(_filled(spark, d)))
+def metrics_table(t: Tables) -> DataFrame:
+    return results.metrics_table(results.compute_metrics(_filled(t)))
 
 
-def per_sample_report(spark: SparkSession, d: str) -> DataFrame:
-    report = results.per_sample_report(_filled(spark, d), RUN_KEYS)
+def per_sample_report(t: Tables) -> DataFrame:
+    report = results.per_sample_report(_filled(t), RUN_KEYS)
     return report.orderBy("run_id", "sample_id")
 
 
-def run_record(spark: SparkSession, d: str) -> DataFrame:
-    counts = split.split_counts(split.exact_split(t.pairs(spark, d).select("ex_id", "task")))
-    params = spark.createDataFrame(
+def run_record(t: Tables) -> DataFrame:
+    counts = split.split_counts(split.exact_split(t.pairs().select("ex_id", "task")))
+    params = t.spark.createDataFrame(
         [
             ("training.base_model", "base-model"),
             ("training.task_1_target_modules", "qkv_proj,o_proj"),
@@ -442,40 +443,48 @@ def run_record(spark: SparkSession, d: str) -> DataFrame:
 # Feedback
 
 
-def _parsed_feedback(spark: SparkSession, d: str) -> DataFrame:
-    return feedback.parse_feedback(t.feedback_raw(spark, d))
+def _parsed_feedback(t: Tables) -> DataFrame:
+    return feedback.parse_feedback(t.feedback_raw())
 
 
-def parse_feedback(spark: SparkSession, d: str) -> DataFrame:
-    return _parsed_feedback(spark, d).select("event_id", "file", "task", "prompt", "response", "rating")
+def parse_feedback(t: Tables) -> DataFrame:
+    return _parsed_feedback(t).select("event_id", "file", "task", "prompt", "response", "rating")
 
 
-def feedback_summary(spark: SparkSession, d: str) -> DataFrame:
-    return feedback.feedback_summary(_parsed_feedback(spark, d))
+def feedback_summary(t: Tables) -> DataFrame:
+    return feedback.feedback_summary(_parsed_feedback(t))
 
 
-def feedback_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return feedback.feedback_pairs(_parsed_feedback(spark, d))
+def feedback_pairs(t: Tables) -> DataFrame:
+    return feedback.feedback_pairs(_parsed_feedback(t))
 
 
-def feedback_append_stream(spark: SparkSession, d: str) -> DataFrame:
-    out, state = scratch_path(spark, "ratings"), scratch_path(spark, "ratings-state")
-    schema = t.table(spark, d, "events").schema
-    events = streams.read_feedback_stream(spark, d, "parquet", schema, name_glob="events.parquet")
+def feedback_append_stream(t: Tables) -> DataFrame:
+    out, state = scratch_path(t.spark, "ratings"), scratch_path(t.spark, "ratings-state")
+    schema = t.table("events").schema
+    events = streams.read_feedback_stream(t.spark, t.sf_dir, "parquet", schema, name_glob="events.parquet")
     ratings = events.select(
         "event_id", "ts", F.col("event_type").alias("prompt"), F.when(F.col("value") < 40, 1).otherwise(0).alias("rating")
     )
     streams.feedback_append_stream(ratings, out, state, ts_col="ts").awaitTermination()
-    return spark.read.parquet(out).select("event_id", F.col("day").cast("string").alias("day"), "prompt", "rating")
+    return t.spark.read.parquet(out).select("event_id", F.col("day").cast("string").alias("day"), "prompt", "rating")
 
 
-def feedback_daily_counts(spark: SparkSession, d: str) -> DataFrame:
-    counts = feedback.feedback_daily_counts(_parsed_feedback(spark, d))
+def feedback_daily_counts(t: Tables) -> DataFrame:
+    counts = feedback.feedback_daily_counts(_parsed_feedback(t))
     return counts.withColumn("day", F.col("day").cast("string"))
 
 
+def _bind(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(Tables(spark, sf_dir))
+
+    return run
+
+
 ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: _bind(f)
     for f in (
         union_splits, project_pairs, pairs_csv_roundtrip, examples_parquet_roundtrip, load_eval_set,
         explode_test_cases, load_feedback_csv, feedback_json_sink, results_json_sink, length_filter,

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 WHITESPACE_CLASS = r"[\s\x1c-\x1f\x85\p{Z}]"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
+# Strings without escapes and whole numbers have one spelling each.
+PLAIN_JSON_PATTERN = r'\A(?:"[^"\\]*"|0|-?[1-9][0-9]*)\z'
 JSON_TOKEN_PATTERN = r'"(?:[^"\\]|\\.)*+"|[^\s,:\[\]{}"]+|[,:\[\]{}]'
 
 
@@ -58,5 +60,10 @@ def canonical_json(col: Column) -> Column:
 
 
 def json_equal(left: Column, right: Column) -> Column:
-    """Equality of JSON values; the plain comparison decides most rows without parsing."""
-    return F.when(left == right, True).otherwise(canonical_json(left) == canonical_json(right))
+    """Equality of JSON values. Only pairs that two plain spellings cannot decide are parsed."""
+    plain = left.rlike(PLAIN_JSON_PATTERN) & right.rlike(PLAIN_JSON_PATTERN)
+    return (
+        F.when(left == right, True)
+        .when(plain, False)
+        .otherwise(canonical_json(left) == canonical_json(right))
+    )
