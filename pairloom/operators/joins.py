@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairloom.storage import materialise
 
@@ -67,7 +68,12 @@ def salted_join(
     """
     hot = materialise(hot_keys(big, on, min_rows))
     # Equal rows differ in their input partition, so copies spread as well.
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]) + F.spark_partition_id(), F.col("_salts"))
+    plain = [
+        f.name
+        for f in big.schema
+        if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)
+    ]
+    spread = F.pmod(F.xxhash64(*plain) + F.spark_partition_id(), F.col("_salts"))
     left = (
         big.join(F.broadcast(hot), on, "left")
         .withColumn("_salt", F.coalesce(spread.cast("int"), F.lit(0)))
