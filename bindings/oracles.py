@@ -482,10 +482,10 @@ SQL: dict[str, str] = {
     "run_record": with_(PAIRS, split_of("pairs", "ex_id", "task"))
     + """SELECT 'run-1' AS run_id, concat(task, CASE part WHEN 'train' THEN '.train_samples' ELSE '.eval_samples' END) AS key,
          CAST(count(*) AS VARCHAR) AS value FROM parts GROUP BY task, part
-       UNION ALL SELECT 'run-1', * FROM (VALUES ('base_model', 'base-model'),
+       UNION ALL SELECT 'run-1', * FROM (VALUES ('git_hash', 'abc1234'), ('base_model', 'base-model'),
          ('hyperparameters.lora_r', '4'), ('hyperparameters.lora_dropout', '0.1'),
-         ('task_1.target_modules[0]', 'qkv_proj'), ('task_1.target_modules[1]', 'o_proj'),
-         ('task_2.target_modules[0]', 'gate_up_proj'), ('task_2.target_modules[1]', 'down_proj')) v(key, value)""",
+         ('task_1.target_modules[0]', 'att_q'), ('task_1.target_modules[1]', 'att_o'),
+         ('task_2.target_modules[0]', 'mlp_up'), ('task_2.target_modules[1]', 'mlp_down')) v(key, value)""",
     "parse_feedback": with_(FEEDBACK) + "SELECT event_id, file, task, prompt, response, rating FROM feedback",
     "feedback_summary": with_(FEEDBACK)
     + """SELECT total, positive, total - positive AS negative,

@@ -341,7 +341,8 @@ def _records(t: Tables, texts: bool) -> DataFrame:
     scored = score_generations(t.generations(), t.references(), t.outcomes(), RUN_KEYS)
     if not texts:
         scored = scored.drop("generated", "raw_response")
-    return scored.join(t.telemetry(), "gen_id").drop("gen_id", "task")
+    # Same keys as the joins before and after, so the rows stay where they are.
+    return scored.join(t.telemetry(), [*RUN_KEYS, "model"]).drop("gen_id", "task")
 
 
 def _filled(t: Tables, texts: bool = False) -> DataFrame:
@@ -430,15 +431,15 @@ def run_record(t: Tables) -> DataFrame:
     params = t.spark.createDataFrame(
         [
             ("training.base_model", "base-model"),
-            ("training.task_1_target_modules", "qkv_proj,o_proj"),
-            ("training.task_2_target_modules", "gate_up_proj,down_proj"),
+            ("training.task_1_target_modules", "att_q,att_o"),
+            ("training.task_2_target_modules", "mlp_up,mlp_down"),
             ("training.lora_r", "4"),
             ("training.lora_dropout", "0.1"),
             ("data.task_1_split", "0.8"),
         ],
         "key string, value string",
     )
-    return gate.run_record(params, counts, "run-1")
+    return gate.run_record(params, counts, "run-1", {"git_hash": "abc1234"})
 
 
 # Feedback

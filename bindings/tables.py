@@ -123,8 +123,9 @@ class Tables:
         )
 
     def telemetry(self) -> DataFrame:
+        """Latency under the keys of a generation; ids beyond the last generation match none."""
         return self.table("events").select(
-            F.col("event_id").alias("gen_id"), F.round("value", 1).alias("latency_ms")
+            *_run_keys(F.col("event_id"), self.n_samples), F.round("value", 1).alias("latency_ms")
         )
 
     def outcomes(self) -> DataFrame:

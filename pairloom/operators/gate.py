@@ -84,12 +84,17 @@ def metrics_diff(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ()) -> DataFr
 
 
 def run_record(
-    params: DataFrame, counts: DataFrame, run_id: str, measured: DataFrame | None = None
+    params: DataFrame,
+    counts: DataFrame,
+    run_id: str,
+    info: dict[str, str] | None = None,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Flattened record of a run: (run_id, key, value).
 
     ``params`` holds (key, value) with keys like ``training.lora_r``, ``counts`` the rows per task
-    and part, ``measured`` further (key, value) rows such as losses and run times.
+    and part, ``info`` facts about the run such as ``timestamp`` and ``git_hash``, ``measured``
+    further (key, value) rows such as losses and run times.
     """
     name = F.regexp_replace("key", r"^training\.", "")
     training = params.where(F.col("key").startswith("training.")).select(name.alias("key"), "value")
@@ -110,6 +115,10 @@ def run_record(
         F.concat_ws(".", "task", part).alias("key"), F.col("n_rows").cast("string").alias("value")
     )
     rows = base.unionByName(hyper).unionByName(modules).unionByName(samples)
+    if info:
+        pairs = [F.lit(x) for item in info.items() for x in item]
+        facts = params.sparkSession.range(1).select(F.explode(F.create_map(*pairs)).alias("key", "value"))
+        rows = rows.unionByName(facts)
     if measured is not None:
         rows = rows.unionByName(measured.select("key", F.col("value").cast("string").alias("value")))
     return rows.select(F.lit(run_id).alias("run_id"), "key", "value")

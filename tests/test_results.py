@@ -120,7 +120,7 @@ def test_run_record(spark):
     )
     counts = spark.createDataFrame([("task_1", "train", 8), ("task_1", "validation", 2)], "task string, part string, n_rows bigint")
     measured = spark.createDataFrame([("task_1.train_loss", 0.25)], "key string, value double")
-    assert rows(gate.run_record(params, counts, "r", measured)) == [
+    assert rows(gate.run_record(params, counts, "r", {"timestamp": "2024-01-01T00:00:00"}, measured)) == [
         ("r", "base_model", "m"),
         ("r", "hyperparameters.lora_r", "4"),
         ("r", "task_1.eval_samples", "2"),
@@ -128,4 +128,5 @@ def test_run_record(spark):
         ("r", "task_1.target_modules[1]", "b"),
         ("r", "task_1.train_loss", "0.25"),
         ("r", "task_1.train_samples", "8"),
+        ("r", "timestamp", "2024-01-01T00:00:00"),
     ]
