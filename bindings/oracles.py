@@ -427,8 +427,8 @@ SQL: dict[str, str] = {
     "ngram_counts": with_(ngrams("documents", "doc_id", "text", "d"))
     + """SELECT doc_id, n, CAST(count(*) AS BIGINT) AS n_distinct, CAST(sum(cnt) AS BIGINT) AS n_total,
          CAST(max(cnt) AS INTEGER) AS max_cnt, CAST(sum(cnt * length(gram)) AS BIGINT) AS weighted_length,
-         CAST(sum(cnt * cnt) AS BIGINT) AS squared_cnt, CAST(sum(ascii(gram) * cnt) AS BIGINT) AS weighted_first,
-         CAST(sum(ascii(right(gram, 1)) * strlen(gram)) AS BIGINT) AS weighted_last FROM d_cnt GROUP BY doc_id, n""",
+         CAST(sum(cnt * cnt) AS BIGINT) AS squared_cnt, CAST(sum(ascii(gram) * cnt) AS BIGINT) AS weighted_first
+       FROM d_cnt GROUP BY doc_id, n""",
     "bleu": with_(DIMS, GENERATIONS, bleu_ctes("generations", "raw_response"))
     + "SELECT gen_id, sample_id, bleu FROM bleu_scores",
     "parse_judge_score": with_(DIMS, GENERATIONS)

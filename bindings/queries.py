@@ -314,7 +314,6 @@ def ngram_counts(t: Tables) -> DataFrame:
         F.sum(F.col("cnt") * F.length("gram")).alias("weighted_length"),
         F.sum(F.col("cnt") * F.col("cnt")).alias("squared_cnt"),
         F.sum(F.ascii("gram") * F.col("cnt")).alias("weighted_first"),
-        F.sum(F.ascii(F.right("gram", F.lit(1))) * F.octet_length("gram")).alias("weighted_last"),
     )
 
 

@@ -26,15 +26,13 @@ def ngram_counts(df: DataFrame, key: str, tok: str, max_n: int = BLEU_ORDER) ->
     joined by a space, which no token contains.
     """
 
-    def entry(grams: str, n: int) -> str:
-        return (
-            f"transform({run_lengths(grams)}, r -> named_struct('n', {n}, 'gram', r.value, 'cnt', r.cnt))"
-        )
-
-    grams = F.expr(f"flatten({per_order(f'`{tok}`', max_n, entry)})")
-    # The outer form adds no filter that would count every text a second time.
-    rows = df.select(key, F.explode_outer(grams).alias("g"))
-    return rows.where(F.col("g").isNotNull()).select(key, "g.n", "g.gram", "g.cnt")
+    counted = F.expr(per_order(f"`{tok}`", max_n, lambda grams, n: run_lengths(grams)))
+    # The outer forms add no filter that would count every text a second time.
+    orders = df.select(key, F.posexplode_outer(counted).alias("_at", "_runs"))
+    rows = orders.select(key, (F.col("_at") + 1).alias("n"), F.explode_outer("_runs").alias("_run"))
+    return rows.where(F.col("_run").isNotNull()).select(
+        key, "n", F.col("_run.value").alias("gram"), F.col("_run.cnt").alias("cnt")
+    )
 
 
 def reference_profiles(refs: DataFrame, on: list[str], col: str = "reference") -> DataFrame:

@@ -34,18 +34,15 @@ def split_bounds(
         .where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("n") < F.col("_want")))
         .select(group, "_b", (F.col("_want") - (F.col("_upto") - F.col("n"))).alias("_take"))
     )
-    cut = materialise(cut)
     ranked = Window.partitionBy(group).orderBy("_h", key).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.when(F.col("_rank") <= F.col("_take"), F.struct("_h", F.col(key).alias("_k")))
     return (
         lookup_join(keys, cut, [group, "_b"])
-        .groupBy(group, "_h", key, "_take")
+        .groupBy(group, "_b", "_h", key, "_take")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("_rank", F.sum("n").over(ranked))
-        .where(F.col("_rank") <= F.col("_take"))
-        .groupBy(group)
-        .agg(F.max(F.struct("_h", F.col(key).alias("_k"))).alias("_bound"))
-        .join(cut.select(group, "_b"), group, "full")
-        .select(group, "_b", "_bound")
+        .groupBy(group, "_b")
+        .agg(F.max(inside).alias("_bound"))
     )
 
 
