@@ -31,13 +31,21 @@ def build_vocab(df: DataFrame, cols: tuple[str, ...], max_size: int = VOCAB_SIZE
     Ids 0 and 1 stay free for unknown/padding and end of text.
     """
     # explode_outer: a plain explode adds a filter that tokenises every text once more.
-    words = df.select(F.explode_outer(F.concat(*[tokens(F.col(c)) for c in cols])).alias("token"))
+    texts = [tokens(F.coalesce(F.col(c), F.lit(""))) for c in cols]
+    words = df.select(F.explode_outer(F.concat(*texts)).alias("token"))
+    counts = words.where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+    # Distinct counts are few (k of them need k*(k+1)/2 tokens), so the lowest one that can still
+    # enter the list is cheap to find; without it every partition would send max_size candidates.
+    most_first = Window.partitionBy(F.lit(0)).orderBy(F.desc("cnt"))
+    lowest = (
+        counts.groupBy("cnt")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.sum("n").over(most_first) - F.col("n"))
+        .where(F.col("before") < max_size)
+        .agg(F.min("cnt"))
+    )
     kept = (
-        words.where(F.col("token").isNotNull())
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .orderBy(F.desc("cnt"), "token")
-        .limit(max_size)
+        counts.where(F.col("cnt") >= lowest.scalar()).orderBy(F.desc("cnt"), "token").limit(max_size)
     )
     # Only the capped list is numbered, never the corpus.
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("cnt"), "token"))

@@ -12,10 +12,12 @@ _local_dirs: dict[str, str] = {}
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one only for a single-machine session."""
+    sc = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)
         return configured
-    sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
     app = sc.applicationId
