@@ -7,7 +7,7 @@ from pairloom.functions.text import WHITESPACE_CLASS
 from pairloom.functions.prompts import training_prompt
 
 # Whole numbers with optional sign, inner underscores and surrounding white space.
-RATING_PATTERN = rf"\A{WHITESPACE_CLASS}*([+-]?[0-9]+(?:_[0-9]+)*){WHITESPACE_CLASS}*\z"
+RATING_PATTERN = rf"\A{WHITESPACE_CLASS}*([+-]?[0-9]++(?:_[0-9]++)*+){WHITESPACE_CLASS}*\z"
 
 
 def parse_feedback(raw: DataFrame, rating_col: str = "rating_raw") -> DataFrame:

@@ -8,6 +8,8 @@ from pairloom.storage import materialise
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
+# A key with fewer rows never counts as hot.
+HOT_ROWS = 100_000
 
 
 def fits_broadcast(
@@ -45,13 +47,16 @@ def hot_keys(df: DataFrame, on: list[str], min_rows: int | None = None) -> DataF
 
     At most four times as many keys as shuffle partitions can exceed that bound.
     """
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     if min_rows is None:
-        min_rows = max(100_000, df.count() // (4 * partitions))
-    return counts.where(F.col("n") > min_rows).select(
-        *on, F.ceil(F.col("n") / F.lit(min_rows)).cast("int").alias("_salts")
+        # Both uses of the counts read one shuffle.
+        total = counts.agg(F.sum("n")).scalar()
+        bound = F.greatest(F.lit(HOT_ROWS), F.floor(total / (4 * partitions)))
+    else:
+        bound = F.lit(min_rows)
+    return counts.where(F.col("n") > bound).select(
+        *on, F.ceil(F.col("n") / bound).cast("int").alias("_salts")
     )
 
 

@@ -96,5 +96,12 @@ def test_salted_join_equals_plain_join(spark, how):
         F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).alias("k"), (F.col("id") % 10).alias("v")
     )
     small = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    assert rows(hot_keys(big, ["k"], 500).select("k")) == [(1,)]
+    assert rows(hot_keys(big, ["k"], 500)) == [(1, 3)]
     assert rows(salted_join(big, small, ["k"], how, 500)) == rows(big.join(small, ["k"], how))
+
+
+def test_hot_keys_are_relative_to_the_table(spark, monkeypatch):
+    monkeypatch.setattr("pairloom.operators.joins.HOT_ROWS", 10)
+    df = spark.range(3200).select(F.when(F.col("id") < 1100, 0).otherwise(F.col("id")).alias("k"))
+    # More than 3200 / (4 * 4 partitions) rows.
+    assert rows(hot_keys(df, ["k"])) == [(0, 6)]

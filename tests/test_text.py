@@ -80,3 +80,12 @@ def test_json_equality(spark):
     assert [(r.a, r.b) for r in got if r.got != r.want] == []
     for a, b, want in pairs[:14]:
         assert (json.loads(a) == json.loads(b)) == want
+
+
+def test_json_equality_of_long_values(spark):
+    long = json.dumps("\\n\"x\" " * 50_000)
+    numbers = json.dumps(list(range(20_000)))
+    pairs = [(long, long[:-1] + ' "', False), (f"[{long}, 1]", f"[{long},1.0]", True), (numbers, numbers.replace(" ", ""), True)]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    got = df.select("want", text.json_equal(F.col("a"), F.col("b")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
