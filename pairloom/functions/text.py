@@ -16,10 +16,6 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
-def lstrip(col: Column) -> Column:
-    return F.ltrim(col, F.lit(WHITESPACE))
-
-
 def space_pieces(col: Column) -> Column:
     """Number of pieces between single spaces; the empty string has one."""
     return F.octet_length(col) - F.octet_length(F.replace(col, F.lit(" "), F.lit(""))) + 1

@@ -4,7 +4,6 @@ import re
 from collections import Counter
 
 from conftest import plan, rows
-from pyspark.sql import functions as F
 
 from pairloom.operators import scoring
 

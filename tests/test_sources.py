@@ -1,7 +1,6 @@
 import json
 
 from conftest import rows
-from pyspark.sql import functions as F
 
 from pairloom.operators import feedback
 from pairloom.plans.feedback import collect_feedback
