@@ -1,5 +1,6 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components: of a table by alternating large-star and small-star steps, of arrays in a task."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+class Forest:
+    """Smallest linked index of every row, from batches of links."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            ra, rb = self.root[a], self.root[b]
+            open_ = ra != rb
+            a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+            if not len(a):
+                break
+            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while True:
+                up = self.root[self.root]
+                if np.array_equal(up, self.root):
+                    break
+                self.root = up

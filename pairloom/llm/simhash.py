@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.llm.components import components
+from pairloom.llm.components import Forest, components
 from pairloom.storage import materialise
 
 BITS = 64
@@ -75,33 +75,12 @@ def _ranges(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
-class _Forest:
-    """Smallest linked index of every row, from batches of links."""
-
-    def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            ra, rb = self.root[a], self.root[b]
-            open_ = ra != rb
-            a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-            if not len(a):
-                break
-            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while True:
-                up = self.root[self.root]
-                if np.array_equal(up, self.root):
-                    break
-                self.root = up
-
-
 def trie_links(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> np.ndarray:
     """Smallest linked row of each row, for pairs of tries given as sorted ranges of ``values``.
 
     A pair is either a range with itself or two ranges without common rows.
     """
-    forest = _Forest(len(values))
+    forest = Forest(len(values))
     stack = [(lo, hi, lo2, hi2, np.zeros(len(lo), np.int64), 0)]
     while stack:
         a, b, c, d, diff, depth = stack.pop()
@@ -132,7 +111,7 @@ def trie_links(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, lo2: np.ndarr
     return forest.root
 
 
-def _compare(values: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, forest: _Forest) -> None:
+def _compare(values: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, forest: Forest) -> None:
     combos = (b - a) * (d - c)
     splits = np.searchsorted(np.cumsum(combos), np.arange(FRONTIER, combos.sum() + FRONTIER, FRONTIER)) + 1
     at = 0
