@@ -210,7 +210,7 @@ def learn(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
                 words = split_words([text], tables)
                 seen = sums.setdefault(language, np.zeros(BUCKETS + len(SCRIPT_NAMES) + 1, np.int64))
                 seen[:BUCKETS] += np.bincount(words.bucket, minlength=BUCKETS)
-                np.add.at(seen, BUCKETS + words.script, words.end - words.start)
+                np.add.at(seen, BUCKETS + words.script.astype(int), words.end - words.start)
         for language, seen in sums.items():
             at = np.flatnonzero(seen)
             columns = [pa.array([language] * len(at), pa.string()), pa.array(at), pa.array(seen[at])]
