@@ -3,11 +3,13 @@
 A text is a sequence of words and one end. A word, marked at its front, is any way to spell it with
 pieces; pieces are independent, so the forward recursion over the word's bytes, in log space, sums
 all segmentations, and the document's probability is the product over words times that of the end.
-Every byte is a piece too, so every text has a probability above 0.
+Every byte is a piece too, so every text has a probability above 0. A word known from training is an
+arc over the whole of itself: it has its discounted share of the training words, and the lattice of
+pieces has what the discount leaves, so the probabilities of all words still sum to one.
 
 The vocabulary and its first scores come from a file; which pieces exist is never changed. Scores are
-fitted to the training documents by expectation maximisation over their distinct words, weighted by
-counts. Word counts cover all training documents; every whole text is scored.
+fitted by expectation maximisation over the distinct words of all training documents. Word counts
+cover all training documents; every whole text is scored.
 
 Counts are added up in tasks before they are shuffled. The ``FREQUENT`` most frequent words are sent
 to the tasks with their values; occurrences of other words, none of them hot, join the word table.
@@ -43,11 +45,10 @@ _STEP = 4_096
 
 
 class Pieces(NamedTuple):
-    """Pieces by rising hash of their bytes, with log probabilities; the end's own comes last."""
+    """Pieces by rising hash of their bytes, with log probabilities."""
 
     hashes: np.ndarray
     log_p: np.ndarray
-    log_end: float
     longest: int
     lengths: tuple[int, ...]
 
@@ -77,12 +78,11 @@ def vocabulary(path: str = VOCABULARY) -> Pieces:
         found[data] = found.get(data, 0.0) + weight
     for b in range(256):
         found.setdefault(bytes([b]), 1.0 / (10.0 + len(scores)))
-    end = max(found.values())
-    total = sum(found.values()) + end
+    total = sum(found.values())
     items = sorted((_hash(k), len(k), v) for k, v in found.items())
     lengths = tuple(sorted({n for _, n, _ in items}))
     log_p = np.log(np.array([v for *_, v in items]) / total)
-    return Pieces(np.array([h for h, *_ in items], np.uint64), log_p, float(np.log(end / total)), lengths[-1], lengths)
+    return Pieces(np.array([h for h, *_ in items], np.uint64), log_p, lengths[-1], lengths)
 
 
 class Lattice:
@@ -195,34 +195,57 @@ def word_counts(docs: DataFrame, training: Column) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
-def fit(counts: DataFrame, ends: int, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
-    """Piece probabilities from expected uses in the training words (``word``, ``c``)."""
+def fit(counts: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
+    """Piece probabilities from expected uses in the distinct training words (``word``, ``c`` > 0).
+
+    The pieces have to spell words that were not seen, so a word counts once however frequent it is.
+    """
     for _ in range(rounds):
         model = pieces
 
         def run(batches: Iterator[pa.RecordBatch], model: Pieces = model) -> Iterator[pa.RecordBatch]:
             lattice, uses = Lattice(model), np.zeros(len(model.hashes))
             for batch in batches:
-                words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                for part, data in by_length(words):
-                    lattice.expected(data, c[part], uses)
+                for part, data in by_length(batch.column(0).to_pylist()):
+                    lattice.expected(data, np.ones(len(part)), uses)
             at = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(uses[at])], ["piece", "uses"])
 
-        parts = counts.where("c > 0").select("word", "c").mapInArrow(run, "piece long, uses double")
+        parts = counts.where("c > 0").select("word").mapInArrow(run, "piece long, uses double")
         found = parts.groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
         if not len(found):
             return pieces
         uses = np.full(len(pieces.hashes), SMOOTH)
         uses[found.column("piece").to_numpy()] += found.column("uses").to_numpy()
-        total = uses.sum() + ends
         # Rounding lets reruns agree although sums are added in any order.
-        pieces = pieces._replace(log_p=np.round(np.log(uses / total), 9), log_end=float(np.round(np.log(max(ends, SMOOTH) / total), 9)))
+        pieces = pieces._replace(log_p=np.round(np.log(uses / uses.sum()), 9))
     return pieces
 
 
-def _values(counts: DataFrame, pieces: Pieces) -> DataFrame:
-    """``word``, ``n``, ``c`` and ``lp``, the log10 probability of the word over its segmentations."""
+class Shares(NamedTuple):
+    """Training words and ends, and the discount of the words' own arcs."""
+
+    words: int
+    distinct: int
+    ends: int
+    discount: float
+
+    @property
+    def p_end(self) -> float:
+        return (self.ends + 0.5) / (self.words + self.ends + 1.0)
+
+    def log_word(self, count: np.ndarray, log_lattice: np.ndarray) -> np.ndarray:
+        """Natural log probability of words from their counts and lattices."""
+        rest = np.log(1.0 - self.p_end)
+        if not self.words:
+            return rest + log_lattice
+        with np.errstate(divide="ignore"):
+            arc = np.log(np.maximum(count - self.discount, 0.0) / self.words)
+        return rest + np.logaddexp(arc, np.log(self.discount * self.distinct / self.words) + log_lattice)
+
+
+def _values(counts: DataFrame, pieces: Pieces, shares: Shares) -> DataFrame:
+    """``word``, ``n``, ``c`` and ``lp``, the log10 probability of the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces)
@@ -231,7 +254,8 @@ def _values(counts: DataFrame, pieces: Pieces) -> DataFrame:
             lp = np.zeros(len(words))
             for part, data in by_length(words):
                 lp[part] = lattice.log_probability(data)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp / np.log(10.0))], ["word", "n", "c", "lp"])
+            value = shares.log_word(batch.column(2).to_numpy(), lp) / np.log(10.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], ["word", "n", "c", "lp"])
 
     return counts.mapInArrow(run, "word binary, n long, c long, lp double")
 
@@ -241,17 +265,20 @@ def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int
     counts = materialise(word_counts(docs, training))
     # The end is a token of every training document.
     ends = docs.where(training).count()
-    sums = counts.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
+    of = [F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2)]
+    sums = counts.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v"), *of).first()
     total = (sums["c"] or 0) + ends
     distinct = sums["v"] + (ends > 0)
-    pieces = fit(counts, ends, vocabulary(path), rounds)
-    table = materialise(_values(counts, pieces))
+    # Absolute discounting by the numbers of words seen once and twice.
+    discount = min(max((sums["n1"] + 0.5) / (sums["n1"] + 2 * sums["n2"] + 1.0), 0.1), 0.9)
+    shares = Shares(sums["c"] or 0, sums["v"], ends, discount)
+    table = materialise(_values(counts, fit(counts, vocabulary(path), rounds), shares))
     scale = float(np.log10(total + distinct + 1))
     top = table.orderBy(F.desc("n"), "word").limit(frequent).select("word", "c", "lp").toArrow()
     sent = docs.sparkSession.sparkContext.broadcast(
         (top.column("word").to_pylist(), top.column("c").to_numpy(), top.column("lp").to_numpy())
     )
-    log_end = pieces.log_end / float(np.log(10.0))
+    log_end = float(np.log10(shares.p_end))
     base_end = float(np.log10(ends + 1)) - scale
     known_end = int(ends > 0)
     names = ["doc_id", "h", "word", "n", "tokens", "known", "base", "lp_sum"]

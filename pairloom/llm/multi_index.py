@@ -40,7 +40,7 @@ _HELD = 1 << 22
 
 def unit(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
-    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1)), np.finfo(np.float64).tiny)[:, None]
 
 
 def distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
