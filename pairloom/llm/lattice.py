@@ -5,7 +5,9 @@ pieces; pieces are independent, so the forward recursion over the word's bytes,
 all segmentations, and the document's probability is the product over words times that of the end.
 Every byte is a piece too, so every text has a probability above 0. A word known from training is an
 arc over the whole of itself: it has its discounted share of the training words, and the lattice of
-pieces has what the discount leaves, so the probabilities of all words still sum to one.
+pieces has what the discount leaves, so the probabilities of all words still sum to one. A document
+repeats its own words: its distribution is drawn around that of the words by a Dirichlet prior, and
+the marginal over it is a ratio of gamma functions for each word and its count.
 
 The vocabulary and its first scores come from a file; which pieces exist is never changed. Scores are
 fitted by expectation maximisation over the distinct words of all training documents. Word counts
@@ -36,6 +38,9 @@ FRONT = "▁".encode()
 FREQUENT = 200_000
 ROUNDS = 2
 SMOOTH = 0.05
+# Weight of the word distribution, in words, against the document's own counts.
+PRIOR = 2_000.0
+_LN10 = float(np.log(10.0))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 _LOWER = bytes(range(256)).lower()
@@ -244,6 +249,29 @@ class Shares(NamedTuple):
         return rest + np.logaddexp(arc, np.log(self.discount * self.distinct / self.words) + log_lattice)
 
 
+def log_gamma(z):
+    """Logarithm of the gamma function for z >= 1, by Stirling's series seven places up.
+
+    For arrays and, with the functions of Spark, for columns.
+    """
+    log = F.log if isinstance(z, Column) else np.log
+    up = z + 7.0
+    below = z
+    for k in range(1, 7):
+        below = below * (z + float(k))
+    series = 1.0 / (12.0 * up) - 1.0 / (360.0 * up * up * up) + 1.0 / (1260.0 * up * up * up * up * up)
+    return (up - 0.5) * log(up) - up + 0.5 * float(np.log(2 * np.pi)) + series - log(below)
+
+
+def log10_uses(lp, n, prior: float):
+    """Log10 marginal weight of ``n`` uses of a word of log10 probability ``lp``: gamma(x + n) / gamma(x)
+    for x = prior times the probability, written so that a vanishing x keeps its logarithm."""
+    exp = F.exp if isinstance(lp, Column) else np.exp
+    log_x = lp * _LN10 + float(np.log(prior))
+    x = exp(log_x)
+    return (log_x + log_gamma(x + n) - log_gamma(x + 1.0)) / _LN10
+
+
 def _values(counts: DataFrame, pieces: Pieces, shares: Shares) -> DataFrame:
     """``word``, ``n``, ``c`` and ``lp``, the log10 probability of the word."""
 
@@ -260,7 +288,7 @@ def _values(counts: DataFrame, pieces: Pieces, shares: Shares) -> DataFrame:
     return counts.mapInArrow(run, "word binary, n long, c long, lp double")
 
 
-def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int = ROUNDS, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int = ROUNDS, frequent: int = FREQUENT, prior: float = PRIOR) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` per document."""
     counts = materialise(word_counts(docs, training))
     # The end is a token of every training document.
@@ -278,7 +306,7 @@ def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int
     sent = docs.sparkSession.sparkContext.broadcast(
         (top.column("word").to_pylist(), top.column("c").to_numpy(), top.column("lp").to_numpy())
     )
-    log_end = float(np.log10(shares.p_end))
+    log_end = float(np.log10(prior * shares.p_end))
     base_end = float(np.log10(ends + 1)) - scale
     known_end = int(ends > 0)
     names = ["doc_id", "h", "word", "n", "tokens", "known", "base", "lp_sum"]
@@ -289,7 +317,6 @@ def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int
         # The last place stands for words that are not here.
         known = np.append(c > 0, False).astype(np.int64)
         base = np.append(np.log10(c + 1) - scale, 0.0)
-        lp = np.append(lp, 0.0)
         absent = len(words)
         for batch in batches:
             columns: list[list] = [[] for _ in names]
@@ -297,9 +324,13 @@ def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int
                 tokens = words_of(text)
                 at = np.fromiter(map(place.get, tokens, repeat(absent)), np.int64, len(tokens))
                 rest = Counter([tokens[i] for i in np.flatnonzero(at == absent).tolist()])
+                used, times = np.unique(at[at < absent], return_counts=True)
+                own_words = float(log10_uses(lp[used], times, prior).sum())
+                size = np.array([prior, prior + len(tokens) + 1])
+                own_words += float(np.subtract(*log_gamma(size))) / _LN10 + log_end
                 h = xxhash.xxh64_intdigest(text or b"", 7) - (1 << 63)
                 # No word holds a space, so this row meets no word and rows spread by their text.
-                own = (b" %d" % h, 0, len(tokens) + 1, int(known[at].sum()) + known_end, float(base[at].sum()) + base_end, float(lp[at].sum()) + log_end)
+                own = (b" %d" % h, 0, len(tokens) + 1, int(known[at].sum()) + known_end, float(base[at].sum()) + base_end, own_words)
                 for values in (own, *((w, k, 0, 0, 0.0, 0.0) for w, k in rest.items())):
                     columns[0].append(row)
                     columns[1].append(h)
@@ -326,7 +357,7 @@ def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int
         "tokens",
         (F.col("known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
         (F.col("base") + F.col("n") * (F.log10(c + 1) - F.lit(scale))).alias("base"),
-        (F.col("lp_sum") + F.col("n") * F.coalesce("lp", F.lit(0.0))).alias("lp"),
+        (F.col("lp_sum") + F.when(F.col("n") > 0, log10_uses(F.col("lp"), F.col("n"), prior)).otherwise(0.0)).alias("lp"),
     )
     sums_of = [F.sum(x).alias(x) for x in ("copies", "tokens", "known", "base", "lp")]
     each = found.groupBy("doc_id", "h").agg(*sums_of)

@@ -80,6 +80,20 @@ def test_word_probabilities_stay_a_distribution(pieces):
     assert abs(own + left + shares.p_end - 1) < 1e-12
 
 
+def test_marginal_of_repeated_words(spark):
+    from pyspark.sql import functions as F
+
+    cases = [(-0.3, 1), (-2.5, 3), (-8.0, 1), (-8.0, 2), (-30.0, 40), (-400.0, 2), (-1.0, 30_000)]
+    lp, n = (np.array(c, float) for c in zip(*cases, strict=True))
+    got = lattice.log10_uses(lp, n, 50.0)
+    for value, (p, k) in zip(got, cases, strict=True):
+        want = sum(math.log10(50.0 * 10**p + i) if 10**p or i else p + math.log10(50.0) for i in range(k))
+        assert abs(value - want) < 1e-6 * max(1, abs(want))
+    df = spark.createDataFrame([(float(p), k) for p, k in cases], "lp double, n long")
+    columns = [r[0] for r in df.select(lattice.log10_uses(F.col("lp"), F.col("n"), 50.0)).collect()]
+    assert np.allclose(sorted(columns), sorted(got))
+
+
 def test_empty_table_and_no_training(spark):
     assert lattice.score(odd.empty(spark), F.lit(True), rounds=1).count() == 0
     got = lattice.score(odd.documents(spark), F.lit(False), rounds=1).collect()
