@@ -1,5 +1,7 @@
 """The results of the queries in plain SQL."""
 
+import re
+
 from bindings import queries as q
 from pairloom import schemas as s
 from pairloom.functions import prompts
@@ -233,7 +235,12 @@ def long_metrics(by: str) -> str:
     return f"long_metrics AS ({rows})"
 
 
-RUN_METRICS = ",\n".join([FILLED, metrics("run_id, model"), long_metrics("run_id, model")])
+# Read several times below: computed once.
+RUN_METRICS = re.sub(
+    r"\b(filled|metrics|long_metrics) AS \(",
+    r"\1 AS MATERIALIZED (",
+    ",\n".join([FILLED, metrics("run_id, model"), long_metrics("run_id, model")]),
+)
 
 GATE = f"""{RUN_METRICS},
 gate AS (

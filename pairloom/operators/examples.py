@@ -73,33 +73,31 @@ def _encode_in_place(df: DataFrame, vocab: DataFrame, cols: dict[str, str]) -> D
 
 
 def _encode_by_join(
-    df: DataFrame, vocab: DataFrame, col: str, out: str, key: str, min_rows: int | None
+    df: DataFrame, vocab: DataFrame, cols: dict[str, str], min_rows: int | None
 ) -> DataFrame:
-    """Look tokens up with a shuffle, for vocabularies of any size. ``key`` identifies a row."""
-    words = df.select(key, F.posexplode_outer(tokens(F.coalesce(F.col(col), F.lit("")))).alias("pos", "token"))
-    ids = (
-        salted_join(words, vocab.select("token", "id"), ["token"], "left", min_rows)
-        .groupBy(key)
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.when(
-                        F.col("pos").isNotNull(),
-                        F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).cast("int").alias("id")),
-                    )
-                )
-            ).alias("_ids")
+    """Look tokens up with a shuffle, for vocabularies of any size.
+
+    Rows are told apart by a number that is stored with them, so keys may be null or repeated.
+    """
+    out = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = out
+    for col, ids_col in cols.items():
+        words = numbered.select("_row", F.posexplode(tokens(F.coalesce(F.col(col), F.lit("")))).alias("pos", "token"))
+        ids = (
+            salted_join(words, vocab.select("token", "id"), ["token"], "left", min_rows)
+            .groupBy("_row")
+            .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).cast("int").alias("id")))).alias("_ids"))
+            .select("_row", F.transform("_ids", lambda s: s["id"]).alias(ids_col))
         )
-        .select(key, F.transform("_ids", lambda s: s["id"]).alias(out))
-    )
-    return df.join(ids, key)
+        # A text without tokens has no row on the right.
+        out = out.join(ids, "_row", "left").withColumn(ids_col, F.coalesce(ids_col, F.array().cast(_IDS)))
+    return out.drop("_row")
 
 
 def encode_tokens(
     df: DataFrame,
     vocab: DataFrame,
     cols: dict[str, str],
-    key: str = "ex_id",
     max_rows: int = 1_000_000,
     max_bytes: int = 128 * 1024 * 1024,
     min_rows: int | None = None,
@@ -107,13 +105,12 @@ def encode_tokens(
     """Add id arrays: ``cols`` maps text columns to output columns. Unknown tokens get id 0.
 
     A vocabulary within the measured bounds is shipped to the tasks and nothing is shuffled; a
-    larger one is joined token by token. ``vocab`` is read more than once: materialise or store it.
+    larger one is joined token by token. Both ways return the same rows, repeated ones and those with
+    null keys included. ``vocab`` is read more than once: materialise or store it.
     """
     if fits_broadcast(vocab, max_rows, max_bytes):
         return _encode_in_place(df, vocab, cols)
-    for col, out in cols.items():
-        df = _encode_by_join(df, vocab, col, out, key, min_rows)
-    return df
+    return _encode_by_join(df, vocab, cols, min_rows)
 
 
 def assemble_examples(
@@ -136,12 +133,12 @@ def max_length(df: DataFrame, group: str = "task") -> DataFrame:
 
 
 def pad_right(df: DataFrame, lengths: DataFrame | None = None, group: str = "task") -> DataFrame:
-    """Pad all three arrays to the longest example of the group.
+    """Pad all three arrays to the longest example of the group; rows without a group are one.
 
     Without ``lengths`` the examples are read twice: pass stored examples, or lengths known already.
     """
     lengths = materialise(max_length(df, group)) if lengths is None else lengths
-    joined = lookup_join(df, lengths, [group])
+    joined = lookup_join(df, lengths, [group], null_safe=True)
     fill = F.col("max_len") - F.size("input_ids")
 
     def padded(col: str, value: int) -> Column:

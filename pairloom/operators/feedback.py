@@ -58,4 +58,5 @@ def feedback_pairs(rows: DataFrame) -> DataFrame:
 
 
 def feedback_daily_counts(rows: DataFrame, ts_col: str = "ts") -> DataFrame:
-    return rows.groupBy(F.to_date(ts_col).alias("day"), "task").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Rows per day and task; a time that is none counts under a null day."""
+    return rows.groupBy(F.col(ts_col).try_cast("date").alias("day"), "task").agg(F.count(F.lit(1)).alias("n_rows"))

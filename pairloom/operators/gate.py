@@ -4,7 +4,7 @@
 metrics are long: (*by, metric, value).
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.schemas import GATE_METRICS, GATE_THRESHOLD, HYPERPARAMETERS
@@ -22,18 +22,25 @@ def regression_gate(
     A metric that is missing counts as 0; a new value of 0 is skipped. Without a baseline nothing
     can regress.
     """
-    checked = F.explode(F.array(*[F.lit(m) for m in metrics])).alias("metric")
+    sides = [new.select(*by, "metric", "value", F.lit(True).alias("_new"))]
+    if baseline is not None:
+        sides.append(baseline.select(*by, "metric", "value", F.lit(False).alias("_new")))
+    both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+
+    def value(metric: str, side: Column) -> Column:
+        found = F.max(F.when((F.col("metric") == metric) & side, F.col("value")))
+        return F.coalesce(found, F.lit(0.0))
+
+    # One exchange: both values of every metric meet in one aggregate.
+    of_new, of_old = F.col("_new"), ~F.col("_new")
+    checked = F.array(
+        *[F.struct(F.lit(m).alias("metric"), value(m, of_old).alias("old"), value(m, of_new).alias("new")) for m in metrics]
+    )
+    judged = both.groupBy(*by).agg(checked.alias("_checked"), F.count_if(of_new).alias("_rows"))
     if by:
-        wanted = new.select(*by).distinct().select(*by, checked)
-    else:
-        wanted = new.sparkSession.range(1).select(checked)
+        judged = judged.where(F.col("_rows") > 0)
+    joined = judged.select(*by, F.explode("_checked").alias("_c")).select(*by, "_c.*")
     on = [*by, "metric"]
-    old = new.where(F.lit(False)) if baseline is None else baseline
-    joined = (
-        wanted.join(new.select(*on, F.col("value").alias("new")), on, "left")
-        .join(old.select(*on, F.col("value").alias("old")), on, "left")
-        .fillna(0.0, ["new", "old"])
-    )
     status = (
         F.when(F.col("new") == 0, "skipped")
         .when(F.col("new") < F.col("old") - F.lit(threshold), "regression")

@@ -1,6 +1,6 @@
 """Joins of a large table with a side that is usually, but not provably, small."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -8,8 +8,9 @@ from pairloom.storage import materialise
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 256 * 1024 * 1024
-# A key with fewer rows never counts as hot.
+# A key with fewer rows and bytes never counts as hot.
 HOT_ROWS = 100_000
+HOT_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(
@@ -23,6 +24,18 @@ def fits_broadcast(
     return size["n"] <= max_rows and size["b"] <= max_bytes
 
 
+def _matched(
+    big: DataFrame, small: DataFrame, on: list[str], how: str, null_safe: bool, extra: tuple[str, ...] = ()
+) -> DataFrame:
+    """Join on ``on`` (nulls equal each other if ``null_safe``) and ``extra``; keys come from ``big``."""
+    names = {c: f"_right_{c}" for c in (*on, *extra)}
+    right = small.withColumnsRenamed(names)
+    same = F.lit(True)
+    for c, r in names.items():
+        same &= big[c].eqNullSafe(right[r]) if null_safe and c in on else big[c] == right[r]
+    return big.join(right, same, how).drop(*names.values())
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
@@ -31,33 +44,46 @@ def lookup_join(
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
     size_of: DataFrame | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join that leaves ``big`` in place while ``small`` fits a broadcast, and salts hot keys if not.
 
     ``small`` is read twice: materialise it first when it is costly to compute, or name in
-    ``size_of`` the cheaper table to measure in its place.
+    ``size_of`` the cheaper table to measure in its place. ``how`` is inner or left; with
+    ``null_safe`` null is a key like any other. Both ways return the same rows.
     """
     if fits_broadcast(small if size_of is None else size_of, max_rows, max_bytes):
-        return big.join(F.broadcast(small), on, how)
-    return salted_join(big, small, on, how)
+        return _matched(big, F.broadcast(small), on, how, null_safe)
+    return salted_join(big, small, on, how, null_safe=null_safe)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's texts, and eight for any other column."""
+    sizes = [
+        F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
+        if isinstance(f.dataType, (T.StringType, T.BinaryType))
+        else F.lit(8)
+        for f in df.schema
+    ]
+    return sum(sizes[1:], sizes[0]).cast("long")
 
 
 def hot_keys(df: DataFrame, on: list[str], min_rows: int | None = None) -> DataFrame:
-    """Keys with more rows than a quarter of an even shuffle partition, with a number of salts.
+    """Keys, null among them, with more rows or bytes than a quarter of an even shuffle partition,
+    with a number of salts.
 
-    At most four times as many keys as shuffle partitions can exceed that bound.
+    At most eight times as many keys as shuffle partitions can exceed a bound. A given ``min_rows``
+    takes the place of the bound in rows where that is smaller, down to the same number of keys.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    if min_rows is None:
-        # Both uses of the counts read one shuffle.
-        total = counts.agg(F.sum("n")).scalar()
-        bound = F.greatest(F.lit(HOT_ROWS), F.floor(total / (4 * partitions)))
-    else:
-        bound = F.lit(min_rows)
-    return counts.where(F.col("n") > bound).select(
-        *on, F.ceil(F.col("n") / bound).cast("int").alias("_salts")
-    )
+    sized = df.select(*on, row_bytes(df).alias("_b"))
+    counts = sized.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.sum("_b").alias("b"))
+    # All uses of the counts read one shuffle.
+    least_rows, least_bytes = (HOT_ROWS, HOT_BYTES) if min_rows is None else (min_rows, HOT_BYTES)
+    row_bound = F.greatest(F.lit(least_rows), F.floor(counts.agg(F.sum("n")).scalar() / (4 * partitions)))
+    byte_bound = F.greatest(F.lit(least_bytes), F.floor(counts.agg(F.sum("b")).scalar() / (4 * partitions)))
+    salts = F.ceil(F.greatest(F.col("n") / row_bound, F.col("b") / byte_bound)).cast("int")
+    return counts.select(*on, salts.alias("_salts")).where(F.col("_salts") > 1)
 
 
 def salted_join(
@@ -66,10 +92,12 @@ def salted_join(
     on: list[str],
     how: str = "inner",
     min_rows: int | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Shuffle join that spreads every hot key of ``big`` over several partitions.
 
-    Only rows of hot keys in ``small`` are repeated. ``how`` is inner or left.
+    Only rows of hot keys in ``small`` are repeated. A hot null key is spread too, whether or not it
+    can meet a row. ``how`` is inner or left.
     """
     hot = materialise(hot_keys(big, on, min_rows))
     # Equal rows differ in their input partition, so copies spread as well.
@@ -80,13 +108,13 @@ def salted_join(
     ]
     spread = F.pmod(F.xxhash64(*plain) + F.spark_partition_id(), F.col("_salts"))
     left = (
-        big.join(F.broadcast(hot), on, "left")
+        _matched(big, F.broadcast(hot), on, "left", null_safe=True)
         .withColumn("_salt", F.coalesce(spread.cast("int"), F.lit(0)))
         .drop("_salts")
     )
     right = (
-        small.join(F.broadcast(hot), on, "left")
+        _matched(small, F.broadcast(hot), on, "left", null_safe=True)
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return _matched(left, right, on, how, null_safe, ("_salt",)).drop("_salt")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pairloom.functions.cleaning import function_name
 from pairloom.schemas import CODE_TASK, DOC_TASK, METRICS, MODELS, SKIPPED_NO_KEY
 
-# Values of a record that was never produced.
+# Field names and contents of a record that was never produced.
 _EMPTY_RECORD = {
     "generated": "",
     "test_passed": 0,
@@ -31,16 +31,22 @@ def fill_skipped(
     models: tuple[str, ...] = MODELS,
     reason: str = SKIPPED_NO_KEY,
 ) -> DataFrame:
-    """A record for every sample and model; absent ones hold empty values and the reason."""
+    """A record for every sample and model; absent ones hold empty values and the reason.
+
+    A record that exists keeps its nulls, such as the score of a generation without a reference.
+    """
     on = [*keys, "model"]
     extra = [c for c in results.columns if c not in on and c not in samples.columns]
-    filled = with_models(samples, models).join(results.select(*on, *extra), on, "left")
+    filled = with_models(samples, models).join(
+        results.select(*on, *extra, F.lit(True).alias("_made")), on, "left"
+    )
     values = {c: v for c, v in _EMPTY_RECORD.items() if c in extra}
     if "raw_response" in extra:
         values["raw_response"] = reason
+    absent = F.col("_made").isNull()
     return filled.withColumns(
-        {c: F.coalesce(F.col(c), F.lit(v).cast(filled.schema[c].dataType)) for c, v in values.items()}
-    )
+        {c: F.when(absent, F.lit(v).cast(filled.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}
+    ).drop("_made")
 
 
 def assemble_results(
@@ -49,14 +55,17 @@ def assemble_results(
     keys: tuple[str, ...] = ("sample_id",),
     models: tuple[str, ...] = MODELS,
 ) -> DataFrame:
-    """One row per sample with a nested record per model. ``results`` has one row per key and model."""
+    """One row per sample with a nested record per model, null where there is none.
+
+    ``results`` has one row per key and model.
+    """
     meta = ("task", "function_name", "code")
     fields = [c for c in results.columns if c not in keys and c != "model" and c not in meta]
     record = F.struct(*fields)
     nested = results.groupBy(*keys).agg(
         *[F.first(F.when(F.col("model") == m, record), ignorenulls=True).alias(m) for m in models]
     )
-    return samples.join(nested, list(keys)).select(
+    return samples.join(nested, list(keys), "left").select(
         *keys,
         "task",
         F.coalesce("function_name", F.lit("")).alias("function_name"),
@@ -66,7 +75,8 @@ def assemble_results(
 
 
 def _mean(value: str, keep: Column) -> Column:
-    """Mean to 4 places, 0 for no rows. Summed as decimals, so the row order cannot matter."""
+    """Mean of known values to 4 places, 0 for none. Summed as decimals, so the row order cannot matter."""
+    keep = keep & F.col(value).isNotNull()
     exact = F.sum(F.when(keep, F.col(value).cast("decimal(24,4)"))).cast("double")
     return F.round(F.coalesce(F.try_divide(exact, F.count_if(keep)), F.lit(0.0)), 4)
 

@@ -51,15 +51,17 @@ def bleu(
 ) -> DataFrame:
     """Add the BLEU-4 score, rounded to 4 places, of each row against the reference of its key.
 
-    ``refs`` has one row per key. References that fit a broadcast go to the rows; others are joined
+    A row whose key is null or has no reference keeps its place and has no score (null). ``refs`` has
+    one row per key. References that fit a broadcast go to the rows; others are joined
     with hot keys salted. The score itself needs no further shuffle.
     """
     profiles = reference_profiles(refs, on, ref_col)
     joined = lookup_join(
-        hyps, profiles, on, max_bytes=BROADCAST_BYTES // PROFILE_GROWTH, size_of=refs.select(*on, ref_col)
+        hyps, profiles, on, "left", max_bytes=BROADCAST_BYTES // PROFILE_GROWTH, size_of=refs.select(*on, ref_col)
     )
     score = F.expr(bleu_score(tokens_sql(f"`{hyp_col}`"), "_profile"))
-    return joined.withColumn(out, F.round(score, 4)).drop("_profile")
+    scored = F.when(F.col("_profile").isNotNull(), F.round(score, 4))
+    return joined.withColumn(out, scored).drop("_profile")
 
 
 def clean_output(df: DataFrame, col: str = "raw_response", out: str = "generated") -> DataFrame:

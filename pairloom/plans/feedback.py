@@ -4,10 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.operators.feedback import feedback_pairs, feedback_summary, parse_feedback
 from pairloom.sources.feedback import feedback_json_sink, load_feedback_csv
+from pairloom.storage import materialise
 
 
 def collect_feedback(spark: SparkSession, directory: str, out_dir: str) -> DataFrame:
     """Write parsed rows and positive pairs; returns the summary."""
-    rows = parse_feedback(load_feedback_csv(spark, directory)).drop("file")
+    # The files are read once; everything else reads the stored rows.
+    rows = materialise(parse_feedback(load_feedback_csv(spark, directory)).drop("file", "pos"))
     feedback_json_sink(rows, feedback_pairs(rows), out_dir)
     return feedback_summary(rows)

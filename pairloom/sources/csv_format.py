@@ -1,4 +1,12 @@
-"""CSV options under which any text, empty string and null survive a round trip."""
+"""CSV options under which any text, empty string and null survive a round trip, and reading by header."""
+
+import csv
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BASE = {
     "header": True,
@@ -11,3 +19,43 @@ _BASE = {
 WRITE = _BASE
 # The null mark keeps a quoted empty field apart from a bare one, which is null.
 READ = {**_BASE, "multiLine": True, "nullValue": "\u0000", "emptyValue": ""}
+
+
+def read_by_header(spark: SparkSession, pattern: str, needed: T.StructType) -> DataFrame:
+    """The ``needed`` columns of all matching files by the names in each file's own header, besides
+    ``_path`` and ``_pos``, which orders the rows of a file.
+
+    Headers are read by the cluster, one line for each file; files with equal headers are read
+    together. A name that a header repeats means its last column. A file without a needed column
+    contributes no rows, and no file at all gives an empty table.
+    """
+    out = T.StructType([*needed, T.StructField("_path", T.StringType()), T.StructField("_pos", T.LongType())])
+    try:
+        lines = spark.read.text(pattern)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], out)
+    starts = lines.where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at")
+    )
+    first = starts.groupBy("path").agg(F.min_by("value", "at").alias("header")).collect()
+    files: dict[tuple[str, ...], list[str]] = {}
+    for row in first:
+        names = tuple(next(csv.reader([row["header"].lstrip("\ufeff")]), []))
+        if set(needed.names) <= set(names):
+            files.setdefault(names, []).append(row["path"])
+    parts = []
+    for names, paths in sorted(files.items()):
+        kinds = {f.name: f.dataType for f in needed}
+        last = {n: i for i, n in enumerate(names)}
+        schema = T.StructType([T.StructField(f"_{i}", kinds.get(n, T.StringType()) if last[n] == i else T.StringType()) for i, n in enumerate(names)])
+        rows = spark.read.schema(schema).options(**READ).csv(sorted(paths))
+        parts.append(
+            rows.select(
+                *[F.col(f"_{last[n]}").alias(n) for n in needed.names],
+                F.col("_metadata.file_path").alias("_path"),
+                F.monotonically_increasing_id().alias("_pos"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], out)

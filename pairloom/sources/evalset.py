@@ -9,9 +9,11 @@ from pairloom.schemas import CODE_TASK, DOC_TASK, EVAL_SAMPLE
 def load_eval_set(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Samples of both tasks. Files hold one JSON array each, or one sample per line (``lines``).
 
-    An array file is read by one task; use several files, or lines, for large sets.
+    An array file is read by one task; use several files, or lines, for large sets. A file that is
+    no JSON, or has a field of another type, fails the job.
     """
-    return spark.read.schema(EVAL_SAMPLE).option("multiLine", not lines).json(path)
+    reader = spark.read.schema(EVAL_SAMPLE).option("mode", "FAILFAST")
+    return reader.option("multiLine", not lines).json(path)
 
 
 def code_samples(df: DataFrame) -> DataFrame:

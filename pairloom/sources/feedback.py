@@ -7,37 +7,44 @@ from pairloom.schemas import FEEDBACK_RAW
 from pairloom.sources import csv_format
 
 NAME_PATTERN = "feedback_*.csv"
+# A quoted field may span lines, so a file is read by one task: keep files small.
+ROWS_PER_FILE = 1_000_000
 
 
 def load_feedback_csv(spark: SparkSession, directory: str, partitioned: bool = False) -> DataFrame:
     """Rows of all files named ``feedback_*.csv``, with the file name; other files are not opened.
 
-    ``partitioned`` reads the layout of ``write_feedback_csv``. Rows carry ``file`` for ordering by
-    name; they are not sorted.
+    Columns are found by header. ``partitioned`` reads the layout of ``write_feedback_csv``. Rows are
+    not sorted: ``file``, then ``pos``, is the order of the source.
     """
     prefix = "file=" if partitioned else ""
-    reader = spark.read.schema(FEEDBACK_RAW).options(**csv_format.READ)
-    rows = reader.csv(f"{directory}/{prefix}{NAME_PATTERN}")
+    inner = "/*.csv" if partitioned else ""
+    rows = csv_format.read_by_header(spark, f"{directory}/{prefix}{NAME_PATTERN}{inner}", FEEDBACK_RAW)
     # A bare empty field is an empty text here. A row that ends early lacks its rating.
     texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in FEEDBACK_RAW.names[:-1]]
-    name = F.regexp_extract(F.col("_metadata.file_path"), rf"/{prefix}(feedback_[^/]*\.csv)", 1)
+    name = F.regexp_extract(F.col("_path"), rf"/{prefix}(feedback_[^/]*\.csv)", 1)
     return rows.select(
-        F.url_decode(name).alias("file"),
-        *texts,
-        F.col("rating").alias("rating_raw"),
+        F.url_decode(name).alias("file"), F.col("_pos").alias("pos"), *texts, F.col("rating").alias("rating_raw")
     )
 
 
-def write_feedback_csv(df: DataFrame, directory: str) -> None:
-    """Rows below one folder per daily file name (column ``file``)."""
+def write_feedback_csv(df: DataFrame, directory: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Rows below one folder per daily file name (column ``file``).
+
+    Rows of a day are brought together up to the size of a partition, so a day has few files and a
+    busy day still is written by several tasks.
+    """
     columns = ["file", *FEEDBACK_RAW.names]
-    df.select(*columns).write.mode("append").options(**csv_format.WRITE).partitionBy("file").csv(
-        directory
-    )
+    dealt = df.select(*columns).hint("rebalance", F.col("file"))
+    writer = dealt.write.mode("append").options(**csv_format.WRITE).option("maxRecordsPerFile", rows_per_file)
+    writer.partitionBy("file").csv(directory)
 
 
 def feedback_json_sink(rows: DataFrame, pairs: DataFrame, out_dir: str) -> list[str]:
-    """Write all rows and the training pairs as JSON lines; nothing is written for an empty table."""
+    """Write all rows and the training pairs as JSON lines; nothing is written for an empty table.
+
+    Each table is asked for twice: pass materialised rows and pairs made from them.
+    """
     written = []
     for name, df in (("all_feedback", rows), ("training_pairs", pairs)):
         if not df.isEmpty():

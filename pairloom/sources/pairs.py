@@ -17,8 +17,10 @@ def write_pairs_csv(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE
     ).csv(path)
 
 
-def read_pairs_csv(spark: SparkSession, path: str, schema: T.StructType = PAIRS) -> DataFrame:
-    return spark.read.schema(schema).options(**csv_format.READ).csv(path)
+def read_pairs_csv(spark: SparkSession, path: str, schema: T.StructType | str = PAIRS) -> DataFrame:
+    """Pairs of a file or folder; columns are found by each file's header."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return csv_format.read_by_header(spark, path, schema).select(*schema.names)
 
 
 def write_examples(df: DataFrame, path: str) -> None:

@@ -1,11 +1,13 @@
 """Evaluation results, run records and the versioned baseline."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.cleaning import truncate_response
-from pairloom.operators.gate import gate_verdict, promote_baseline, regression_gate
+from pairloom.operators.gate import gate_verdict, metrics_diff, params_diff, promote_baseline, regression_gate
 from pairloom.schemas import MODELS, RESPONSE_LIMIT
+from pairloom.storage import materialise
 
 
 def run_config(
@@ -47,9 +49,35 @@ def results_json_sink(
 
 
 def append_run_record(record: DataFrame, path: str) -> None:
+    """Add (run_id, key, value) rows."""
     record.write.mode("append").partitionBy("run_id").parquet(path)
 
 
+def append_run_metrics(metrics: DataFrame, path: str) -> None:
+    """Add (run_id, model, metric, value) rows."""
+    metrics.write.mode("append").partitionBy("run_id").parquet(path)
+
+
+_RECORD = "key string, value string, run_id string"
+_RUN_METRICS = "model string, metric string, value double, run_id string"
+
+
+def read_runs(spark: SparkSession, path: str, *run_ids: str, metrics: bool = False) -> DataFrame:
+    """Stored records, or metrics, of the named runs, of all runs without names."""
+    rows = spark.read.schema(_RUN_METRICS if metrics else _RECORD).parquet(path)
+    return rows.where(F.col("run_id").isin(*run_ids)) if run_ids else rows
+
+
+def diff_runs(spark: SparkSession, records: str, metrics: str, a: str, b: str) -> tuple[DataFrame, DataFrame]:
+    """Differences of parameters and of metrics between two stored runs."""
+
+    def of(path: str, run: str, is_metrics: bool) -> DataFrame:
+        return read_runs(spark, path, run, metrics=is_metrics).drop("run_id")
+
+    params = params_diff(of(records, a, False), of(records, b, False))
+    return params, metrics_diff(of(metrics, a, True), of(metrics, b, True), ("model",))
+
+
 _BASELINE = "metric string, value double"
 
 
@@ -78,12 +106,24 @@ def gate_and_promote(spark: SparkSession, new: DataFrame, path: str) -> bool:
     A version is a new folder and becomes current by a pointer row written after it, so a failed
     job leaves the old baseline in force.
     """
+    new = materialise(new.select("metric", "value"))
     baseline = read_baseline(spark, path)
     verdict = gate_verdict(regression_gate(new, baseline))
     passed = bool(verdict.first()["passed"])
     if passed:
-        version = _version(spark, path) + 1
-        promoted = promote_baseline(new, baseline, verdict).select("metric", "value")
-        promoted.write.mode("overwrite").parquet(f"{path}/metrics/version={version}")
+        version = _store(promote_baseline(new, baseline, verdict), path, _version(spark, path) + 1)
         spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{path}/pointer")
     return passed
+
+
+def _store(promoted: DataFrame, path: str, version: int) -> int:
+    """Write to the first free version: another job, or one that failed, may hold the next one."""
+    while True:
+        target = f"{path}/metrics/version={version}"
+        try:
+            promoted.select("metric", "value").write.mode("errorifexists").parquet(target)
+            return version
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            version += 1

@@ -9,6 +9,7 @@ from pairloom.schemas import FEEDBACK_RAW
 from pairloom.sources import csv_format
 
 ROWS_PER_FILE = 5_000_000
+FILES_PER_DAY = 8
 
 
 def read_feedback_stream(
@@ -31,14 +32,21 @@ def read_feedback_stream(
 
 
 def feedback_append_stream(
-    ratings: DataFrame, out_dir: str, checkpoint: str, ts_col: str = "timestamp"
+    ratings: DataFrame,
+    out_dir: str,
+    checkpoint: str,
+    ts_col: str = "timestamp",
+    files_per_day: int = FILES_PER_DAY,
 ) -> StreamingQuery:
     """Append every rating to the folder of its day, exactly once; ends when the input is read.
 
-    Rows stay in the tasks that read them: a busy day needs no shuffle and is written by all tasks.
+    A time that is none goes to the folder of the null day. Days are dealt to ``files_per_day`` tasks
+    each, so a batch adds at most so many files to a day, however many tasks read it.
     """
+    share = F.pmod(F.xxhash64(*ratings.columns), F.lit(files_per_day))
     return (
-        ratings.withColumn("day", F.to_date(ts_col))
+        ratings.withColumn("day", F.col(ts_col).try_cast("date"))
+        .repartition("day", share)
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .option("maxRecordsPerFile", ROWS_PER_FILE)
@@ -49,11 +57,15 @@ def feedback_append_stream(
     )
 
 
-def daily_counts_stream(ratings: DataFrame, ts_col: str = "ts", late: str = "1 day") -> DataFrame:
-    """Running rows per day and task. State is one count per open day and task."""
+def daily_counts_stream(ratings: DataFrame, ts_col: str = "ts", late: str | None = None) -> DataFrame:
+    """Running rows per day and task. State is one count per open day and task.
+
+    Without ``late`` no rating is ever dropped and every day stays open (complete or update mode);
+    with it, ratings that come later than that are ignored, as append mode needs.
+    """
+    timed = ratings if late is None else ratings.withWatermark(ts_col, late)
     return (
-        ratings.withWatermark(ts_col, late)
-        .groupBy(F.window(ts_col, "1 day").alias("w"), "task")
+        timed.groupBy(F.window(ts_col, "1 day").alias("w"), "task")
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .select(F.to_date("w.start").alias("day"), "task", "n_rows")
     )

@@ -3,7 +3,7 @@ from conftest import plan, rows
 from pyspark.sql import functions as F
 
 from pairloom.operators import curate, split
-from pairloom.operators.joins import hot_keys, salted_join
+from pairloom.operators.joins import hot_keys, lookup_join, salted_join
 
 
 def pairs(spark, n):
@@ -74,15 +74,44 @@ def test_split_does_not_depend_on_layout(spark):
     assert rows(split.exact_split(df, seed=43)) != want
 
 
-def test_split_keeps_copies_of_a_key_together(spark):
-    # One key holds a third of all rows.
-    df = spark.range(600).select(
-        F.when(F.col("id") < 200, F.lit(0)).otherwise(F.col("id")).alias("ex_id"), F.lit("t").alias("task")
+def copies(spark):
+    """One key holds a third of all rows."""
+    key = F.when(F.col("id") < 200, F.lit(0)).otherwise(F.col("id"))
+    return spark.range(600).repartition(5).select(key.alias("ex_id"), F.lit("t").alias("task"))
+
+
+@pytest.mark.parametrize("seed", range(42, 47))
+def test_split_is_exact_with_copies(spark, seed):
+    out = split.exact_split(copies(spark), seed=seed)
+    assert rows(out.groupBy("part").count()) == [("train", 480), ("validation", 120)]
+    mixed = out.groupBy("ex_id").agg(F.count_distinct("part").alias("n")).where("n > 1")
+    assert mixed.count() <= 1
+    together = split.exact_split(copies(spark), seed=seed, keep_copies=True)
+    assert together.count() == 600 and together.where("part = 'train'").count() <= 480
+    assert together.groupBy("ex_id").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
+
+
+def test_rows_without_a_group_are_one_group(spark):
+    df = pairs(spark, 30).withColumns(
+        {"task": F.when(F.col("ex_id") % 3 > 0, F.lit("t")), "ord": F.col("ex_id")}
+    )
+    assert rows(split.split_counts(split.exact_split(df))) == sorted(
+        [(None, "train", 8), (None, "validation", 2), ("t", "train", 16), ("t", "validation", 4)], key=repr
+    )
+    assert rows(curate.sample_per_task(df, 4).groupBy("task").count()) == sorted([(None, 4), ("t", 4)], key=repr)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 7, 11, 30, 99])
+def test_prefixes_are_exact_on_equal_keys(spark, n):
+    df = pairs(spark, 30).repartition(4).withColumns(
+        {"task": F.when(F.col("ex_id") < 20, "t"), "split_rank": F.lit(0), "ord": F.floor(F.col("ex_id") / 10)}
     )
-    out = split.exact_split(df)
-    assert out.count() == 600
-    assert out.groupBy("ex_id").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
-    assert out.where("part = 'train'").count() <= 480
+    df = df.withColumn("ord", F.when(F.col("ord") > 0, F.col("ord")))
+    first = curate.first_n(df, n)
+    assert first.columns == df.columns and first.distinct().count() == min(n, 30)
+    assert first.where("ord is null").count() == min(n, 10)
+    got = dict(rows(curate.sample_per_task(df, n).groupBy("task").count()))
+    assert got == ({"t": min(n, 20), None: min(n, 10)} if n else {})
 
 
 def test_split_moves_no_rows(spark):
@@ -100,6 +129,33 @@ def test_salted_join_equals_plain_join(spark, how):
     assert rows(salted_join(big, small, ["k"], how, 500)) == rows(big.join(small, ["k"], how))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_both_ways_of_a_lookup_agree_with_null_keys(spark, how, null_safe):
+    big = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 50).alias("k"), (F.col("id") % 7).alias("v"))
+    small = spark.createDataFrame([(None, 5), (1, 6), (2, 7)], "k long, w int")
+    one = lookup_join(big, small, ["k"], how, null_safe=null_safe)
+    two = lookup_join(big, small, ["k"], how, max_rows=0, null_safe=null_safe)
+    three = salted_join(big, small, ["k"], how, 100, null_safe=null_safe)
+    assert one.columns == two.columns == three.columns == ["k", "v", "w"]
+    assert rows(one) == rows(two) == rows(three)
+    want = sum(((k is None and null_safe) or k in (1, 2)) or how == "left" for k, _ in rows(big))
+    assert one.count() == want
+
+
+def test_null_and_heavy_keys_spread(spark, monkeypatch):
+    big = spark.range(400).select(
+        F.when(F.col("id") < 300, F.col("id")).alias("k"),
+        F.when(F.col("id") == 7, F.repeat(F.lit("x"), 1000)).otherwise("y").alias("text"),
+    )
+    assert rows(hot_keys(big, ["k"], 25)) == [(None, 4)]
+    monkeypatch.setattr("pairloom.operators.joins.HOT_BYTES", 950)
+    assert dict(rows(hot_keys(big, ["k"], 1000))).keys() == {7}
+    joined = salted_join(big, spark.createDataFrame([(1, 1)], "k long, w int"), ["k"], "left", 25)
+    used = joined.where("k is null").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_hot_keys_are_relative_to_the_table(spark, monkeypatch):
     monkeypatch.setattr("pairloom.operators.joins.HOT_ROWS", 10)
     df = spark.range(3200).select(F.when(F.col("id") < 1100, 0).otherwise(F.col("id")).alias("k"))

@@ -64,6 +64,23 @@ def test_encoding_by_join_equals_encoding_in_place(pairs, vocab):
     assert "Exchange" not in plan(in_place)
 
 
+def test_both_ways_of_encoding_keep_null_and_repeated_keys(spark, vocab):
+    df = spark.createDataFrame(
+        [(1, "a b", "a"), (1, "a", ""), (None, "b", None), (None, "b", None), (2, None, "returns a .")],
+        "ex_id bigint, prompt string, answer string",
+    )
+    in_place = rows(encoded(df, vocab))
+    assert len(in_place) == 5
+    for min_rows in (None, 1):
+        assert rows(encoded(df, vocab, max_rows=0, min_rows=min_rows)) == in_place
+
+
+def test_padding_keeps_rows_without_a_task(pairs, vocab):
+    made = ex.assemble_examples(encoded(pairs.withColumn("task", F.lit(None).cast("string")), vocab))
+    assert {len(r.input_ids) for r in ex.pad_right(made).collect()} == {11}
+    assert ex.pad_right(made).count() == 5
+
+
 def test_empty_vocabulary(pairs, vocab):
     got = encoded(pairs, vocab.where("false")).where("ex_id = 1").first()
     assert got.prompt_ids == [0, 0, 0]

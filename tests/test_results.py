@@ -1,4 +1,5 @@
 from conftest import rows
+from pyspark.sql import functions as F
 
 from pairloom.operators import gate, results
 from pairloom.schemas import METRICS
@@ -67,6 +68,16 @@ def test_assembled_results(spark):
     assert (nested[2].function_name, nested[2].code) == ("", "")
 
 
+def test_samples_without_records_and_scores_without_references(spark):
+    samples, records = tables(spark)
+    extra = samples.limit(1).withColumn("sample_id", F.lit(77))
+    nested = {r.sample_id: r for r in results.assemble_results(samples.unionByName(extra), records).collect()}
+    assert nested[77].candidate is None and nested[77].base is None
+    unknown = records.withColumn("bleu", F.when(F.col("bleu") != 0.5, F.col("bleu")))
+    filled = results.fill_skipped(samples, unknown)
+    assert filled.where("bleu is null").count() == records.where("bleu = 0.5").count() > 0
+
+
 def metric_rows(spark, **kw):
     names = {"rate": "codegen_pass_rate", "quality": "codegen_quality (1-5)", "bleu": "docgen_bleu"}
     data = [(names[k], float(v)) for k, v in kw.items()]

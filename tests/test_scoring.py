@@ -48,6 +48,15 @@ def test_bleu_against_brute_force(spark):
     check(spark, [(text(), text()) for _ in range(200)] + [("", "a"), ("a", ""), ("a", "a"), ("a b", "b a b")])
 
 
+def test_rows_without_a_reference_stay_without_a_score(spark, monkeypatch):
+    refs = spark.createDataFrame([(1, "a b c d"), (3, None)], "k int, reference string")
+    hyps = spark.createDataFrame([(1, "a b c d"), (2, "x"), (None, "y")], "k int, hypothesis string")
+    want = sorted([(1, "a b c d", 1.0), (2, "x", None), (None, "y", None)], key=repr)
+    assert rows(scoring.bleu(hyps, refs, ["k"])) == want
+    monkeypatch.setattr(scoring, "BROADCAST_BYTES", 0)
+    assert rows(scoring.bleu(hyps, refs, ["k"])) == want
+
+
 def test_bleu_of_long_near_copies(spark):
     rng = random.Random(5)
     words = [f"w{rng.randint(0, 900)}" for _ in range(6000)]

@@ -1,6 +1,9 @@
 import json
 
+import pytest
+
 from conftest import rows
+from pyspark.sql import functions as F
 
 from pairloom.operators import feedback
 from pairloom.plans.feedback import collect_feedback
@@ -33,6 +36,46 @@ def test_pairs_written_elsewhere(spark, tmp_path):
     assert rows(got) == [("", "NA"), ('say "hi"\n', "x")]
 
 
+def test_columns_go_by_the_header_of_each_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("code,text\nc1,t1\n")
+    (tmp_path / "b.csv").write_text('\ufefftext,note,code\nt2,"n\n",c2\nt3,,c3\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text("text,other\nt4,c4\n")
+    (tmp_path / "d.csv").write_text("text,code,text\nold,c5,t5\n")
+    (tmp_path / "e.csv").write_text("")
+    got = pairs.read_pairs_csv(spark, str(tmp_path / "*.csv"), "text string, code string")
+    assert rows(got) == [("t1", "c1"), ("t2", "c2"), ("t3", "c3"), ("t5", "c5")]
+    assert pairs.read_pairs_csv(spark, str(tmp_path / "none*.csv")).columns == PAIRS.names
+    only = pairs.read_pairs_csv(spark, str(tmp_path / "c.csv"), "text string, code string")
+    assert only.count() == 0
+
+
+def test_feedback_without_files_and_in_source_order(spark, tmp_path):
+    assert files.load_feedback_csv(spark, str(tmp_path)).count() == 0
+    head = "rating,extra,response,prompt,task,timestamp\n"
+    (tmp_path / "feedback_2.csv").write_text(head + "".join(f"1,e,r,p{i},task_1,t\n" for i in range(20)))
+    (tmp_path / "feedback_1.csv").write_text("timestamp,task,prompt,response,rating\nt,task_2,first,r,0\n")
+    loaded = files.load_feedback_csv(spark, str(tmp_path)).orderBy("file", "pos").collect()
+    assert [r.prompt for r in loaded] == ["first", *[f"p{i}" for i in range(20)]]
+    assert (loaded[1].timestamp, loaded[1].rating_raw) == ("t", "1")
+
+
+def test_a_day_has_few_files(spark, tmp_path):
+    df = spark.range(2000).repartition(16).select(
+        F.concat(F.lit("feedback_"), (F.col("id") % 3).cast("string"), F.lit(".csv")).alias("file"),
+        *[F.lit("x").alias(c) for c in ("timestamp", "task", "prompt", "response", "rating")],
+    )
+    files.write_feedback_csv(df, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*/part*"))) == 3
+    assert files.load_feedback_csv(spark, str(tmp_path / "out"), partitioned=True).count() == 2000
+
+
+def test_broken_evaluation_files_fail(spark, tmp_path):
+    for i, text in enumerate(('[{"id": 1, "task": "x"}, {"id": 2', '[{"id": "one"}]')):
+        (tmp_path / f"{i}.json").write_text(text)
+        with pytest.raises(Exception, match="MALFORMED|CANNOT_PARSE|FAILED_READ"):
+            evalset.load_eval_set(spark, str(tmp_path / f"{i}.json")).collect()
+
+
 def test_examples_are_pruned_by_folder(spark, tmp_path):
     path = str(tmp_path / "ex")
     df = spark.createDataFrame(
@@ -118,6 +161,34 @@ def test_baseline_store(spark, tmp_path):
         assert results.read_baseline(spark, path).first().value == stored
 
 
+def test_promotion_evaluates_once_and_passes_over_taken_versions(spark, tmp_path):
+    path = str(tmp_path / "baseline")
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    new = spark.createDataFrame([("codegen_pass_rate", 0.5)], "metric string, value double")
+    # A job that ended before its pointer was written.
+    spark.createDataFrame([("codegen_pass_rate", 9.0)], "metric string, value double").write.parquet(f"{path}/metrics/version=1")
+    assert results.gate_and_promote(spark, new.mapInArrow(seen, new.schema), path)
+    assert calls.value == 1 and results.read_baseline(spark, path).first().value == 0.5
+    assert spark.read.parquet(f"{path}/metrics/version=1").first().value == 9.0
+
+
+def test_stored_runs_are_compared(spark, tmp_path):
+    records, metrics = str(tmp_path / "records"), str(tmp_path / "metrics")
+    for run, rank, rate in (("a", "4", 0.5), ("b", "8", 0.75)):
+        results.append_run_record(spark.createDataFrame([(run, "lora_r", rank), (run, "same", "x")], "run_id string, key string, value string"), records)
+        results.append_run_metrics(spark.createDataFrame([(run, "m", "bleu", rate)], "run_id string, model string, metric string, value double"), metrics)
+    assert results.read_runs(spark, records).count() == 4 and results.read_runs(spark, records, "a").count() == 2
+    params, scores = results.diff_runs(spark, records, metrics, "a", "b")
+    assert rows(params) == [("lora_r", "4", "8", "changed")]
+    assert rows(scores) == [("m", "bleu", 0.5, 0.75, 0.25)]
+
+
 def test_run_records_are_appended(spark, tmp_path):
     path = str(tmp_path / "runs")
     for run in ("a", "b"):

@@ -26,6 +26,31 @@ def test_restarts_lose_and_double_nothing(spark, tmp_path):
     assert append(spark, tmp_path) == sorted(first + [("p3", "2024-01-02")] * 2, key=repr)
 
 
+def test_bad_times_stop_nothing(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text(HEAD + "2024-01-01 10:00:00,task_1,p1,r,1\nbad,task_1,p2,r,1\n,task_1,p3,r,0\n")
+    first = [("p1", "2024-01-01"), ("p2", None), ("p3", None)]
+    assert append(spark, tmp_path) == first
+    (folder / "b.csv").write_text(HEAD + "2024-13-45,task_2,p4,r,1\n2024-01-01,task_2,p5,r,1\n")
+    assert append(spark, tmp_path) == sorted([*first, ("p4", None), ("p5", "2024-01-01")], key=repr)
+    counts = feedback_daily_counts(spark.createDataFrame([("bad", "t"), ("2024-01-01 01:00:00", "t")], "ts string, task string"))
+    assert rows(counts.select(F.col("day").cast("string"), "n_rows")) == sorted([(None, 1), ("2024-01-01", 1)], key=repr)
+
+
+def test_a_batch_adds_few_files_to_a_day(spark, tmp_path):
+    df = spark.range(4000).repartition(16).select(
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 2).cast("int")).cast("string").alias("timestamp"),
+        F.lit("task_1").alias("task"),
+        F.col("id").cast("string").alias("prompt"),
+    )
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    feedback_append_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), files_per_day=2).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4000
+    assert len(list((tmp_path / "out").glob("day=*/part*"))) <= 4
+
+
 def test_running_daily_counts_equal_batch_counts(spark, tmp_path):
     df = spark.range(200).select(
         F.timestamp_seconds(F.col("id") * 3000 + 1_700_000_000).alias("ts"),
