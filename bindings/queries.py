@@ -227,7 +227,7 @@ def build_vocab(t: Tables) -> DataFrame:
 def _document_ids(t: Tables) -> DataFrame:
     docs = t.documents("doc_id", "text")
     vocab = materialise(_document_vocab(t))
-    return examples.encode_tokens(docs, vocab, {"text": "input_ids"}, key="doc_id").drop("text")
+    return examples.encode_tokens(docs, vocab, {"text": "input_ids"}).drop("text")
 
 
 def encode_tokens(t: Tables) -> DataFrame:
