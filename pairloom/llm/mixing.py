@@ -24,6 +24,7 @@ from pairloom.storage import materialise
 WEIGHTS = (3, 1, 2)
 # Bins per factor e of the key: the fullest holds less than 1/2,700 of a source of equal weights.
 BINS = 1024
+LEAST_QUALITY = 1e-9
 
 
 def text_quality(text: Column, size: Column) -> Column:
@@ -71,7 +72,8 @@ def mix(
 ) -> DataFrame:
     """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken`` for every document.
 
-    ``quality`` is a positive weight over the columns of ``docs``; :func:`text_quality` by default.
+    ``quality`` is a weight over the columns of ``docs``; :func:`text_quality` by default. Weights that
+    are null, not a number or not positive count as the least weight and come last.
     """
     size = F.size(space_words(F.col("text"))).cast("long")
     digest = F.md5(
@@ -82,11 +84,13 @@ def mix(
             F.md5(F.coalesce("text", F.lit("")).cast("binary")),
         ).cast("binary")
     )
+    given = text_quality(F.col("text"), size) if quality is None else quality.cast("double")
+    weight = F.greatest(F.coalesce(F.nanvl(given, F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_QUALITY))
     sized = docs.select(
         "doc_id",
         "source",
         size.alias("size"),
-        (text_quality(F.col("text"), size) if quality is None else quality.cast("double")).alias("q"),
+        weight.alias("q"),
         ((F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)).alias("u"),
     )
     keyed = sized.select("doc_id", "source", "size", (-F.log("u") / F.col("q")).alias("key"))

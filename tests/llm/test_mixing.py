@@ -3,6 +3,7 @@ import math
 
 import odd_documents as odd
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.llm import mixing
 
@@ -72,6 +73,14 @@ def test_taken_words_come_near_the_target(spark):
     assert all(abs(r["sum(taken)"] - r.target) <= 40 for r in got)
 
 
+def test_quality_orders_the_fractional_part(spark):
+    rows = [(i, "word " * 10, "en", "a", 1, w, None, None) for i in range(300) for w in ([1.0, 1e6, None, -1.0, float("nan")][i % 5],)]
+    got = mixing.mix(spark.createDataFrame(rows, odd.SCHEMA), quality=F.col("score"), budget=0.2).collect()
+    assert len(got) == 300 and {r.doc_id % 5 for r in got if r.taken} == {1}
+    got = mixing.mix(spark.createDataFrame(rows, odd.SCHEMA), quality=F.col("score"), budget=0.5).collect()
+    assert {r.doc_id % 5 for r in got if r.taken} >= {0, 1} and all(r.taken for r in got if r.doc_id % 5 < 2)
+
+
 def test_empty_table(spark):
     assert mixing.mix(odd.empty(spark)).count() == 0
     nothing = spark.createDataFrame([(1, None, "en", "a", 0, None, None, None)], odd.SCHEMA)
