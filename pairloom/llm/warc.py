@@ -90,12 +90,17 @@ def unescaped(text: Column) -> Column:
     return F.when(text.contains("&"), F.concat(pieces[0], rest)).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
+def with_plain_text(df: DataFrame, html: str, out: str) -> DataFrame:
+    """Add column ``out`` with the text of a page in column ``html``.
+
+    In steps over columns: an expression that is used several times is computed once.
+    """
     shown = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, " ")
     flat = F.regexp_replace(shown, r"\s+", " ")
     bare = F.regexp_replace(F.regexp_replace(flat, _BREAKS, "\n"), _TAGS, "")
-    tidy = F.regexp_replace(F.regexp_replace(unescaped(bare), r"[ \x{A0}]+", " "), r" ?\n[ \n]*", "\n")
-    return F.btrim(tidy, F.lit(" \n"))
+    read = df.withColumn(out, bare).withColumn(out, unescaped(F.col(out)))
+    tidy = F.regexp_replace(F.regexp_replace(out, r"[ \x{A0}]+", " "), r" ?\n[ \n]*", "\n")
+    return read.withColumn(out, F.btrim(tidy, F.lit(" \n")))
 
 
 def derive(found: DataFrame) -> DataFrame:
@@ -117,7 +122,9 @@ def derive(found: DataFrame) -> DataFrame:
     )
     first = lambda p: F.regexp_extract("payload", p, 1)
     # The text of a title, without markup and on one line.
-    title = _one_line(plain_text(first(r"(?is)<title[^>]*>(.*?)</title")))
+    base = with_plain_text(base.withColumn("_title", first(r"(?is)<title[^>]*>(.*?)</title")), "_title", "_title")
+    title = _one_line(F.col("_title"))
+    base = with_plain_text(base, "payload", "_text")
     links = F.transform(
         F.regexp_extract_all("payload", F.lit(r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"'<>]*)"), 1),
         lambda x: F.concat(F.lit("outlink: "), _one_line(unescaped(x))),
@@ -137,9 +144,9 @@ def derive(found: DataFrame) -> DataFrame:
             F.lit("application/warc-fields").alias("type"),
             F.concat(F.array_join(facts, "\r\n"), F.lit("\r\n")).alias("block"),
         ),
-        F.struct(F.lit("conversion").alias("kind"), F.lit("text/plain; charset=utf-8").alias("type"), plain_text(F.col("payload")).alias("block")),
+        F.struct(F.lit("conversion").alias("kind"), F.lit("text/plain; charset=utf-8").alias("type"), F.col("_text").alias("block")),
     )
-    each = base.select(*[c for c in base.columns if c != "payload"], F.explode(blocks).alias("b")).select(
+    each = base.select(*[c for c in base.columns if c not in ("payload", "_title", "_text")], F.explode(blocks).alias("b")).select(
         "*", "b.kind", "b.type", "b.block"
     )
     each = each.withColumn("record_id", uuid_of(F.concat_ws("\n", "kind", "source_id"))).withColumn(
