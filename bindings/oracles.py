@@ -339,12 +339,13 @@ def per_model(value: str, name: str = "{m}") -> str:
 
 
 def results_parts() -> str:
-    stored = "CASE WHEN length(raw_response) > 500 THEN 503 ELSE length(raw_response) END"
+    stored = "CASE WHEN length(raw_response) > 500 THEN concat(substr(raw_response, 1, 500), '...') ELSE raw_response END"
+    none, number = "CAST(NULL AS VARCHAR)", "CAST(NULL AS DOUBLE)"
     rows = [
-        "SELECT 'config' AS part, 'num_samples' AS key, CAST(count(*) AS DOUBLE) AS value FROM run_samples",
-        "SELECT 'metrics', concat(model, '.', metric), value FROM long_metrics",
-        "SELECT 'results', concat(model, '.records'), CAST(count(*) AS DOUBLE) FROM filled GROUP BY model",
-        f"SELECT 'results', concat(model, '.chars'), CAST(sum({stored}) AS DOUBLE) FROM filled GROUP BY model",
+        f"SELECT 'config' AS part, 'num_samples' AS key, CAST(count(*) AS DOUBLE) AS value, {none} AS text FROM run_samples",
+        f"SELECT 'config', key, {number}, text FROM (VALUES ('base_model', 'base-model'), ('adapters', 'task_1,task_2'), ('judge_model', NULL)) c(key, text)",
+        f"SELECT 'metrics', concat(model, '.', metric), value, {none} FROM long_metrics",
+        f"SELECT 'results', concat(run_id, '.', sample_id, '.', model), CAST(bleu AS DOUBLE), {stored} FROM filled",
     ]
     return " UNION ALL ".join(rows)
 
@@ -392,7 +393,8 @@ SQL: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY task ORDER BY gen_id) <= {q.PER_TASK}""",
     "truncate_tokens": with_(DOCUMENT_IDS)
     + f"""SELECT doc_id, array_to_string(list_transform(input_ids[1:{s.APP_TOKEN_LIMIT}], lambda x: CAST(x AS VARCHAR)), ' ') AS input_ids,
-         array_to_string(list_transform(input_ids[1:{s.APP_TOKEN_LIMIT}], lambda x: '1'), ' ') AS attention_mask
+         array_to_string(list_transform(input_ids[1:{s.APP_TOKEN_LIMIT}], lambda x: '1'), ' ') AS attention_mask,
+         CAST(len(input_ids[1:{s.EVAL_TOKEN_LIMIT}]) AS INTEGER) AS n_eval
        FROM input_ids""",
     "truncate_response": """SELECT doc_id, CASE WHEN length(text) > 500 THEN concat(substr(text, 1, 500), '...')
          ELSE text END AS raw_response FROM documents""",

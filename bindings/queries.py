@@ -132,34 +132,47 @@ def results_json_sink(t: Tables) -> DataFrame:
         result_files.run_config(t.spark, "base-model", ["task_1", "task_2"], None, samples),
         path,
     )
-    config = t.spark.read.schema("num_samples bigint, adapters array<string>").json(f"{path}/config")
+    config = t.spark.read.schema(
+        "base_model string, adapters array<string>, judge_model string, num_samples bigint"
+    ).json(f"{path}/config")
     stored = t.spark.read.schema(metrics.schema).json(f"{path}/metrics")
     record = "struct<bleu: double, raw_response: string>"
     rows = t.spark.read.schema(
         ", ".join(["run_id bigint, sample_id bigint", *[f"{m} {record}" for m in s.MODELS]])
     ).json(f"{path}/results")
-    parts = [
-        config.select(
-            F.lit("config").alias("part"), F.lit("num_samples").alias("key"), F.col("num_samples").cast("double").alias("value")
-        ),
-        results.long_metrics(stored).select(
-            F.lit("metrics").alias("part"), F.concat_ws(".", "model", "metric").alias("key"), "value"
-        ),
-    ]
-    for m in s.MODELS:
-        totals = rows.agg(
-            F.count(m).cast("double").alias("records"),
-            F.sum(F.length(f"{m}.raw_response")).cast("double").alias("chars"),
+    none = F.lit(None)
+
+    def entry(key: str, value: Column, text: Column) -> Column:
+        return F.struct(F.lit(key).alias("key"), value.cast("double").alias("value"), text.cast("string").alias("text"))
+
+    facts = config.select(
+        F.inline(
+            F.array(
+                entry("num_samples", F.col("num_samples"), none),
+                entry("base_model", none, F.col("base_model")),
+                entry("adapters", none, F.array_join("adapters", ",")),
+                entry("judge_model", none, F.col("judge_model")),
+            )
+        )
+    )
+    # Every stored record, in one read of the results.
+    by_model = F.array(
+        *[F.struct(F.lit(m).alias("model"), F.col(f"{m}.bleu").alias("bleu"), F.col(f"{m}.raw_response").alias("text"), F.col(m).isNotNull().alias("there")) for m in s.MODELS]
+    )
+    records = rows.select("run_id", "sample_id", F.inline(by_model)).where("there")
+    return (
+        facts.select(F.lit("config").alias("part"), "key", "value", "text")
+        .unionByName(
+            results.long_metrics(stored).select(
+                F.lit("metrics").alias("part"), F.concat_ws(".", "model", "metric").alias("key"), "value", none.cast("string").alias("text")
+            )
         )
-        parts.append(
-            totals.unpivot([], ["records", "chars"], "key", "value").select(
-                F.lit("results").alias("part"), F.concat(F.lit(f"{m}."), "key").alias("key"), "value"
+        .unionByName(
+            records.select(
+                F.lit("results").alias("part"), F.concat_ws(".", "run_id", "sample_id", "model").alias("key"), F.col("bleu").alias("value"), "text"
             )
         )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    )
 
 
 # Filters and limits
@@ -195,7 +208,9 @@ def truncate_tokens(t: Tables) -> DataFrame:
         "attention_mask", F.transform("input_ids", lambda x: F.lit(1))
     )
     cut = examples.truncate_tokens(ids, s.APP_TOKEN_LIMIT)
-    return cut.select("doc_id", *map(joined, ("input_ids", "attention_mask")))
+    longer = examples.truncate_tokens(ids, s.EVAL_TOKEN_LIMIT).select("doc_id", F.size("attention_mask").alias("n_eval"))
+    shown = cut.select("doc_id", *map(joined, ("input_ids", "attention_mask")))
+    return shown.join(longer, "doc_id")
 
 
 def truncate_response(t: Tables) -> DataFrame:

@@ -50,7 +50,6 @@ HYPERPARAMETERS = (
 
 MODELS = ("candidate", "base", "cloud")
 SKIPPED_NO_KEY = "SKIPPED (no API key)"
-SKIPPED_BY_OPTION = "Skipped (--only-candidate)"
 
 PAIRS = T.StructType(
     [
