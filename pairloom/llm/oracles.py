@@ -81,4 +81,26 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join hit using (row_id) left join listed using (row_id)
 """
 
-SQL: dict[str, str] = {"op3_source_mix": MIX, "op7_decontaminate": DECONTAMINATE}
+# Exact links over all pairs; the index has to find every one of them to be equal.
+MULTI_INDEX = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and list_dot_product(embedding::double[], embedding::double[]) > 0
+),
+links as (
+  select a.vec_id as a, b.vec_id as b
+  from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9
+),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+smallest as (select a, least(a, min(b)) as component_id from reach group by a),
+counts as (select a, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, coalesce(component_id, vec_id) as component_id,
+       coalesce(component_id, vec_id) = vec_id as kept
+from embeddings left join counts c on c.a = vec_id left join smallest s on s.a = vec_id
+"""
+
+SQL: dict[str, str] = {
+    "op3_source_mix": MIX,
+    "op7_decontaminate": DECONTAMINATE,
+    "op10_multi_index": MULTI_INDEX,
+}
