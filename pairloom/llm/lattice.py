@@ -42,7 +42,7 @@ SMOOTH = 0.05
 PRIOR = 2_000.0
 _LN10 = float(np.log(10.0))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_FILTER_BITS = 22
+_SLOT_BITS = 20
 _LOWER = bytes(range(256)).lower()
 # Distinct words that a task holds before it passes them on, and words that a lattice step holds.
 _HELD = 400_000
@@ -95,71 +95,81 @@ class Lattice:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.seen = np.zeros(1 << _FILTER_BITS, bool)
-        self.seen[self._slot(pieces.hashes)] = True
+        slot = self._slot(pieces.hashes)
+        self.order = np.argsort(slot, kind="stable")
+        self.sorted = pieces.hashes[self.order]
+        # Place of a slot's first piece; pieces of one slot follow each other.
+        self.first = np.full(1 << _SLOT_BITS, -1, np.int32)
+        self.first[slot[self.order][::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.depth = int(np.bincount(slot.astype(np.int64)).max())
         self.powers = np.cumprod(np.full(pieces.longest + 1, _BASE, np.uint64))
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
-        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - _FILTER_BITS)
+        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - _SLOT_BITS)
 
-    def arcs(self, words: np.ndarray) -> dict[int, np.ndarray]:
-        """For each piece length, the piece (or -1) at every start of every word (rows of bytes)."""
-        n, m = words.shape
-        prefix = np.zeros((n, m + 1), np.uint64)
+    def arcs(self, words: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Start, length, words and pieces of all pieces that are in the words, by rising start.
+
+        ``words`` has a column of bytes for each word.
+        """
+        m, n = words.shape
+        prefix = np.zeros((m + 1, n), np.uint64)
         for j in range(m):
-            prefix[:, j + 1] = prefix[:, j] * _BASE + words[:, j].astype(np.uint64) + np.uint64(1)
-        out = {}
+            prefix[j + 1] = prefix[j] * _BASE + words[j] + np.uint64(1)
+        found = []
         for size in self.pieces.lengths:
             if size > m:
                 break
-            h = prefix[:, size:] - prefix[:, :-size] * self.powers[size - 1]
-            ids = np.full(h.shape, -1, np.int32)
-            maybe = np.nonzero(self.seen[self._slot(h)])
-            some = h[maybe]
-            at = np.minimum(np.searchsorted(self.pieces.hashes, some), len(self.pieces.hashes) - 1)
-            ids[maybe] = np.where(self.pieces.hashes[at] == some, at, -1)
-            if (ids >= 0).any():
-                out[size] = ids
-        return out
-
-    def _log(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids >= 0, self.pieces.log_p[ids], -np.inf)
-
-    def forward(self, arcs: dict[int, np.ndarray], n: int, m: int) -> np.ndarray:
-        alpha = np.full((n, m + 1), -np.inf)
-        alpha[:, 0] = 0.0
-        for j in range(1, m + 1):
-            for size, ids in arcs.items():
-                if size <= j and (here := ids[:, j - size]).max() >= 0:
-                    alpha[:, j] = np.logaddexp(alpha[:, j], alpha[:, j - size] + self._log(here))
+            h = prefix[size:] - prefix[:-size] * self.powers[size - 1]
+            h = h.ravel()
+            place = self.first[self._slot(h)]
+            at = np.flatnonzero(place >= 0)
+            place, some = place[at], h[at]
+            known = self.sorted[place] == some
+            # Few are not the first piece of their slot.
+            rest = np.flatnonzero(~known)
+            for k in range(1, self.depth):
+                here = np.minimum(place[rest] + k, len(self.sorted) - 1)
+                hit = self.sorted[here] == some[rest]
+                place[rest[hit]] = here[hit]
+                known[rest[hit]] = True
+            at, piece = at[known], self.order[place[known]]
+            cuts = np.searchsorted(at, np.arange(m - size + 2) * n)
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[i], cuts[i + 1])
+                found.append((i, size, at[part] - i * n, piece[part]))
+        return sorted(found, key=lambda x: x[0])
+
+    def forward(self, arcs: list, n: int, m: int) -> np.ndarray:
+        # Pieces that begin at a place come after all that end there.
+        alpha = np.full((m + 1, n), -np.inf)
+        alpha[0] = 0.0
+        for start, size, word, piece in arcs:
+            end = alpha[start + size]
+            end[word] = np.logaddexp(end[word], alpha[start, word] + self.pieces.log_p[piece])
         return alpha
 
     def log_probability(self, words: np.ndarray) -> np.ndarray:
-        n, m = words.shape
-        return self.forward(self.arcs(words), n, m)[:, m]
+        m, n = words.shape
+        return self.forward(self.arcs(words), n, m)[m]
 
-    def expected(self, words: np.ndarray, counts: np.ndarray, into: np.ndarray) -> None:
+    def expected(self, words: np.ndarray, into: np.ndarray) -> None:
         """Adds each piece's expected number of uses over all segmentations."""
-        n, m = words.shape
+        m, n = words.shape
         arcs = self.arcs(words)
         alpha = self.forward(arcs, n, m)
-        beta = np.full((n, m + 1), -np.inf)
-        beta[:, m] = 0.0
-        for i in range(m - 1, -1, -1):
-            for size, ids in arcs.items():
-                if size <= m - i and (here := ids[:, i]).max() >= 0:
-                    step = self._log(here) + beta[:, i + size]
-                    beta[:, i] = np.logaddexp(beta[:, i], step)
-        for size, ids in arcs.items():
-            row, start = np.nonzero(ids >= 0)
-            piece = ids[row, start]
-            weight = np.exp(alpha[row, start] + self.pieces.log_p[piece] + beta[row, start + size] - alpha[row, m])
-            np.add.at(into, piece, weight * counts[row])
+        beta = np.full((m + 1, n), -np.inf)
+        beta[m] = 0.0
+        for start, size, word, piece in reversed(arcs):
+            step = self.pieces.log_p[piece] + beta[start + size, word]
+            into += np.bincount(piece, np.exp(alpha[start, word] + step - alpha[m, word]), len(into))
+            begin = beta[start]
+            begin[word] = np.logaddexp(begin[word], step)
 
 
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices and bytes, marked at the front, of words of one length at a time."""
+    """Indices and bytes, marked at the front and one word a column, of words of one length at a time."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
     edges = np.flatnonzero(np.diff(sizes[order])) + 1
@@ -168,7 +178,7 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for i in range(0, len(group), step):
             part = group[i : i + step]
             data = b"".join(FRONT + words[k] for k in part)
-            yield part, np.frombuffer(data, np.uint8).reshape(len(part), -1)
+            yield part, np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(len(part), -1).T)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -211,8 +221,8 @@ def fit(counts: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> Pieces:
         def run(batches: Iterator[pa.RecordBatch], model: Pieces = model) -> Iterator[pa.RecordBatch]:
             lattice, uses = Lattice(model), np.zeros(len(model.hashes))
             for batch in batches:
-                for part, data in by_length(batch.column(0).to_pylist()):
-                    lattice.expected(data, np.ones(len(part)), uses)
+                for _, data in by_length(batch.column(0).to_pylist()):
+                    lattice.expected(data, uses)
             at = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(uses[at])], ["piece", "uses"])
 

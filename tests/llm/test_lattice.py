@@ -44,7 +44,7 @@ def test_expected_uses_cover_every_byte_once(pieces):
     for piece in (WORDS[0], lattice.FRONT + b"the"):
         sizes[lattice._hash(piece)] = len(piece)
     for _, data in lattice.by_length([b"the"]):
-        model.expected(data, np.ones(1), uses)
+        model.expected(data, uses)
     lengths = {lattice._hash((lattice.FRONT + b"the")[i:j]): j - i for i in range(6) for j in range(i + 1, 7)}
     covered = sum(uses[k] * lengths[h] for k, h in enumerate(pieces.hashes.tolist()) if h in lengths)
     assert abs(covered - 6) < 1e-8 and abs(uses.sum() - sum(u for u in uses if u)) < 1e-12
