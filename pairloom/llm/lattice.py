@@ -13,7 +13,7 @@ The vocabulary and its first scores come from a file; which pieces exist is neve
 fitted by expectation maximisation over the distinct words of all training documents. Word counts
 cover all training documents; every whole text is scored.
 
-Counts are added up in tasks before they are shuffled. The ``FREQUENT`` most frequent words are sent
+Counts are added up in tasks before they are shuffled. The most frequent words, at most ``FREQUENT``, are sent
 to the tasks with their values; occurrences of other words, none of them hot, join the word table.
 Null is empty text: one token, the end. Equal rows get equal results. Without training documents no
 word is known and the scores stay those of the file.
@@ -30,6 +30,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pairloom.storage import materialise
 
@@ -298,6 +299,18 @@ def _values(counts: DataFrame, pieces: Pieces, shares: Shares) -> DataFrame:
     return counts.mapInArrow(run, "word binary, n long, c long, lp double")
 
 
+def _most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """All words from the lowest count on with which at most ``most`` words remain.
+
+    Distinct counts are few (k of them need k * (k + 1) / 2 tokens); the words are never sorted.
+    """
+    falling = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"))
+    spectrum = table.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    kept = spectrum.withColumn("upto", F.sum("words").over(falling)).where(F.col("upto") <= most)
+    least = kept.agg(F.min("n")).first()[0]
+    return table.where(F.lit(False) if least is None else F.col("n") >= least)
+
+
 def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int = ROUNDS, frequent: int = FREQUENT, prior: float = PRIOR) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` per document."""
     counts = materialise(word_counts(docs, training))
@@ -312,7 +325,7 @@ def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int
     shares = Shares(sums["c"] or 0, sums["v"], ends, discount)
     table = materialise(_values(counts, fit(counts, vocabulary(path), rounds), shares))
     scale = float(np.log10(total + distinct + 1))
-    top = table.orderBy(F.desc("n"), "word").limit(frequent).select("word", "c", "lp").toArrow()
+    top = _most_frequent(table, frequent).select("word", "c", "lp").toArrow()
     sent = docs.sparkSession.sparkContext.broadcast(
         (top.column("word").to_pylist(), top.column("c").to_numpy(), top.column("lp").to_numpy())
     )
