@@ -45,7 +45,8 @@ def rarest_word(windows: DataFrame, tokens: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     placed = each.select("words", F.posexplode("words").alias("offset", "word"))
-    ranked = placed.join(counts, "word", "left").select(
+    # As many counts as distinct words of items: usually a broadcast, so frequent words are not dealt out.
+    ranked = placed.join(small(materialise(counts)), "word", "left").select(
         "words", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset").alias("r")
     )
     first = ranked.groupBy("words").agg(F.min("r").alias("r"))
