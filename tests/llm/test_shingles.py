@@ -1,0 +1,80 @@
+import random
+
+import corpus_pipeline
+import odd_documents as odd
+import pytest
+from conftest import rows
+
+from pairloom.llm import shingles, simhash
+
+
+def brute_sets(texts):
+    found = [[odd.lower(w) for w in odd.space_words(t)] for t in texts]
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in found]
+
+
+def brute(texts):
+    """Components of texts with a Jaccard similarity of at least 0.8."""
+    sets = brute_sets(texts)
+    near = lambda a, b: 10 * len(a & b) >= 8 * len(a | b)
+    return odd.components(len(texts), lambda i, j: near(sets[i], sets[j]))
+
+
+def near_texts(seed, n, words=60):
+    """Chains of copies with more and more words changed, around the threshold."""
+    rng, out = random.Random(seed), []
+    while len(out) < n:
+        text = [str(rng.randrange(500)) for _ in range(words)]
+        for _ in range(rng.randint(1, 8)):
+            out.append(" ".join(text))
+            for _ in range(rng.randint(0, 2)):
+                text[rng.randrange(words)] = str(rng.randrange(500))
+    return out[:n]
+
+
+@pytest.mark.parametrize("stars", [0, 1, 3])
+def test_components_equal_brute_force_jaccard(spark, monkeypatch, stars):
+    monkeypatch.setattr(shingles, "STARS", stars)
+    texts = near_texts(stars, 150)
+    root = brute(texts)
+    assert 20 < len(set(root)) < 120
+    got = shingles.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.component_id for r in sorted(got.collect())] == root
+
+
+def test_stage_drops_near_copies_beyond_three_bits(spark):
+    # A copy with two words changed, one with another end, and one with another case and spacing.
+    base = [f"w{i}" for i in range(104)]
+    close, far = [*base[:20], "x", *base[21:90], "x", *base[91:]], [*base[:90], *(f"y{i}" for i in range(14))]
+    data = [(3, " ".join(base)), (5, " ".join(close)), (7, " ".join(far)), (9, "  ".join(base).upper())]
+    sets = brute_sets([t for _, t in data])
+    measure = lambda a, b: len(a & b) / len(a | b)
+    assert measure(sets[0], sets[1]) == 90 / 110 and measure(sets[0], sets[2]) == 86 / 114
+    assert (simhash.fingerprint(data[0][1]) ^ simhash.fingerprint(data[1][1])).bit_count() > 3
+    root = brute([t for _, t in data])
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({data[r][0] for r in root})
+
+
+def test_bounds_and_ids(spark):
+    sets = [shingles.shingles(t) for t in near_texts(9, 60)]
+    bits = [shingles.sketch(t)[2].view("u8") for t in near_texts(9, 60)]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            differing = sum(int(x ^ y).bit_count() for x, y in zip(bits[i], bits[j], strict=True))
+            assert differing <= len(a ^ b)
+    docs = odd.documents(spark, 4)
+    kept = shingles.distinct_documents(docs)
+    assert kept.columns == docs.columns
+    assert set(rows(kept)) <= set(rows(docs))
+    data = odd.rows(4)
+    root = brute([r[1] for r in data])
+    # Null and empty texts are one group, and a null id stays only where there is no other.
+    named = {}
+    for r, d in zip(root, data, strict=True):
+        named.setdefault(r, []).append(d[0])
+    want = [min((i for i in ids if i is not None), default=None) for ids in named.values()]
+    assert sorted(map(repr, want)) == sorted(repr(r.doc_id) for r in kept.collect())
+    assert shingles.distinct_documents(odd.empty(spark)).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "A b c d e f"), (1, "other"), (2, "a b c d e f")], "doc_id long, text string")
+    assert sorted(odd.lower(r.text) for r in shingles.distinct_documents(twice).collect()) == ["a b c d e f", "other"]
