@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, mixing, secret_scan, shingles, toxicity
+from pairloom.llm import decontaminate, mixing, secret_scan, simhash, toxicity
 from pairloom.storage import scratch_path
 
 # Learned steps and hashes on Python's side have no SQL; tests hold each stage against brute force.
@@ -13,30 +13,47 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon, learned from all labels, scores below one half."""
+    """Documents that the lexicon, learned from all labels, scores below one half.
+
+    Null and empty texts score as texts without any listed term and stay with them. Repeated rows
+    and very long texts are scored like any other; an empty table stays empty. Further columns are
+    kept, whatever their names.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.learn(docs, labels)
     return docs.where(toxicity.toxicity(F.col("text"), lexicon) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies: similarity of five-word shingles of 0.8 or more."""
-    return shingles.distinct_documents(docs)
+    """The document with the smallest id of each group whose fingerprints link.
+
+    Shingles of three words and at most three differing bits, as the operator has them. Texts
+    without words, null ones among them, share the fingerprint zero and are one group. Repeated rows
+    are one document. Of rows with the same id one of the group stays.
+    """
+    return simhash.distinct_documents(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Texts without words, null ones among them, hold no passage and stay; so do all texts where the
+    benchmark is empty. Repeated rows all stay or all go.
+    """
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark and ``n_chars`` counted again."""
+    """All documents, with secrets replaced by a mark and ``n_chars`` counted again.
+
+    A null text stays null, an empty one empty; rows without a secret do not change.
+    """
     clean = docs.withColumn("text", secret_scan.redacted(F.col("text")))
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of every document that is left."""
+    """How many words the mix takes of every document that is left; a null text has none."""
     return mixing.mix(docs)
 
 
