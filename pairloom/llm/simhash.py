@@ -251,23 +251,32 @@ def near_duplicates(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``docs`` has them."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def distinct_documents(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns.
 
-    Where that id has several rows in the table, one of them stays.
+    Where that id has several rows in the table, one of them stays. Columns may have any names.
     """
-    found = materialise(near_duplicates(docs, leaf))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    same = docs["doc_id"].eqNullSafe(F.col("_kept"))
-    chosen = docs.join(kept.select(F.col("doc_id").alias("_kept")).distinct(), same, "left_semi")
+    kept_id, kept_fp, fp = _fresh(docs, "kept", "kept_fp", "fp")
+    found = materialise(near_duplicates(docs, leaf).withColumnRenamed("doc_id", kept_id))
+    kept = found.where(F.col(kept_id).eqNullSafe(F.col("component_id")))
+    same = docs["doc_id"].eqNullSafe(F.col(kept_id))
+    chosen = docs.join(kept.select(kept_id).distinct(), same, "left_semi")
     # An id with several rows, and perhaps several texts: its rows are told apart by fingerprint.
-    twice = found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    twice = materialise(twice.select("_kept"))
+    twice = found.groupBy(kept_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = materialise(twice.select(kept_id))
     if twice.isEmpty():
         return chosen
-    prints = kept.select(F.col("doc_id").alias("_kept"), F.col("fp").alias("_kept_fp"))
-    many = chosen.join(twice, same, "left_semi").withColumn("_fp", fingerprints(F.col("text")))
-    many = many.join(prints, same & (F.col("_fp") == F.col("_kept_fp")), "left_semi")
-    return chosen.join(twice, same, "left_anti").unionByName(
-        many.dropDuplicates(["doc_id", "_fp"]).drop("_fp")
-    )
+    prints = kept.select(kept_id, F.col("fp").alias(kept_fp))
+    many = chosen.join(twice, same, "left_semi").withColumn(fp, fingerprints(F.col("text")))
+    many = many.join(prints, same & (F.col(fp) == F.col(kept_fp)), "left_semi")
+    return chosen.join(twice, same, "left_anti").unionByName(many.dropDuplicates(["doc_id", fp]).drop(fp))

@@ -78,3 +78,11 @@ def test_one_document_of_each_group_stays(spark):
     groups = [*{r.component_id for r in found.collect()}, 208]
     assert sorted(map(repr, groups)) == sorted(repr(r.doc_id) for r in kept.collect())
     assert set(rows(kept)) <= set(rows(docs))
+
+
+def test_columns_with_names_of_the_operators_own(spark):
+    data = [(1, "a b c d", 1, 2, 3, 4), (1, "a b c d", 5, 6, 7, 8), (2, "a b c d", 1, 1, 1, 1), (3, "x", 0, 0, 0, 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, kept int, _KEPT int, fp int, component_id int")
+    kept = simhash.distinct_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
