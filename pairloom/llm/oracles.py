@@ -99,8 +99,33 @@ select vec_id, coalesce(n_links, 0)::bigint as n_links, coalesce(component_id, v
 from embeddings left join counts c on c.a = vec_id left join smallest s on s.a = vec_id
 """
 
+HARD_NEGATIVES = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda c: floor(256 * c::double)) as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.q, b.q)::bigint as score
+  from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id,
+       (row_number() over (partition by anchor_id, positive_id order by score desc, vec_id))::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 100 * score between 30 * positive_score and 90 * positive_score
+qualify rank <= 10
+"""
+
 SQL: dict[str, str] = {
     "op3_source_mix": MIX,
     "op7_decontaminate": DECONTAMINATE,
     "op10_multi_index": MULTI_INDEX,
+    "op11_hard_negatives": HARD_NEGATIVES,
 }

@@ -5,7 +5,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import decontaminate, language, lattice, mixing, multi_index, quality, secret_scan, simhash, toxicity, warc
+from pairloom.llm import (
+    decontaminate,
+    hard_negatives,
+    language,
+    lattice,
+    mixing,
+    multi_index,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+    toxicity,
+    warc,
+    whitening,
+)
 from pairloom.llm.words import fold_of
 
 
@@ -69,6 +83,20 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), "vec_id % 100 = 0")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -82,5 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secrets,
         op9_quality_ranking,
         op10_multi_index,
+        op11_hard_negatives,
+        op12_whitening,
+        op13_best_fit_packing,
     )
 }

@@ -22,7 +22,7 @@ def test_query_equals_sql(spark, name):
 
 def test_queries_are_registered():
     assert {*queries.QUERIES, "pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_stages_act_on_all_that_came_before(spark, tmp_path):
