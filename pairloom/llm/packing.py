@@ -41,6 +41,8 @@ SHARE = 1 << 25
 KEPT = 1 << 19
 _LONG = 64
 _SLICE = 1 << 25
+# Words whose ids are put together at once.
+_GATHERED = 1 << 18
 # Letters up to U+024F, digits, and signs without the apostrophe, which may belong to the letters after it.
 _LETTERS, _DIGITS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", "0-9", r"!-&(-/:-@\[-`{-~"
 _PLAIN = re.compile(rf"[{_LETTERS}{_DIGITS}{_SIGNS}]+(?:\n[{_LETTERS}{_DIGITS}{_SIGNS}]+)*")
@@ -122,17 +124,24 @@ class Words:
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter(chain.from_iterable(found), "<u4", int(size.sum()))
         begin = np.cumsum(size) - size
-        counts = size[index]
-        # A text's first word has no space before it.
-        counts[first] = 0
-        upto = np.cumsum(counts)
-        ids = flat[np.repeat(begin[index] - upto + counts, counts) + np.arange(counts.sum())]
-        for i, (a, b) in enumerate(zip(first, ends, strict=True)):
-            if odd[i]:
-                yield np.array(self._whole(texts[i].as_py()), "<u4")
-            else:
-                start = np.array(self.word("", words[index[a]]), "<u4")
-                yield np.concatenate([start, ids[upto[a] : upto[b - 1]]])
+        del found, coded
+        at = 0
+        while at < len(texts):
+            upto = max(int(np.searchsorted(ends, first[at] + _GATHERED, "right")), at + 1)
+            run = index[first[at] : ends[upto - 1]]
+            counts = size[run]
+            # A text's first word has no space before it.
+            counts[first[at:upto] - first[at]] = 0
+            last = np.cumsum(counts)
+            ids = flat[np.repeat(begin[run] - last + counts, counts) + np.arange(counts.sum())]
+            for i in range(at, upto):
+                if odd[i]:
+                    yield np.array(self._whole(texts[i].as_py()), "<u4")
+                else:
+                    a, b = first[i] - first[at], ends[i] - first[at]
+                    start = np.array(self.word("", words[run[a]]), "<u4")
+                    yield np.concatenate([start, ids[last[a] : last[b - 1]]])
+            at = upto
 
 
 def cuts(n: int, length: int) -> list[int]:
