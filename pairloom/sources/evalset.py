@@ -4,16 +4,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.schemas import CODE_TASK, DOC_TASK, EVAL_SAMPLE
+from pairloom.sources import json_array
+from pairloom.sources.blocks import any_large, large_files
 
 
 def load_eval_set(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Samples of both tasks. Files hold one JSON array each, or one sample per line (``lines``).
 
-    An array file is read by one task; use several files, or lines, for large sets. A file that is
-    no JSON, or has a field of another type, fails the job.
+    An array that is large enough to be dealt in blocks is read by several tasks. A file that is no
+    JSON, or has a field of another type, fails the job.
     """
     reader = spark.read.schema(EVAL_SAMPLE).option("mode", "FAILFAST")
-    return reader.option("multiLine", not lines).json(path)
+    rows = reader.option("multiLine", not lines).json(path)
+    if lines or not any_large(spark, path):
+        return rows
+    small = rows.where(F.col("_metadata.file_size") <= large_files(spark))
+    element = F.from_json("element", EVAL_SAMPLE, {"mode": "FAILFAST"})
+    large = json_array.read_elements(spark, path).select(element.alias("s")).select("s.*")
+    return small.select(*EVAL_SAMPLE.names).unionByName(large)
 
 
 def code_samples(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pairloom.schemas import FEEDBACK_RAW
 from pairloom.sources import csv_format
 
 NAME_PATTERN = "feedback_*.csv"
-# A quoted field may span lines, so a file is read by one task: keep files small.
+# Bounds what a lost task has to write again.
 ROWS_PER_FILE = 1_000_000
 
 

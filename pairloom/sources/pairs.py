@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from pairloom.schemas import EXAMPLES, PAIRS
 from pairloom.sources import csv_format
 
-# A quoted field may span lines, so a file is read by one task: keep files small.
+# Bounds what a lost task has to write again.
 ROWS_PER_FILE = 1_000_000
 
 
