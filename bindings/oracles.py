@@ -507,4 +507,31 @@ SQL: dict[str, str] = {
          CASE WHEN value < 40 THEN 1 ELSE 0 END AS rating FROM events""",
     "feedback_daily_counts": with_(FEEDBACK)
     + "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, task, count(*) AS n_rows FROM feedback GROUP BY ALL",
+    "feedback_incremental": with_(FEEDBACK)
+    + """SELECT file, timestamp, task, prompt, response, rating, CAST(NULL AS VARCHAR) AS reason FROM feedback
+       UNION ALL SELECT file, timestamp, task, prompt, response, NULL, 'rating' FROM feedback_raw
+       WHERE event_id NOT IN (SELECT event_id FROM feedback)""",
+    "feedback_daily_stream": with_(FEEDBACK)
+    + "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, task, count(*) AS n_rows FROM feedback GROUP BY ALL",
+    "read_results": with_(FILLED, metrics("model"), long_metrics("model"))
+    + "SELECT model, metric, value FROM long_metrics WHERE value IS NOT NULL",
+    "baseline_store": with_(
+        FILLED,
+        metrics("model"),
+        long_metrics("model"),
+        f"""judged AS (
+  SELECT n.model AS new, o.model AS old,
+         bool_and(coalesce(n.value, 0) = 0 OR coalesce(n.value, 0) >= coalesce(o.value, 0) - 0.02::DOUBLE) AS ok
+  FROM long_metrics n JOIN long_metrics o USING (metric)
+  WHERE metric IN ({", ".join(lit(m) for m in s.GATE_METRICS)}) GROUP BY ALL)""",
+        "second AS (SELECT ok AS ok2 FROM judged WHERE new = 'base' AND old = 'candidate')",
+        """third AS (SELECT ok AS ok3 FROM judged, second
+  WHERE new = 'cloud' AND old = CASE WHEN ok2 THEN 'base' ELSE 'candidate' END)""",
+        """versions AS (
+  SELECT 'candidate' AS model, 1 AS version UNION ALL SELECT 'base', 2 FROM second WHERE ok2
+  UNION ALL SELECT 'cloud', CASE WHEN ok2 THEN 3 ELSE 2 END FROM second, third WHERE ok3)""",
+    )
+    + """SELECT CAST(version AS BIGINT) AS version, metric, value FROM versions JOIN long_metrics USING (model)
+       WHERE value IS NOT NULL""",
+    "run_store": with_(RUN_METRICS) + "SELECT run_id, model, metric, value FROM long_metrics",
 }

@@ -15,6 +15,7 @@ from pairloom.functions import cleaning
 from pairloom.functions.text import space_pieces
 from pairloom.operators import curate, examples, feedback, gate, results, scoring, split
 from pairloom.operators.joins import lookup_join
+from pairloom.plans import feedback as feedback_plan
 from pairloom.plans.evaluation import score_generations
 from pairloom.sources import csv_format, evalset, pairs as pair_files
 from pairloom.sources import feedback as feedback_files
@@ -109,7 +110,7 @@ def load_feedback_csv(t: Tables) -> DataFrame:
 
 def feedback_json_sink(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "feedback-json")
-    rows = _parsed_feedback(t).drop("file", "event_id", "ts")
+    rows = materialise(_parsed_feedback(t).drop("file", "event_id", "ts"))
     feedback_files.feedback_json_sink(rows, feedback.feedback_pairs(rows), path)
     stored = t.spark.read.schema(
         "timestamp string, task string, prompt string, response string, rating bigint"
@@ -423,6 +424,41 @@ def promote_baseline(t: Tables) -> DataFrame:
     return gate.promote_baseline(new, old, gate.gate_verdict(judged, by), by)
 
 
+def baseline_store(t: Tables) -> DataFrame:
+    """The metrics of every model in turn, judged against the store and promoted if they pass: what the store then holds."""
+    path = scratch_path(t.spark, "baseline")
+    stored = _results_document(t)
+    for model in s.MODELS:
+        new = stored.where(F.col("model") == model).select("metric", "value")
+        result_files.gate_and_promote(t.spark, new, path)
+    return result_files.read_promotions(t.spark, path)
+
+
+def _results_document(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "results-document")
+    records = materialise(_filled(t))
+    result_files.results_json_sink(
+        results.assemble_results(t.run_samples(), records, RUN_KEYS),
+        results.compute_metrics(records),
+        result_files.run_config(t.spark, "base-model", ["task_1"], None, t.run_samples()),
+        path,
+        models=(),
+    )
+    return result_files.read_results(t.spark, path)
+
+
+def read_results(t: Tables) -> DataFrame:
+    return _results_document(t)
+
+
+def run_store(t: Tables) -> DataFrame:
+    """The metrics of all runs as the store has them after they were put there twice."""
+    path = scratch_path(t.spark, "runs")
+    for _ in range(2):
+        result_files.append_run_metrics(_run_metrics(t), path)
+    return result_files.read_runs(t.spark, path, metrics=True).select(F.col("run_id").cast("long"), "model", "metric", "value")
+
+
 def params_diff(t: Tables) -> DataFrame:
     """The parameters of every day against those of the day before."""
     params = t.daily_params()
@@ -498,6 +534,36 @@ def feedback_daily_counts(t: Tables) -> DataFrame:
     return counts.withColumn("day", F.col("day").cast("string"))
 
 
+def _halves(t: Tables) -> list[DataFrame]:
+    """Raw feedback in two parts, by file."""
+    raw = t.feedback_raw().withColumnRenamed("rating_raw", "rating")
+    late = F.pmod(F.crc32(F.col("file").cast("binary")), F.lit(2)) == 1
+    return [raw.where(~late), raw.where(late)]
+
+
+def feedback_incremental(t: Tables) -> DataFrame:
+    """What two runs keep and reject, the second of which has only the newer files to read."""
+    folder, out, state = (scratch_path(t.spark, n) for n in ("daily", "collected", "collected-state"))
+    for part in _halves(t):
+        feedback_files.write_feedback_csv(part, folder)
+        feedback_plan.collect_new_feedback(t.spark, folder, out, state, partitioned=True)
+    texts = "file string, timestamp string, task string, prompt string, response string"
+    kept = t.spark.read.schema(f"{texts}, rating bigint").json(f"{out}/all_feedback")
+    bad = t.spark.read.schema(f"{texts}, reason string").json(f"{out}/rejected")
+    return kept.unionByName(bad, allowMissingColumns=True).drop("batch")
+
+
+def feedback_daily_stream(t: Tables) -> DataFrame:
+    """Counts that a stream kept over a stop between two parts of the ratings."""
+    folder, out, state = (scratch_path(t.spark, n) for n in ("ratings-in", "daily-counts", "daily-state"))
+    for part in _halves(t):
+        rows = feedback.parse_feedback(part, "rating").select("ts", "task")
+        rows.write.mode("append").parquet(folder)
+        stream = streams.read_feedback_stream(t.spark, folder, "parquet", rows.schema, files_per_trigger=64)
+        streams.keep_daily_counts(stream, out, state).awaitTermination()
+    return streams.read_daily_counts(t.spark, out).withColumn("day", F.col("day").cast("string"))
+
+
 def _bind(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -517,6 +583,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bleu, parse_judge_score, test_pass_rate, function_name, fill_skipped, assemble_results,
         regression_gate, params_diff, metrics_diff, compute_metrics, metrics_table,
         per_sample_report, promote_baseline, run_record, parse_feedback, feedback_summary,
-        feedback_pairs, feedback_append_stream, feedback_daily_counts,
+        feedback_pairs, feedback_append_stream, feedback_daily_counts, feedback_incremental,
+        feedback_daily_stream, read_results, baseline_store, run_store,
     )
 }

@@ -1,6 +1,6 @@
 """User ratings: parsing, summary, training pairs and daily counts."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.text import WHITESPACE_CLASS
@@ -10,30 +10,55 @@ from pairloom.functions.prompts import training_prompt
 RATING_PATTERN = rf"\A{WHITESPACE_CLASS}*([+-]?[0-9]++(?:_[0-9]++)*+){WHITESPACE_CLASS}*\z"
 
 
+def _rating_text(rating_col: str) -> Column:
+    return F.regexp_replace(F.regexp_extract(rating_col, RATING_PATTERN, 1), "_", "")
+
+
+def _complete(raw: DataFrame) -> Column:
+    there = F.lit(True)
+    for c in ("timestamp", "task", "prompt", "response"):
+        if c in raw.columns:
+            there &= F.col(c).isNotNull()
+    return there
+
+
 def parse_feedback(raw: DataFrame, rating_col: str = "rating_raw") -> DataFrame:
     """Ratings as numbers; rows with a missing field or a rating that is no whole number are dropped.
 
     A rating beyond the bigint range is kept at the end of that range: any value but 1 means negative.
     """
-    text = F.regexp_replace(F.regexp_extract(rating_col, RATING_PATTERN, 1), "_", "")
+    text = _rating_text(rating_col)
     number = F.coalesce(
         text.try_cast("bigint"),
         F.when(text.startswith("-"), F.lit(-(2**63))).otherwise(F.lit(2**63 - 1)),
     )
-    needed = [F.col(c).isNotNull() for c in ("timestamp", "task", "prompt", "response") if c in raw.columns]
-    kept = raw.where(text != "")
-    for present in needed:
-        kept = kept.where(present)
-    return kept.withColumn("rating", number).drop(rating_col)
+    return raw.where((text != "") & _complete(raw)).withColumn("rating", number).drop(rating_col)
+
+
+def rejected_feedback(raw: DataFrame, rating_col: str = "rating_raw") -> DataFrame:
+    """The rows that ``parse_feedback`` drops, unchanged, with a ``reason``: ``field`` or ``rating``."""
+    reason = F.when(~_complete(raw) | F.col(rating_col).isNull(), "field").when(_rating_text(rating_col) == "", "rating")
+    return raw.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def feedback_totals(rows: DataFrame) -> DataFrame:
+    """One row of counts; those of several parts of the rows may be added up."""
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("rating") == 1).alias("positive"),
+        F.count_if(F.col("task") == "task_1").alias("task_1"),
+    )
 
 
 def feedback_summary(rows: DataFrame) -> DataFrame:
     """One row of totals, none for empty input."""
-    up = F.count_if(F.col("rating") == 1)
-    first = F.count_if(F.col("task") == "task_1")
-    totals = rows.agg(
-        F.count(F.lit(1)).alias("total"), up.alias("positive"), first.alias("task_1")
-    ).where(F.col("total") > 0)
+    return summary_of(feedback_totals(rows))
+
+
+def summary_of(counts: DataFrame) -> DataFrame:
+    """The summary from rows of ``feedback_totals``, none if they count nothing."""
+    added = counts.agg(*[F.sum(c).alias(c) for c in ("total", "positive", "task_1")])
+    totals = added.where(F.col("total") > 0)
     negative = F.col("total") - F.col("positive")
 
     def percent(n):

@@ -217,35 +217,47 @@ def any_large(spark: SparkSession, pattern: str) -> bool | None:
     return (sizes.first()["most"] or 0) > large_files(spark)
 
 
-def read_records(
-    spark: SparkSession,
-    pattern: str,
+def pieces(text: DataFrame) -> DataFrame:
+    """What ``records`` needs of text that was read with a format's separator as ``lineSep``."""
+    return text.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_size").alias("size"),
+        "value",
+    )
+
+
+def read_records(spark: SparkSession, pattern: str, form: Format, *args, **options) -> DataFrame | None:
+    """``records`` of all matching files; None where there is no file."""
+    large = any_large(spark, pattern)
+    if large is None:
+        return None
+    text = spark.read.option("lineSep", form.separator).text(pattern)
+    return records(pieces(text), large, form, *args, **options)
+
+
+def records(
+    text: DataFrame,
+    large: bool,
     form: Format,
     interpret: Callable[[str | None, str], tuple | None],
     fields: list[tuple[str, pa.DataType, str]],
     checked: Callable[[DataFrame], None] | None = None,
     only_large: bool = False,
-) -> DataFrame | None:
+) -> DataFrame:
     """``path``, ``pos`` (rising within a file) and the interpreted fields of every record.
 
     ``interpret`` takes the file's head and a record's text and gives the fields, or None for no
-    row. ``checked`` may look at the table of blocks. Small files are left out with ``only_large``.
+    row. ``large`` says whether a file may be dealt in blocks. ``checked`` may look at the table of
+    blocks. Small files are left out with ``only_large``.
     """
-    large = any_large(spark, pattern)
-    if large is None:
-        return None
+    spark = text.sparkSession
     arrow = pa.schema(
         [("path", pa.string()), ("pos", pa.int64()), ("part", pa.int32()), ("head", pa.string()), ("text", pa.string())]
         + [(n, t) for n, t, _ in fields]
     )
     ddl = ", ".join(["path string, pos long, part int, head string, text string", *(f"`{n}` {d}" for n, _, d in fields)])
     names = ["path", "pos", *(n for n, _, _ in fields)]
-    text = spark.read.option("lineSep", form.separator).text(pattern).select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.col("_metadata.file_size").alias("size"),
-        "value",
-    )
     parts = []
     if not only_large:
         # The list of files is pruned by size, so what is read twice below is not read here.

@@ -127,10 +127,18 @@ def read_by_header(spark: SparkSession, pattern: str, needed: T.StructType) -> D
     contributes no rows, and no file at all gives an empty table. A text that is no value of its
     column's type is null.
     """
-    out = T.StructType([*needed, T.StructField("_path", T.StringType()), T.StructField("_pos", T.LongType())])
+    if (large := blocks.any_large(spark, pattern)) is None:
+        places = [T.StructField("_path", T.StringType()), T.StructField("_pos", T.LongType())]
+        return spark.createDataFrame([], T.StructType([*needed, *places]))
+    return by_header(spark.read.option("lineSep", Csv.separator).text(pattern), needed, large)
+
+
+def by_header(text: DataFrame, needed: T.StructType, large: bool | None = None) -> DataFrame:
+    """As ``read_by_header``, of lines that were read elsewhere, such as a stream's new files."""
+    found = blocks.pieces(text)
+    if large is None:
+        large = not found.where(F.col("size") > blocks.large_files(text.sparkSession)).isEmpty()
     fields = [(f"f{i}", pa.string(), "string") for i in range(len(needed))]
-    rows = blocks.read_records(spark, pattern, Csv(), _by_header(needed.names), fields, _headers_end)
-    if rows is None:
-        return spark.createDataFrame([], out)
+    rows = blocks.records(found, large, Csv(), _by_header(needed.names), fields, _headers_end)
     typed = [F.col(f"f{i}") if isinstance(f.dataType, T.StringType) else F.col(f"f{i}").try_cast(f.dataType) for i, f in enumerate(needed)]
     return rows.select(*[c.alias(f.name) for c, f in zip(typed, needed, strict=True)], F.col("path").alias("_path"), F.col("pos").alias("_pos"))

@@ -11,18 +11,24 @@ NAME_PATTERN = "feedback_*.csv"
 ROWS_PER_FILE = 1_000_000
 
 
+def feedback_files(directory: str, partitioned: bool = False) -> str:
+    """The files of a feedback folder; ``partitioned`` is the layout of ``write_feedback_csv``."""
+    return f"{directory}/file={NAME_PATTERN}/*.csv" if partitioned else f"{directory}/{NAME_PATTERN}"
+
+
 def load_feedback_csv(spark: SparkSession, directory: str, partitioned: bool = False) -> DataFrame:
     """Rows of all files named ``feedback_*.csv``, with the file name; other files are not opened.
 
-    Columns are found by header. ``partitioned`` reads the layout of ``write_feedback_csv``. Rows are
-    not sorted: ``file``, then ``pos``, is the order of the source.
+    Columns are found by header. Rows are not sorted: ``file``, then ``pos``, is the order of the source.
     """
-    prefix = "file=" if partitioned else ""
-    inner = "/*.csv" if partitioned else ""
-    rows = csv_format.read_by_header(spark, f"{directory}/{prefix}{NAME_PATTERN}{inner}", FEEDBACK_RAW)
+    return raw_feedback(csv_format.read_by_header(spark, feedback_files(directory, partitioned), FEEDBACK_RAW), partitioned)
+
+
+def raw_feedback(rows: DataFrame, partitioned: bool = False) -> DataFrame:
+    """Rows read by header as ``file``, ``pos``, the texts and ``rating_raw``."""
     # A bare empty field is an empty text here. A row that ends early lacks its rating.
     texts = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in FEEDBACK_RAW.names[:-1]]
-    name = F.regexp_extract(F.col("_path"), rf"/{prefix}(feedback_[^/]*\.csv)", 1)
+    name = F.regexp_extract(F.col("_path"), rf"/{'file=' if partitioned else ''}(feedback_[^/]*\.csv)", 1)
     return rows.select(
         F.url_decode(name).alias("file"), F.col("_pos").alias("pos"), *texts, F.col("rating").alias("rating_raw")
     )

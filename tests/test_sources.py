@@ -210,3 +210,70 @@ def test_results_document(spark, tmp_path):
     assert json.loads(next((tmp_path / "doc" / "config").glob("part*")).read_text()) == {
         "base_model": "m", "adapters": ["task_1"], "judge_model": None, "num_samples": 2,
     }
+
+
+def test_a_run_that_is_stored_twice_is_there_once(spark, tmp_path):
+    records, metrics = str(tmp_path / "records"), str(tmp_path / "metrics")
+    for run, value in (("a", "old"), ("b", "x"), ("a", "new"), ("a", "new")):
+        results.append_run_record(spark.createDataFrame([(run, "k", value)], "run_id string, key string, value string"), records)
+        results.append_run_metrics(spark.createDataFrame([(run, "m", "bleu", 0.5)], "run_id string, model string, metric string, value double"), metrics)
+    assert rows(results.read_runs(spark, records).select("run_id", "value")) == [("a", "new"), ("b", "x")]
+    assert results.read_runs(spark, metrics, metrics=True).count() == 2
+
+
+def test_results_documents_are_read_into_the_gate(spark, tmp_path):
+    def document(name, **values):
+        path = tmp_path / name
+        text = {"config": {"n": [1, {"a": 2}]}, "metrics": values, "results": [{"metrics": "no", "x": [1, 2]}, None]}
+        path.write_text(json.dumps(text, indent=2))
+        return str(path)
+
+    old = document("old.json", tuned={"codegen_pass_rate": 0.9, "docgen_bleu": 0.1, "avg_latency_ms": 20}, plain={"docgen_bleu": 0.5})
+    new = document("new.json", tuned={"codegen_pass_rate": 0.87, "docgen_bleu": 0.09, "codegen_quality (1-5)": 0, "x": None})
+    assert rows(results.read_results(spark, new)) == [
+        ("tuned", "codegen_pass_rate", 0.87), ("tuned", "codegen_quality (1-5)", 0.0), ("tuned", "docgen_bleu", 0.09),
+    ]
+    judged = rows(results.gate_documents(spark, new, old, "tuned").select("metric", "status"))
+    assert judged == [("codegen_pass_rate", "regression"), ("codegen_quality (1-5)", "skipped"), ("docgen_bleu", "ok")]
+    assert {r.status for r in results.gate_documents(spark, new, None, "tuned").collect()} == {"ok", "skipped"}
+    assert results.read_results(spark, document("none.json")).count() == 0
+    (tmp_path / "broken.json").write_text('{"metrics": {"tuned"')
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+        results.read_results(spark, str(tmp_path / "broken.json")).collect()
+    # Both documents at once, and the folder form of the sink.
+    assert results.read_results(spark, str(tmp_path / "[on]*.json")).count() == 7
+    metrics = spark.createDataFrame([("tuned", 0.5, None)], "model string, codegen_bleu double, docgen_bleu double")
+    results.results_json_sink(spark.range(1), metrics, spark.range(1), str(tmp_path / "doc"), models=())
+    assert rows(results.read_results(spark, str(tmp_path / "doc"))) == [("tuned", "codegen_bleu", 0.5)]
+
+
+def test_of_two_promoters_the_later_is_judged_against_the_earlier(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "baseline")
+
+    def metrics(rate):
+        return spark.createDataFrame([("codegen_pass_rate", rate)], "metric string, value double")
+
+    assert results.gate_and_promote(spark, metrics(0.5), path)
+    original, tries = results._commit, []
+
+    def overtaken(*args):
+        tries.append(args[2])
+        if len(tries) == 1:
+            monkeypatch.setattr(results, "_commit", original)
+            assert results.gate_and_promote(spark, metrics(0.9), path)
+            monkeypatch.setattr(results, "_commit", overtaken)
+        return original(*args)
+
+    monkeypatch.setattr(results, "_commit", overtaken)
+    # Better than 0.5, but worse than the 0.9 that became current meanwhile.
+    assert results.gate_and_promote(spark, metrics(0.6), path) is False
+    assert tries == [2] and results.read_baseline(spark, path).first().value == 0.9
+    tries.clear()
+    assert results.gate_and_promote(spark, metrics(0.95), path)
+    assert rows(results.read_promotions(spark, path)) == [
+        (1, "codegen_pass_rate", 0.5), (2, "codegen_pass_rate", 0.9), (3, "codegen_pass_rate", 0.9), (4, "codegen_pass_rate", 0.95),
+    ]
+    monkeypatch.setattr(results, "_commit", original)
+    # A job that failed left metrics without a pointer.
+    metrics(9.0).write.parquet(f"{path}/metrics/folder=lost")
+    assert results.gate_and_promote(spark, metrics(0.96), path) and results.read_baseline(spark, path).first().value == 0.96
