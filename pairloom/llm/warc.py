@@ -3,7 +3,7 @@
 A response row becomes two records that refer to it: a ``metadata`` record with facts about the
 capture (status, type, title, language, links) and a ``conversion`` record with the page as plain text.
 Both name the response in WARC-Refers-To, keep its target and date, repeat its payload digest, and
-have an identifier and a block digest of their own. Identifiers are made from the response's
+have an identifier and a block digest of their own. Metadata repeats the response's own header fields. Identifiers are made from the response's
 identifier and the kind, so reruns give equal records.
 
 Text is found by patterns in the JVM: comments, scripts and styles go, block tags break lines, other
@@ -12,8 +12,10 @@ empty conversion. Rows without an identifier get one from target, date and paylo
 give repeated records. Header values lose line breaks, so a record cannot be split by its source.
 """
 
+import json
 import re
 from collections.abc import Iterator
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,20 +24,16 @@ from pyspark.sql import types as T
 
 VERSION = "WARC/1.1"
 RECORD = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "record_id", "refers_to", "headers", "block")])
-# Records in a written file; bounds the files that a reader holds.
+# Records and bytes in a written file; bound what a reader holds.
 FILE_RECORDS = 20_000
+FILE_BYTES = 1 << 29
 
-# Named character references, and Windows-1252 is not guessed for numbers.
-NAMED = {
-    "amp": 38, "lt": 60, "gt": 62, "quot": 34, "apos": 39, "nbsp": 160, "copy": 169, "reg": 174,
-    "laquo": 171, "raquo": 187, "middot": 183, "ndash": 8211, "mdash": 8212, "lsquo": 8216, "rsquo": 8217,
-    "ldquo": 8220, "rdquo": 8221, "bull": 8226, "hellip": 8230, "euro": 8364, "trade": 8482,
-    "eacute": 233, "egrave": 232, "agrave": 224, "ccedil": 231, "auml": 228, "ouml": 246, "uuml": 252,
-    "szlig": 223, "ntilde": 241, "oacute": 243, "iacute": 237, "aacute": 225, "uacute": 250,
-}
-_HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|$)"
-_BREAKS = r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|blockquote|pre|title|body|head)\b[^>]*|br\b[^>]*)>"
-_TAGS = r"<[!/?A-Za-z][^>]*>"
+# The references that pages use most; the table of all of them is asked after these.
+COMMON = ("amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "laquo", "raquo", "middot", "ndash", "mdash", "hellip", "eacute")
+_HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^<>]*+>.*?(?:</\1\s*+>|$)"
+# A tag ends before the next one begins, so one that is never closed is not read again from every place.
+_BREAKS = r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|blockquote|pre|title|body|head)\b[^<>]*+>|br\b[^<>]*+>)"
+_TAGS = r"<[!/?A-Za-z][^<>]*+>"
 
 
 def _one_line(value: Column) -> Column:
@@ -68,23 +66,32 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
     )
 
 
+def _names() -> list[str]:
+    """All names of character references that end with a semicolon."""
+    return [name[:-1] for name in html5 if name.endswith(";")]
+
+
 def unescaped(text: Column) -> Column:
     """Character references in text as characters; unknown ones stay."""
-    names = F.create_map(*[x for k, v in NAMED.items() for x in (F.lit(k), F.lit(v))])
+    common, every = (
+        # One constant, which the optimizer reads once.
+        F.from_json(F.lit(json.dumps({n: html5[f"{n};"] for n in names})), "map<string, string>")
+        for names in (COMMON, _names())
+    )
     # Each piece after the first starts behind an ampersand.
     pieces = F.split(text, "&")
 
     def read(piece: Column) -> Column:
         body = F.substring_index(piece, ";", 1)
         ended = F.length(body) < F.length(piece)
-        number = (
-            F.when(body.rlike(r"^#[0-9]{1,7}$"), F.substring(body, 2, 7).cast("int"))
-            .when(body.rlike(r"^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substring(body, 3, 6), 16, 10).cast("int"))
-            .otherwise(names[body])
+        number = F.when(body.rlike(r"^#[0-9]{1,7}$"), F.substring(body, 2, 7).cast("int")).when(
+            body.rlike(r"^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substring(body, 3, 6), 16, 10).cast("int")
         )
-        valid = ended & ((number.between(1, 0xD7FF)) | (number.between(0xE000, 0x10FFFF)))
-        char = F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32")
-        return F.when(valid, F.concat(char, F.substr(piece, F.length(body) + 2))).otherwise(F.concat(F.lit("&"), piece))
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32"))
+        named = F.when(body.rlike(r"^[A-Za-z][A-Za-z0-9]{1,40}$"), F.coalesce(common[body], every[body]))
+        text = F.when(ended, F.when(body.startswith("#"), char).otherwise(named))
+        return F.coalesce(F.concat(text, F.substr(piece, F.length(body) + 2)), F.concat(F.lit("&"), piece))
 
     rest = F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), read), "")
     return F.when(text.contains("&"), F.concat(pieces[0], rest)).otherwise(text)
@@ -105,7 +112,11 @@ def with_plain_text(df: DataFrame, html: str, out: str) -> DataFrame:
 
 def derive(found: DataFrame) -> DataFrame:
     """``page_id``, ``kind``, ``record_id``, ``refers_to``, ``payload_digest``, ``block_digest``,
-    ``headers``, ``block``: two records for each response row."""
+    ``headers``, ``block``: two records for each response row.
+
+    A column ``http_headers``, lines of the response's own header fields, is optional; the metadata
+    record repeats every field.
+    """
     payload = F.coalesce("payload", F.lit(""))
     own = F.coalesce(
         "record_id", uuid_of(F.concat_ws("\n", F.lit("response"), _one_line(F.col("target")), _one_line(F.col("date")), payload))
@@ -119,14 +130,17 @@ def derive(found: DataFrame) -> DataFrame:
         _one_line(F.col("content_type")).alias("content_type"),
         F.coalesce(_one_line(F.col("payload_digest")), digest_of(payload)).alias("payload_digest"),
         payload.alias("payload"),
+        (F.col("http_headers") if "http_headers" in found.columns else F.lit(None)).cast("string").alias("_http"),
     )
     first = lambda p: F.regexp_extract("payload", p, 1)
     # The text of a title, without markup and on one line.
-    base = with_plain_text(base.withColumn("_title", first(r"(?is)<title[^>]*>(.*?)</title")), "_title", "_title")
+    before = F.split("payload", "(?i)</title", 2)
+    named = F.when(F.size(before) == 2, F.regexp_extract(before[0], r"(?is)<title[^<>]*+>(.*)", 1))
+    base = with_plain_text(base.withColumn("_title", named), "_title", "_title")
     title = _one_line(F.col("_title"))
     base = with_plain_text(base, "payload", "_text")
     links = F.transform(
-        F.regexp_extract_all("payload", F.lit(r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"'<>]*)"), 1),
+        F.regexp_extract_all("payload", F.lit(r"(?i)<a\b[^<>]*?\bhref\s*=\s*[\"']([^\"'<>]*)"), 1),
         lambda x: F.concat(F.lit("outlink: "), _one_line(unescaped(x))),
     )
     facts = F.concat(
@@ -134,9 +148,13 @@ def derive(found: DataFrame) -> DataFrame:
             F.concat(F.lit("http-status: "), F.coalesce(F.col("status").cast("string"), F.lit(""))),
             F.concat(F.lit("http-content-type: "), F.col("content_type")),
             F.concat(F.lit("title: "), title),
-            F.concat(F.lit("lang: "), first(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']([A-Za-z-]*)")),
+            F.concat(F.lit("lang: "), first(r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']([A-Za-z-]*)")),
         ),
         links,
+        F.transform(
+            F.filter(F.split(F.coalesce("_http", F.lit("")), r"\r?\n"), lambda x: x.contains(":")),
+            lambda x: F.concat(F.lit("http-header: "), _one_line(x)),
+        ),
     )
     blocks = F.array(
         F.struct(
@@ -146,7 +164,7 @@ def derive(found: DataFrame) -> DataFrame:
         ),
         F.struct(F.lit("conversion").alias("kind"), F.lit("text/plain; charset=utf-8").alias("type"), F.col("_text").alias("block")),
     )
-    each = base.select(*[c for c in base.columns if c not in ("payload", "_title", "_text")], F.explode(blocks).alias("b")).select(
+    each = base.select(*[c for c in base.columns if c not in ("payload", "_title", "_text", "_http")], F.explode(blocks).alias("b")).select(
         "*", "b.kind", "b.type", "b.block"
     )
     each = each.withColumn("record_id", uuid_of(F.concat_ws("\n", "kind", "source_id"))).withColumn(
@@ -171,17 +189,25 @@ def derive(found: DataFrame) -> DataFrame:
     )
 
 
-def write_records(records: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """WARC files from ``headers`` and ``block``; Spark's text writer sets the marks between records."""
-    whole = F.concat("headers", F.lit("\r\n\r\n"), "block")
-    records.select(whole.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).text(path)
+def write_records(records: DataFrame, path: str, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> None:
+    """WARC files from ``headers`` and ``block``; Spark's text writer sets the marks between records.
+
+    A file holds at most ``file_records`` records and, but for a single larger one, ``file_bytes``.
+    """
+    whole = records.select(F.concat("headers", F.lit("\r\n\r\n"), "block").alias("value"))
+    size = F.octet_length("value")
+    most = whole.agg(F.max(size).alias("m")).first()["m"] or 0
+    usual = file_bytes // file_records
+    parts = [(whole.where(size <= usual), file_records), (whole.where(size > usual), max(file_bytes // max(most, 1), 1))]
+    for part, count in parts if most > usual else parts[:1]:
+        part.write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", min(count, file_records)).text(path)
 
 
 def _parse(data: bytes) -> Iterator[dict]:
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         split = data.index(b"\r\n\r\n", at)
-        headers = data[at:split].decode()
+        headers = data[at:split].decode(errors="replace")
         fields = dict(re.findall(r"(?m)^([\w-]+): ?(.*?)\r?$", headers))
         end = split + 4 + int(fields["Content-Length"])
         yield {
@@ -189,7 +215,7 @@ def _parse(data: bytes) -> Iterator[dict]:
             "record_id": fields.get("WARC-Record-ID"),
             "refers_to": fields.get("WARC-Refers-To"),
             "headers": headers,
-            "block": data[split + 4 : end].decode(),
+            "block": data[split + 4 : end].decode(errors="replace"),
         }
         at = end
 
@@ -211,3 +237,30 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, RECORD)
+
+
+def captured(records: DataFrame) -> DataFrame:
+    """Response rows for ``derive`` from the response records of WARC files.
+
+    The block's own headers end at its first empty line; without one the whole block is payload.
+    """
+
+    def field(name: str) -> Column:
+        return F.regexp_extract("headers", rf"(?im)^{name}: ?(.*?)\r?$", 1)
+
+    split = F.split("block", "\r?\n\r?\n", 2)
+    message = records.where(F.col("kind") == "response").select("record_id", "headers", "block", split.alias("_parts"))
+    http = F.when((F.size("_parts") == 2) & F.col("block").startswith("HTTP/"), F.col("_parts")[0])
+    typed = message.withColumn("http_headers", http)
+    digest = field("WARC-Payload-Digest")
+    return typed.select(
+        F.lit(None).cast("long").alias("page_id"),
+        "record_id",
+        field("WARC-Target-URI").alias("target"),
+        field("WARC-Date").alias("date"),
+        F.regexp_extract("http_headers", r"^HTTP/\S+ +([0-9]{3})", 1).try_cast("int").alias("status"),
+        F.regexp_extract("http_headers", r"(?im)^content-type: *(.*?)\r?$", 1).alias("content_type"),
+        F.when(http.isNull(), F.col("block")).otherwise(F.col("_parts")[1]).alias("payload"),
+        F.when(digest != "", digest).alias("payload_digest"),
+        "http_headers",
+    )

@@ -1,6 +1,7 @@
 import hashlib
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def test_text_and_facts(derived):
 
 
 def test_references_against_the_standard_library(spark):
-    texts = ["a &amp; b", "&eacute;&#8364;&#x20ac;", "&amp;lt;", "no reference", "&", "&;", "&&amp;&", "x&copy y"]
+    texts = ["a &amp; b", "&eacute;&#8364;&#x20ac;", "&amp;lt;", "no reference", "&Auml;&ecirc;&NotEqualTilde;&CounterClockwiseContourIntegral;", "&nosuchname;", "&", "&;", "&&amp;&", "x&copy y"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", warc.unescaped(F.col("t")).alias("u")).collect():
         # The standard library also reads references without their end mark.
@@ -71,3 +72,31 @@ def test_missing_fields_and_empty_table(spark):
     got = warc.derive(spark.createDataFrame([(None,) * 8], kinds)).collect()
     assert len(got) == 2 and all(r.refers_to.startswith("<urn:uuid:") for r in got)
     assert warc.derive(spark.createDataFrame([], kinds)).count() == 0
+
+
+def test_open_tags_take_linear_time(spark):
+    pages = [(i, "u", (part * (1_000_000 // len(part)))) for i, part in enumerate(("<a ", "<title", "<p ", "<html ", "<script ", "<a href=", "<!-", "<title>", "&", "<a href='x"))]
+    start = time.time()
+    found = warc.derive(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)))
+    assert found.count() == 20 and found.agg(F.sum(F.length("block"))).first()[0] > 0
+    assert time.time() - start < 60
+
+
+def test_captured_responses_keep_their_headers(spark, tmp_path):
+    payload = "<title>T</title><p>&Auml;rger"
+    http = "HTTP/1.1 404 Not Found\r\nContent-Type: text/html\r\nX-Cache: a:b\r\n\r\n"
+    block = http + payload
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x/\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: {len(block)}"
+    big = "y" * 5000
+    other = head.replace("response", "resource").replace(f"Length: {len(block)}", f"Length: {len(big)}")
+    rows_ = [(head, block), (other, big), (head.replace("uuid:1", "uuid:2"), block)]
+    warc.write_records(spark.createDataFrame(rows_, "headers string, block string"), str(tmp_path / "w"), 4, 4000)
+    read = warc.read_records(spark, str(tmp_path / "w"))
+    assert read.count() == 3
+    derived = warc.derive(warc.captured(read)).where("refers_to = '<urn:uuid:1>'").collect()
+    blocks = {r.kind: r.block for r in derived}
+    assert blocks["conversion"] == "T\n\u00c4rger"
+    lines = blocks["metadata"].split("\r\n")
+    assert {"http-status: 404", "http-content-type: text/html", "http-header: X-Cache: a:b", "title: T"} <= set(lines)
+    assert {r.payload_digest for r in derived} == {"sha1:ABC"}
+    assert all("WARC-Target-URI: http://x/" in r.headers and "WARC-Date: 2024-01-01T00:00:00Z" in r.headers for r in derived)
