@@ -6,14 +6,17 @@ first: by rising sum of its two distances. How many it visits is set on the samp
 neighbour at the threshold is found, from either side, with probability ``recall``. A pair that
 shares a visited cell is verified by its cosine in double precision; none below the threshold links.
 
-Codebooks are fitted on a bounded sample (``SAMPLE`` vectors at most, a documented bound); every
-vector is indexed. Their size follows the number of vectors, so a cell holds about ``CELL`` on
+Codebooks are fitted on a bounded sample (about ``SAMPLE`` vectors of a length at most, a documented
+bound); every vector is indexed. Their size follows the number of vectors, so a cell holds about ``CELL`` on
 average and the work grows in proportion. Equal vectors are one class and are never paired. Cells
 over ``BLOCK`` vectors are dealt to blocks, and queries meet the blocks one by one; tasks return sums
 of links and a spanning forest, never all pairs.
 
-Null and zero vectors, vectors with null or non-finite components, vectors whose length is not the
-most frequent one, and rows without an id link with nothing. Rows with equal ids count as vectors.
+Vectors are compared with those of their length. Each length has codebooks of its own; a length with
+at most ``FEW`` distinct vectors is one cell, in which all are compared.
+
+Null and zero vectors, vectors with null or non-finite components and rows without an id link with
+nothing. Rows with equal ids count as vectors.
 """
 
 from collections.abc import Iterator
@@ -33,6 +36,7 @@ SAMPLE = 32_768
 CELL = 128
 MOST_CODES = 1_024
 BLOCK = 1_024
+FEW = 1_024
 _TRIALS = 2_000
 # Distances that a step holds at once.
 _HELD = 1 << 22
@@ -182,14 +186,12 @@ def _verified(kind: str, threshold: float):
 def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     """Rows with a digest (null if the vector links with nothing), one row per distinct vector, and its format."""
     kind = "<f4" if "float" in dict(vectors.dtypes)["embedding"] else "<f8"
-    sizes = vectors.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("d > 0")
-    most = sizes.agg(F.max_by("d", F.struct("n", "d"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = []
             for v in batch.column(1).to_pylist():
-                x = np.array(v, kind) if v is not None and len(v) == most and None not in v else None
+                x = np.array(v, kind) if v is not None and None not in v else None
                 usable = x is not None and np.isfinite(x).all() and np.any(x)
                 raw.append(x.tobytes() if usable else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["vec_id", "vec"])
@@ -200,25 +202,15 @@ def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     classes = rows.where("vec is not null").groupBy("digest").agg(
         F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")
     )
+    classes = classes.withColumn("dims", F.expr(f"octet_length(vec) div {np.dtype(kind).itemsize}"))
     return rows.select("vec_id", "digest"), materialise(classes), kind
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` for every row."""
     rows, classes, kind = _classes(vectors)
-    total = classes.count()
-    k = int(np.clip(np.ceil(np.sqrt(total / CELL)), 1, MOST_CODES))
-    share = min(1.0, SAMPLE / max(total, 1))
-    drawn = F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) < int(share * (1 << 30))
-    picked = sorted((r["first"], bytes(r["vec"])) for r in classes.where(drawn).select("first", "vec").collect())
-    empty = classes.select(F.col("first").alias("a"), F.col("first").alias("b"), F.lit(0).alias("links")).limit(0)
-    found = empty
-    if len(picked) > 1:
-        x = unit(np.frombuffer(b"".join(v for _, v in picked), kind).reshape(len(picked), -1))
-        half, k = x.shape[1] // 2, min(k, len(picked))
-        books = codebook(x[:, :half], k), codebook(x[:, half:], k)
-        cells = cells_to_visit(x, books, threshold, recall)
-        found = materialise(_search(classes, kind, books, cells, threshold))
+    plans = _plans(classes, kind, threshold, recall)
+    found = materialise(_search(classes, kind, plans, threshold))
     links = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
     roots = components(found.where("links = 0"))
     named = (
@@ -237,17 +229,40 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     )
 
 
-def _search(classes: DataFrame, kind: str, books: tuple[np.ndarray, np.ndarray], cells: int, threshold: float) -> DataFrame:
+def _plans(classes: DataFrame, kind: str, threshold: float, recall: float) -> dict[int, tuple]:
+    """Codebooks and cells to visit for every length with more than ``FEW`` distinct vectors."""
+    sizes = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW).collect()}
+    plans = {}
+    for dims, n in sorted(sizes.items()):
+        share = int(min(1.0, SAMPLE / n) * (1 << 30))
+        drawn = classes.where((F.col("dims") == dims) & (F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) < share))
+        picked = sorted((r["first"], bytes(r["vec"])) for r in drawn.select("first", "vec").collect())
+        x = unit(np.frombuffer(b"".join(v for _, v in picked), kind).reshape(len(picked), dims))
+        k = int(min(np.clip(np.ceil(np.sqrt(n / CELL)), 1, MOST_CODES), len(picked)))
+        books = codebook(x[:, : dims // 2], k), codebook(x[:, dims // 2 :], k)
+        plans[dims] = (books, cells_to_visit(x, books, threshold, recall))
+    return plans
+
+
+def _search(classes: DataFrame, kind: str, plans: dict[int, tuple], threshold: float) -> DataFrame:
     """``a``, ``b``, ``links``: numbers of links where ``links`` > 0, spanning links where it is 0."""
+    size = np.dtype(kind).itemsize
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x = unit(np.frombuffer(b"".join(batch.column(2).to_pylist()), kind).reshape(len(batch), -1))
-                cell = visited(x, books, cells)
-                visits = pa.array(list(cell.astype(np.int64)), pa.list_(pa.int64()))
-                home = pa.array(cell[:, 0].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*batch.columns, home, visits], ["id", "n", "vec", "home", "visits"])
+            vectors = batch.column(2).to_pylist()
+            lengths = np.array([len(v) // size for v in vectors])
+            for dims in np.unique(lengths):
+                at = np.flatnonzero(lengths == dims)
+                cell = np.zeros((len(at), 1), np.int64)
+                if dims in plans:
+                    x = unit(np.frombuffer(b"".join(vectors[i] for i in at), kind).reshape(len(at), dims))
+                    cell = visited(x, *plans[dims]).astype(np.int64)
+                # The length is part of the cell, so no two lengths meet.
+                cell = cell + dims * MOST_CODES**2
+                visits = pa.array(list(cell), pa.list_(pa.int64()))
+                columns = batch.take(pa.array(at)).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cell[:, 0]), visits], ["id", "n", "vec", "home", "visits"])
 
     placed = classes.select("first", "n", "vec").mapInArrow(assign, "id long, n long, vec binary, home long, visits array<long>")
     placed = materialise(placed)

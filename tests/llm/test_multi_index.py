@@ -21,17 +21,26 @@ def vectors(n=400, dims=16, seed=0):
     return rows
 
 
+def several_lengths(seed=3):
+    """Lengths with many and with few vectors, equal and near ones among them."""
+    rng = np.random.default_rng(seed)
+    out = vectors(200, 16, seed)
+    for dims, n in ((1, 6), (3, 90), (8, 30), (2, 2)):
+        x = rng.normal(size=(n, dims)).astype(np.float32)
+        x[n // 2 :] = x[: n - n // 2] * 2
+        out += [(10_000 * dims + i, v.tolist(), 0, 1, "") for i, v in enumerate(x)]
+    return out
+
+
 def brute(rows, threshold=0.9):
-    size = max(len(v or []) for _, v, *_ in rows)
-    usable = []
+    units = {}
     for i, (vec_id, v, *_) in enumerate(rows):
-        if vec_id is not None and v is not None and len(v) == size and None not in v:
+        if vec_id is not None and v and None not in v:
             x = np.array(v, np.float64)
             if np.isfinite(x).all() and np.any(x):
-                usable.append(i)
-    unit = np.array([rows[i][1] for i in usable], np.float64).reshape(len(usable), size)
-    unit /= np.linalg.norm(unit, axis=1)[:, None]
-    near = unit @ unit.T >= threshold
+                units[i] = x / np.linalg.norm(x)
+    usable = list(units)
+    near = np.array([[len(units[a]) == len(units[b]) and units[a] @ units[b] >= threshold for b in usable] for a in usable])
     root = odd.components(len(usable), lambda a, b: near[a, b])
     smallest = {}
     for r, i in zip(root, usable, strict=True):
@@ -44,10 +53,20 @@ def brute(rows, threshold=0.9):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("few", [0, 40, 1024])
+def test_every_length_is_linked(spark, few, monkeypatch):
+    monkeypatch.setattr(multi_index, "CELL", 8)
+    monkeypatch.setattr(multi_index, "FEW", few)
+    rows = several_lengths()
+    got = multi_index.near_duplicates(spark.createDataFrame(rows, SCHEMA), recall=1.0).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+
+
 @pytest.mark.parametrize("cell, block", [(8, 1024), (8, 3), (1000, 16)])
 def test_whole_recall_equals_brute_force(spark, cell, block, monkeypatch):
     monkeypatch.setattr(multi_index, "CELL", cell)
     monkeypatch.setattr(multi_index, "BLOCK", block)
+    monkeypatch.setattr(multi_index, "FEW", 0)
     rows = vectors()
     got = multi_index.near_duplicates(spark.createDataFrame(rows, SCHEMA), recall=1.0).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
@@ -55,6 +74,7 @@ def test_whole_recall_equals_brute_force(spark, cell, block, monkeypatch):
 
 def test_recall_of_links(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "CELL", 8)
+    monkeypatch.setattr(multi_index, "FEW", 0)
     rows = vectors(1000, 32, 5)
     want = {r[0]: r[1] for r in brute(rows) if r[0] is not None}
     got = {r.vec_id: r.n_links for r in multi_index.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
