@@ -2,9 +2,11 @@
 
 Base spans come from three patterns: literals behind a secret word, access keys and hexadecimal runs.
 The method adds what an assignment-aware lexer finds: around every assignment operator it reads a
-name and an expression (quoted strings with escapes, bare configuration values, names, ``+``), keeps
-a table of names and what they hold, follows names and concatenations back to the literals, and
-scores a literal by the most sensitive name that it reaches.
+name and an expression (quoted strings with escapes, bare configuration values, names, ``+``) and
+keeps a table of names and what they hold. A value is a node that refers to its literals and to the
+values it was made of, never a copy of them; what the score needs of it (length, counts of
+characters, blanks, placeholders) is added up from its parts. Literals are scored by the sensitive
+names that they reach: where a value scores under its name, its literals are marked, each node once.
 
 Null is empty text. Texts without an operator or a key word are passed over by plain search. A text
 is handled in one pass and without a limit on its length; equal rows get equal results.
@@ -27,8 +29,10 @@ from pyspark.sql import types as T
 KINDS = ("assign", "access", "hex", "named")
 MARK = "[SECRET]"
 THRESHOLD = 0.5
-# Characters of a value that names hand on; x = x + x would double without an end. Spans are all kept.
-FOLDED = 1 << 16
+# Names of this weight also make short quoted literals, and such with blanks, secrets.
+STRONG = 1.0
+# Counts of a value beyond this are scaled down together: x = x + x doubles without an end.
+_MOST = 1e12
 
 _ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -55,10 +59,10 @@ _SENSITIVE = {
     "secretkey": 1.0, "auth": 0.7, "authorization": 0.8, "bearer": 0.8, "signature": 0.6, "salt": 0.6,
     "cert": 0.5, "key": 0.55,
 }
-_PLACEHOLDER = re.compile(
-    r"example|changeme|change_me|placeholder|dummy|your[-_]|xxx|todo|redacted|^<.*>$|^\*+$|^\$\{|^(?:none|null|true|false)$",
-    re.IGNORECASE,
-)
+_PLACEHOLDER = re.compile(r"<.*>|\*+|\$\{.*|x{3,}|none|null|true|false|undefined", re.IGNORECASE | re.DOTALL)
+# Words that make a value a placeholder where they are a whole part of it.
+_PLACEHOLDERS = frozenset(["example", "changeme", "placeholder", "dummy", "todo", "redacted", "xxx", "xxxx", "your"])
+_WORD = re.compile(r"[A-Za-z]+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_]+")
 
 
@@ -71,11 +75,64 @@ class Span(NamedTuple):
         return f"{KINDS[self.order]}:{self.start}:{self.end}"
 
 
-class _Held(NamedTuple):
-    """What a name holds: its text and the literal pieces it was made of."""
-
-    value: str
-    spans: tuple[tuple[int, int], ...]
+class Value:
+    """What an expression or a name holds: a literal's place in the text, or the values it is made of."""
+
+    __slots__ = ("blank", "counts", "literal", "marked", "parts", "placeholder", "quoted", "size")
+
+    def __init__(self, text: str, literal: tuple[int, int] | None, parts: tuple["Value", ...] = (), quoted: bool = False) -> None:
+        self.literal, self.parts, self.marked = literal, parts, False
+        # Characters fall into 256 counters and four kinds, so a value has a bounded size.
+        self.counts: dict[int, float] = {}
+        for c, n in Counter(text).items():
+            key = ord(c) & 255 | (256 if c.islower() else 512 if c.isupper() else 1024 if c.isdigit() else 0 if c.isalnum() else 2048)
+            self.counts[key] = self.counts.get(key, 0) + n
+        self.size = float(len(text))
+        self.blank = any(map(str.isspace, text))
+        self.placeholder = bool(text) and _is_placeholder(text)
+        self.quoted = quoted or any(p.quoted for p in parts)
+        for p in parts:
+            self.size += p.size
+            self.blank |= p.blank
+            self.placeholder |= p.placeholder
+            for key, n in p.counts.items():
+                self.counts[key] = self.counts.get(key, 0) + n
+        if self.size > _MOST:
+            self.counts = {k: n / self.size * _MOST for k, n in self.counts.items()}
+            self.size = _MOST
+
+    def weight(self, name: float = 0.0) -> float:
+        """Between 0 and 1 by length, variety of characters and entropy; 0 for placeholders and prose.
+
+        A quoted value under a strong name may be shorter, if it has more than letters, or hold blanks.
+        """
+        strong = name >= STRONG and self.quoted
+        kinds = sum(any(k & kind for k in self.counts) for kind in (256, 512, 1024, 2048))
+        if self.placeholder or not self.size or (self.blank and not (strong and self.size >= 12)):
+            return 0.0
+        if self.size < 8 and not (strong and self.size >= 6 and kinds > 1):
+            return 0.0
+        bits = -sum(n / self.size * math.log2(n / self.size) for n in self.counts.values())
+        return min(1.0, bits / 3.5) * min(1.0, 0.4 + 0.2 * kinds + 0.02 * max(self.size - 8, 0))
+
+    def mark(self, into: set[tuple[int, int]]) -> None:
+        """Add the literals that the value was made of; a value that was marked before is passed over."""
+        open_ = [self]
+        while open_:
+            value = open_.pop()
+            if value.marked:
+                continue
+            value.marked = True
+            if value.literal:
+                into.add(value.literal)
+            open_.extend(p for p in value.parts if not p.marked)
+
+
+def _is_placeholder(text: str) -> bool:
+    if _PLACEHOLDER.fullmatch(text):
+        return True
+    words = [w.lower() for w in _WORD.findall(text)]
+    return "change_me" in text.lower() or (not any(map(str.isspace, text)) and not _PLACEHOLDERS.isdisjoint(words))
 
 
 def name_weight(name: str) -> float:
@@ -85,14 +142,9 @@ def name_weight(name: str) -> float:
     return max((_SENSITIVE.get(p, 0.0) for p in (*parts, *joined)), default=0.0)
 
 
-def literal_weight(value: str) -> float:
-    """Between 0 and 1 by length, variety of characters and entropy; 0 for placeholders and prose."""
-    if len(value) < 8 or _PLACEHOLDER.search(value) or any(c.isspace() for c in value):
-        return 0.0
-    counts = Counter(value)
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum((any(map(str.islower, value)), any(map(str.isupper, value)), any(map(str.isdigit, value)), not value.isalnum()))
-    return min(1.0, bits / 3.5) * min(1.0, 0.4 + 0.2 * kinds + 0.02 * (len(value) - 8))
+def literal_weight(value: str, name: float = 0.0, quoted: bool = False) -> float:
+    """The weight of a text under a name of the given sensitivity."""
+    return Value(value, None, quoted=quoted).weight(name)
 
 
 def _name_before(text: str, at: int) -> str:
@@ -113,38 +165,35 @@ def _name_before(text: str, at: int) -> str:
     return text[start:end].strip("-.")
 
 
-def _terms(text: str, at: int, held: dict[str, _Held]) -> tuple[str, list[tuple[int, int]], int]:
-    """Value and literal pieces of the expression at ``at``, and where it ends."""
-    value, spans = [], []
-    while True:
-        if m := _STRING.match(text, at):
-            raw = m.group(1)
-            cut = 3 if raw[:3] in ('"""', "'''") else 1
-            start, end = m.start(1) + cut, m.end(1) - cut
-            body = text[start:end]
-            value.append(_INSIDE.sub(lambda r: held[r[1]].value if r[1] in held else r[0], body))
-            if end > start:
-                spans.append((start, end))
-            for r in _INSIDE.finditer(body):
-                spans.extend(held[r[1]].spans if r[1] in held else ())
-        elif (m := _IDENT.match(text, at)) and m.group(1) in held and not _BARE.match(text, m.end()):
-            value.append(held[m.group(1)].value)
-            spans.extend(held[m.group(1)].spans)
-        elif m := _BARE.match(text, at):
-            value.append(m.group())
-            spans.append(m.span())
-        else:
-            break
-        at = m.end()
-        if not (plus := _PLUS.match(text, at)):
-            break
-        at = plus.end()
-    return "".join(value), spans, at
-
-
-def assignments(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]:
-    """Name, value and literal spans of every assignment, in order of the text."""
-    held: dict[str, _Held] = {}
+def _term(text: str, at: int, held: dict[str, Value]) -> tuple[Value, int] | None:
+    """The string, name or bare value at ``at``, and where it ends."""
+    if m := _STRING.match(text, at):
+        raw = m.group(1)
+        cut = 3 if raw[:3] in ('"""', "'''") else 1
+        start, end = m.start(1) + cut, m.end(1) - cut
+        body = text[start:end]
+        named = [r for r in _INSIDE.finditer(body) if r[1] in held] if "${" in body else []
+        own, last = [], 0
+        for r in named:
+            own.append(body[last : r.start()])
+            last = r.end()
+        own.append(body[last:])
+        literal = (start, end) if end > start else None
+        return Value("".join(own), literal, tuple(held[r[1]] for r in named), quoted=True), m.end()
+    if (m := _IDENT.match(text, at)) and m.group(1) in held and not _BARE.match(text, m.end()):
+        return held[m.group(1)], m.end()
+    if m := _BARE.match(text, at):
+        return Value(m.group(), m.span()), m.end()
+    return None
+
+
+def assignments(text: str) -> list[tuple[str, Value]]:
+    """Name and value of every assignment, in order of the text.
+
+    The operators within a run of bare characters, as in name=a:b, are assignments too, each with
+    what follows it in the run. Such a run is read once, from its end.
+    """
+    held: dict[str, Value] = {}
     found = []
     at = 0
     while m := _OPERATOR.search(text, at):
@@ -156,16 +205,56 @@ def assignments(text: str) -> list[tuple[str, str, tuple[tuple[int, int], ...]]]
         if not name or text[at : at + 2] == "//":
             continue
         begin = _SPACES.match(text, at).end()
-        value, spans, end = _terms(text, begin, held)
-        if spans:
-            spans = tuple(dict.fromkeys(spans))
-            found.append((name, value, spans))
-            held[name] = _Held(value[:FOLDED], spans)
-            # A bare value can hold further operators, as in name=a:b; quoted ones are passed over.
-            at = max(at, end if text[begin : begin + 1] in "\"'`" else at)
+        parts, end = [], begin
+        while term := _term(text, end, held):
+            value, end = term
+            parts.append(value)
+            if not (plus := _PLUS.match(text, end)):
+                break
+            end = plus.end()
+        if not any(p.literal or p.parts for p in parts):
+            continue
+        value = parts[0] if len(parts) == 1 else Value("", None, tuple(parts))
+        found.append((name, value))
+        held[name] = value
+        if text[begin : begin + 1] in "\"'`":
+            at = max(at, end)
+        elif parts[0].literal and parts[0].literal[0] == begin:
+            at = _inner(text, *parts[0].literal, held, found)
     return found
 
 
+def _inner(text: str, start: int, end: int, held: dict[str, Value], found: list[tuple[str, Value]]) -> int:
+    """The assignments within the bare run from ``start`` to ``end``; where the text is read on.
+
+    Their values are the ends of the run. Each is made of what stands before the next one's value
+    and of that one, so that the run's characters are counted once.
+    """
+    places = []
+    at = start
+    while (m := _OPERATOR.search(text, at, end)) and m.end() < end:
+        at = m.end()
+        if (m.group() == "=" and text[at : at + 1] == "=") or text[m.start() - 1 : m.start()] in tuple("=!<>:"):
+            at += text[at : at + 1] == "="
+            continue
+        name = _name_before(text, m.start())
+        if name and text[at : at + 2] != "//" and m.start() > start:
+            places.append((name, m.end()))
+    value, later = None, []
+    upto = end
+    for name, begin in reversed(places):
+        tail = Value(text[begin:upto], None, (value,) if value else ())
+        tail.literal, tail.parts = (begin, end), ()
+        value, upto = tail, begin
+        later.append((name, tail))
+    for name, tail in reversed(later):
+        found.append((name, tail))
+        held[name] = tail
+    # An operator that ends the run takes its value from behind it.
+    last = _OPERATOR.search(text, at, end)
+    return last.start() if last else at
+
+
 def base_spans(text: str) -> list[Span]:
     spans = []
     low = text.encode().lower()
@@ -181,11 +270,11 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Literals that reach a sensitive name and lie in no base span."""
     if "=" not in text and ":" not in text:
         return []
-    out = set()
-    for name, value, spans in assignments(text):
+    out: set[tuple[int, int]] = set()
+    for name, value in assignments(text):
         weight = name_weight(name)
-        if weight and weight * literal_weight(value) >= THRESHOLD:
-            out.update(spans)
+        if weight and weight * value.weight(weight) >= THRESHOLD:
+            value.mark(out)
     starts = [b.start for b in base]
     reach = list(accumulate((b.end for b in base), max))
     inside = lambda s, e: (i := bisect_right(starts, s)) > 0 and e <= reach[i - 1]

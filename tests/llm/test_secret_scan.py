@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import odd_documents as odd
 import pytest
@@ -68,5 +70,93 @@ def test_added_spans_join_the_base_ones_in_order():
 
 
 def test_doubling_values_stay_bounded():
-    text = "password = 'ab1$'\n" + "password = password + password\n" * 64
-    assert len(s.assignments(text)[-1][1]) <= 2 * s.FOLDED
+    text = "password = 'ab1$'\n" + "password = password + password\n" * 5000
+    value = s.assignments(text)[-1][1]
+    assert value.size <= 2 * s._MOST and value.weight(1.0) > 0.5
+    assert [text[x.start : x.end] for x in s.added_spans(text, [])] == ["ab1$"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'a = a + "x1$Y"\n' * 40_000 + "password = a\n",
+        "a:" * 100_000 + "Zq9$kLm2Pw8!",
+        "password:" * 60_000 + "Zq9$kLm2Pw8!",
+        'x = "' + "Zq9$ " * 400_000 + '"\npassword = x\n',
+        "k=`" * 200_000,
+        "k=\x27\x27\x27" * 200_001,
+        "a = b\n" * 60_000,
+        "=" * 1_000_000,
+    ],
+    ids=range(8),
+)
+def test_long_texts_take_linear_time(text):
+    start = time.time()
+    assert s.redact(text)
+    assert time.time() - start < 20
+
+
+def interpreted(text):
+    """Literals that reach a sensitive name, with whole values and all their literals copied at each step."""
+    held, out, at = {}, set(), 0
+    for line in text.splitlines(keepends=True):
+        name, right = line.split(" = ", 1)
+        value, spans, quoted, place = "", set(), False, at + len(name) + 3
+        for term in right.rstrip("\n").split(" + "):
+            if term.startswith('"'):
+                body = term[1:-1]
+                value += re.sub(r"\$\{(\w+)\}", lambda m: held[m[1]][0] if m[1] in held else m[0], body)
+                spans |= {(place + 1, place + 1 + len(body))} if body else set()
+                quoted = True
+                for r in re.findall(r"\$\{(\w+)\}", body):
+                    spans |= held[r][1] if r in held else set()
+            elif term in held:
+                value, spans, quoted = value + held[term][0], spans | held[term][1], quoted or held[term][2]
+            else:
+                value, spans = value + term, spans | {(place, place + len(term))}
+            place += len(term) + 3
+        at += len(line)
+        if not spans:
+            continue
+        held[name] = value, spans, quoted
+        weight = s.name_weight(name)
+        if weight and weight * s.literal_weight(value, weight, quoted) >= s.THRESHOLD:
+            out |= spans
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_added_spans_equal_a_plain_interpreter(seed):
+    rng = random.Random(seed)
+    names = ["a", "b1", "user_name", "password", "apiKey", "note", "salt", "c"]
+    literal = lambda: "".join(rng.choice("abZ9$% q") for _ in range(rng.randint(0, 14)))
+    for _ in range(150):
+        lines = []
+        for _ in range(rng.randint(1, 9)):
+            terms = []
+            for _ in range(rng.randint(1, 3)):
+                kind = rng.random()
+                inside = "${" + rng.choice(names) + "}" if rng.random() < 0.2 else ""
+                bare = "x" + literal().replace(" ", "").replace("$", "")
+                terms.append(f'"q{literal()}{inside}{literal()}"' if kind < 0.6 else rng.choice(names) if kind < 0.9 else bare)
+            lines.append(f"{rng.choice(names)} = {' + '.join(terms)}\n")
+        text = "".join(lines)
+        assert [(x.start, x.end) for x in s.added_spans(text, [])] == interpreted(text), text
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('password = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('password = "hunter2"', ["hunter2"]),
+        ('password = "your-password-here"', []),
+        ('password = "xxxxxxxxxxxx"', []),
+        ('password = "aXxx9$Lq2todoV"', ["aXxx9$Lq2todoV"]),
+        ('note = "correct horse battery staple"', []),
+        ('password = "the"', []),
+        ("db:password:Zq9$kLm2Pw8!", ["Zq9$kLm2Pw8!"]),
+        ('a=b: "x"\nx=y: Zq9$kLm2Pw8!\npasswd: "Zq9$kLm2Pw8!"', ["Zq9$kLm2Pw8!"]),
+    ],
+)
+def test_short_literals_blanks_and_placeholders(text, found):
+    assert [text[x.start : x.end] for x in s.added_spans(text, [])] == found
