@@ -1,15 +1,18 @@
 """Near duplicates by SimHash and a binary trie self-join.
 
 Fingerprints of 64 bits that differ in at most 3 bits agree on one of four blocks of 16. Every
-distinct fingerprint is put under each of its blocks, rotated so that the block leads; the rows of a
-block value, sorted, are a binary trie in which a node is a range. Tasks walk pairs of nodes from
-the root, add a bit to the pair's difference when it takes different branches, and prune pairs over
-the budget; small pairs of nodes are compared outright. A trie with more than ``LEAF`` fingerprints
-is cut into subtrees of at most that size; pairs of subtrees within the budget become tasks.
+distinct fingerprint is put under each of its blocks, rotated so that the block leads. Rows are dealt
+by so many leading bits that a task's rows, about half of ``LEAF``, sorted, are a binary trie in which
+a node is a range. Tasks walk pairs of nodes from the root: within the leading block only nodes with
+themselves, as pairs that differ there share another block; behind it a pair that takes different
+branches adds a bit to its difference and is pruned over the budget. The last few rows of a pair of
+nodes are compared outright. Where more than ``LEAF`` fingerprints share leading bits, each block
+value is cut into subtrees of at most that size; pairs of subtrees within the budget become tasks.
 
 A task returns the links of its rows as a spanning forest, never all pairs: components need no more.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ SHINGLE = 3
 SEED = 42
 LEAF = 2048
 # Node pairs with at most this many combinations are compared without going deeper.
-DIRECT = 64
+DIRECT = 4
 # Node pairs and combinations that a task holds at once.
 FRONTIER = 1 << 19
 _HASHES = 1 << 15
@@ -75,10 +78,19 @@ def _ranges(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
-def trie_links(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> np.ndarray:
+def trie_links(
+    values: np.ndarray,
+    lo: np.ndarray,
+    hi: np.ndarray,
+    lo2: np.ndarray,
+    hi2: np.ndarray,
+    agreed: int = BLOCK_BITS,
+    seen: Counter | None = None,
+) -> np.ndarray:
     """Smallest linked row of each row, for pairs of tries given as sorted ranges of ``values``.
 
-    A pair is either a range with itself or two ranges without common rows.
+    A pair is either a range with itself or two ranges without common rows. Pairs that differ in the
+    first ``agreed`` bits are passed over. ``seen`` counts the node pairs that are split and pruned.
     """
     forest = Forest(len(values))
     stack = [(lo, hi, lo2, hi2, np.zeros(len(lo), np.int64), 0)]
@@ -103,9 +115,11 @@ def trie_links(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, lo2: np.ndarr
         steps = [(a, m, c, k, 0, None), (m, b, k, d, 0, None), (a, m, k, d, 1, None), (m, b, c, k, 1, ~same)]
         parts = []
         for p, q, r, s, more, only in steps:
-            keep = (q > p) & (s > r) & (diff + more <= BUDGET)
-            keep &= ~((p == r) & (q == s) & (q - p < 2))
-            keep = keep if only is None else keep & only
+            there = (q > p) & (s > r) & ~((p == r) & (q == s) & (q - p < 2))
+            there = there if only is None else there & only
+            keep = there & (diff + more <= (BUDGET if depth >= agreed else 0))
+            if seen is not None:
+                seen.update(split=int(there.sum()), pruned=int((there & ~keep).sum()))
             parts.append((p[keep], q[keep], r[keep], s[keep], diff[keep] + more))
         stack.append((*(np.concatenate(x) for x in zip(*parts, strict=True)), depth + 1))
     return forest.root
@@ -163,13 +177,15 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(rows: DataFrame) -> DataFrame:
     """Spanning links of rows with ``task``, ``side``, ``block`` and ``rot``."""
     dealt = rows.select("task", "side", "block", "rot").repartition("task")
-    return dealt.sortWithinPartitions("task", "side", "rot").mapInArrow(_walk, "a long, b long")
+    # As unsigned numbers, so that a trie's ranges are in the order of their bits.
+    unsigned = F.col("rot").bitwiseXOR(F.lit(-(1 << 63)))
+    return dealt.sortWithinPartitions("task", "side", unsigned).mapInArrow(_walk, "a long, b long")
 
 
 def _subtree_tasks(hot: DataFrame, leaf: int) -> DataFrame:
     """Pairs of subtrees of at most ``leaf`` rows for the tries that are larger."""
     trie = ["block", "value"]
-    level = F.explode(F.sequence(F.lit(BLOCK_BITS + 4), F.lit(BITS), F.lit(4)))
+    level = F.explode(F.sequence(F.lit(BLOCK_BITS), F.lit(BITS), F.lit(4)))
     nodes = hot.select(*trie, "rot", level.alias("level")).withColumn(
         "prefix", F.expr(f"shiftrightunsigned(rot, {BITS} - level)")
     )
@@ -217,12 +233,15 @@ def linked(prints: DataFrame, leaf: int = LEAF) -> DataFrame:
         )
         for i in range(BLOCKS)
     ]
+    # Leading bits by which rows are dealt: as many as make tries of about half a leaf.
+    tries = 2 * prints.count() // leaf
+    bits = min(tries.bit_length(), BLOCK_BITS)
     value = F.shiftrightunsigned("rot", BITS - BLOCK_BITS)
     rows = (
         prints.select(F.explode(F.array(*rotated)).alias("r"))
         .select("r.block", "r.rot")
         .withColumn("value", value)
-        .withColumn("task", F.col("block") * F.lit(1 << BLOCK_BITS) + F.col("value"))
+        .withColumn("task", F.col("block") * F.lit(1 << BLOCK_BITS) + F.shiftrightunsigned("value", BLOCK_BITS - bits))
     )
     large = rows.groupBy("task").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf).select("task")
     # At most rows / leaf keys; a join by shuffle where that is not small.

@@ -30,8 +30,6 @@ from pairloom.llm.words import bounded_labels
 from pairloom.storage import materialise
 
 MAX_ROWS = 5_000
-MAX_TERMS = 4_000
-MAX_EXCEPTIONS = 4_000
 LEAST_G2 = 30.0
 LEAST_WEIGHT = 1.5
 PREFIXES = range(4, 17)
@@ -186,16 +184,18 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1) * (n_clean + 1) / (F.col("clean") + 0.5))
     scored = count(_beginnings).select("term", odds.alias("w"), _g2(F.col("toxic"), F.col("clean"), n_toxic, n_clean).alias("g"))
     scored = scored.where((F.col("g") >= LEAST_G2) & (F.col("w") >= LEAST_WEIGHT))
-    kept: dict[str, float] = {}
-    for row in scored.orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(MAX_TERMS).collect():
-        term = row["term"]
-        if not any(term.startswith(k) or k.startswith(term) for k in kept):
-            kept[term] = row["w"]
+    # Terms have to stand out in a bounded sample, which bounds their number. Of a chain of
+    # beginnings the one that tells most stays.
+    kept, covered = {}, set()
+    for row in scored.orderBy(F.desc("g"), F.desc(F.length("term")), "term").collect():
+        starts = [row["term"][:i] for i in range(1, len(row["term"]) + 1)]
+        if row["term"] not in covered and not any(start in kept for start in starts):
+            kept[row["term"]] = row["w"]
+            covered.update(starts)
     terms = tuple(sorted(kept.items()))
     clean_share = F.col("clean") / n_clean / (F.col("clean") / n_clean + F.col("toxic") / n_toxic)
     phrases = count(_contexts(terms)).where((F.col("clean") >= 5) & (clean_share >= 0.75))
-    rows = phrases.orderBy(F.desc("clean"), "term").limit(MAX_EXCEPTIONS).collect()
-    exceptions = tuple(sorted(r["term"] for r in rows))
+    exceptions = tuple(sorted(r["term"] for r in phrases.select("term").collect()))
 
     seen = sample.select(_measured(terms, exceptions)(F.col("text")).alias("m"), "label").collect()
     x = np.array([[1.0, r["m"]["weight"], r["m"]["dense"]] for r in seen])

@@ -1,3 +1,6 @@
+import os
+from collections import Counter
+
 import numpy as np
 import odd_documents as odd
 import pytest
@@ -86,3 +89,28 @@ def test_columns_with_names_of_the_operators_own(spark):
     kept = simhash.distinct_documents(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_tries_of_documents_are_split_and_pruned(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables are not here")
+    docs = spark.read.parquet(path).repartition(4)
+    v = np.array(sorted({r.fp & (2**64 - 1) for r in docs.select(simhash.fingerprints("text").alias("fp")).collect()}), np.uint64)
+    near = np.bitwise_count(v[:, None] ^ v[None, :]) <= simhash.BUDGET
+    ones = np.array([0]), np.array([len(v)])
+    for agreed in (0, simhash.BLOCK_BITS):
+        seen = Counter()
+        root = simhash.trie_links(v, *ones, *ones, agreed, seen)
+        assert seen["split"] > len(v) and seen["pruned"] > 100
+        if not agreed:
+            assert root.tolist() == odd.components(len(v), lambda i, j: near[i, j])
+    # Dealt by a few bits and rotated four times, all links come out too.
+    found = simhash.linked(spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long"), 64).collect()
+    place = {int(x): i for i, x in enumerate(v.view(np.int64))}
+    joined = {(place[a], place[b]) for a, b in found}
+    assert odd.components(len(v), lambda i, j: (i, j) in joined or (j, i) in joined) == root_of(v, near)
+
+
+def root_of(v, near):
+    return odd.components(len(v), lambda i, j: near[i, j])
