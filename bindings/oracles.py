@@ -507,6 +507,7 @@ SQL: dict[str, str] = {
          CASE WHEN value < 40 THEN 1 ELSE 0 END AS rating FROM events""",
     "feedback_daily_counts": with_(FEEDBACK)
     + "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, task, count(*) AS n_rows FROM feedback GROUP BY ALL",
+    "encode_lossless": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "feedback_incremental": with_(FEEDBACK)
     + """SELECT file, timestamp, task, prompt, response, rating, CAST(NULL AS VARCHAR) AS reason FROM feedback
        UNION ALL SELECT file, timestamp, task, prompt, response, NULL, 'rating' FROM feedback_raw

@@ -6,6 +6,7 @@ Arrays are returned as joined text so that any client can compare them.
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from bindings.tables import Tables, spread
 from pairloom import schemas as s
 from pairloom.functions import cleaning
 from pairloom.functions.text import space_pieces
-from pairloom.operators import curate, examples, feedback, gate, results, scoring, split
+from pairloom.operators import curate, encoding, examples, feedback, gate, results, scoring, split
 from pairloom.operators.joins import lookup_join
 from pairloom.plans import feedback as feedback_plan
 from pairloom.plans.evaluation import score_generations
@@ -256,6 +257,14 @@ def encode_tokens(t: Tables) -> DataFrame:
     )
 
 
+def encode_lossless(t: Tables) -> DataFrame:
+    """Every document through a stored byte-level tokeniser and back."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = encoding.encode_with(t.documents("doc_id", "text"), path, {"text": "ids"}).drop("text")
+    back = encoding.decode_with(ids, path, {"ids": "text"})
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def _examples(t: Tables) -> DataFrame:
     texts = examples.format_prompt(spread(t.pairs())).drop("split")
     vocab = materialise(examples.build_vocab(texts, ("model_input", "answer"), VOCAB))
@@ -578,7 +587,7 @@ ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         union_splits, project_pairs, pairs_csv_roundtrip, examples_parquet_roundtrip, load_eval_set,
         explode_test_cases, load_feedback_csv, feedback_json_sink, results_json_sink, length_filter,
         first_n, sample_per_task, truncate_tokens, truncate_response, format_prompt, build_vocab,
-        encode_tokens, assemble_examples, max_length, pad_right, exact_split, split_counts,
+        encode_tokens, encode_lossless, assemble_examples, max_length, pad_right, exact_split, split_counts,
         chat_prompts, judge_prompts, extract_function, clean_docstring, tokenize_text, ngram_counts,
         bleu, parse_judge_score, test_pass_rate, function_name, fill_skipped, assemble_results,
         regression_gate, params_diff, metrics_diff, compute_metrics, metrics_table,

@@ -1,7 +1,10 @@
+import public_tokenizers
 import pytest
 from conftest import plan, rows
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from pairloom.operators import encoding
 from pairloom.operators import examples as ex
 
 TEXTS = [
@@ -106,3 +109,17 @@ def test_truncation(pairs, vocab):
     cut = ex.truncate_tokens(ex.assemble_examples(encoded(pairs, vocab)), 2).collect()
     assert {len(r.input_ids) for r in cut} == {2}
     assert max(len(r.labels) for r in cut) == 11
+
+
+def test_ids_of_a_stored_tokeniser_give_the_text_back(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", None, "a", "  two  words \n\n\t x", "<|endoftext|> end", "\u00c4\u0308 \u6f22\U0001f600\u200d\x00\x85", "don't " * 500, "x" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string").repartition(3)
+    coded = encoding.encode_with(df, path, {"c": "ids"})
+    whole = Tokenizer.from_file(path)
+    for r in coded.collect():
+        assert r.ids == whole.encode(r.c or "", add_special_tokens=False).ids
+    back = encoding.decode_with(coded, path, {"ids": "text"})
+    assert all(r.text == (r.c or "") for r in back.collect())
+    none = encoding.decode_with(spark.createDataFrame([(None,)], "ids array<int>"), path, {"ids": "text"})
+    assert none.first().text is None and encoding.encode_with(df.limit(0), path, {"c": "ids"}).count() == 0
