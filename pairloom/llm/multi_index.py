@@ -6,9 +6,13 @@ first: by rising sum of its two distances. How many it visits is set on the samp
 neighbour at the threshold is found, from either side, with probability ``recall``. A pair that
 shares a visited cell is verified by its cosine in double precision; none below the threshold links.
 
+Codes are numbered so that neighbours follow each other, and ``SIDE`` by ``SIDE`` cells make a tile. A
+task has the stored vectors of a tile; a vector is sent once to each other tile with cells that it
+visits, with a bit for each of them, and meets the cells of its own tile where it is stored.
+
 Codebooks are fitted on a bounded sample (about ``SAMPLE`` vectors of a length at most, a documented
 bound); every vector is indexed. Their size follows the number of vectors, so a cell holds about ``CELL`` on
-average and the work grows in proportion. Equal vectors are one class and are never paired. Cells
+average and the work grows in proportion. Equal vectors are one class and are never paired. Tiles
 over ``BLOCK`` vectors are dealt to blocks, and queries meet the blocks one by one; tasks return sums
 of links and a spanning forest, never all pairs.
 
@@ -20,6 +24,7 @@ nothing. Rows with equal ids count as vectors.
 """
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +40,15 @@ RECALL = 0.99
 SAMPLE = 32_768
 CELL = 128
 MOST_CODES = 1_024
-BLOCK = 1_024
+# Cells of a tile have a bit each in a long.
+SIDE = 8
+BLOCK = 16_384
 FEW = 1_024
 _TRIALS = 2_000
 # Distances that a step holds at once.
 _HELD = 1 << 22
+# Queries that a step meets with a tile.
+_STEP = 4_096
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -64,6 +73,17 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return codes
 
 
+def neighbours_first(codes: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """The codes in an order in which runs of ``side`` are near each other: halved along their widest direction."""
+    if len(codes) <= side or not codes.shape[1]:
+        return codes
+    centred = codes - codes.mean(axis=0)
+    direction = np.linalg.svd(centred, full_matrices=False)[2][0]
+    order = np.argsort(centred @ direction, kind="stable")
+    cut = max(len(codes) // (2 * side), 1) * side
+    return np.concatenate([neighbours_first(codes[order[:cut]], side), neighbours_first(codes[order[cut:]], side)])
+
+
 def _parts(x: np.ndarray, width: int) -> Iterator[np.ndarray]:
     step = max(_HELD // max(width, 1), 1)
     for i in range(0, len(x), step):
@@ -116,69 +136,128 @@ def cells_to_visit(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshol
     return int(min(np.quantile(before, recall, method="higher") + 1, len(books[0]) ** 2))
 
 
-def _verified(kind: str, threshold: float):
-    """Tasks over rows sorted by cell, block and kind: stored vectors first, then queries."""
+def tiles_of(cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tile of every cell of a grid of ``k`` by ``k``, and the cell's place in its tile."""
+    a, b = cells // k, cells % k
+    return a // SIDE * -(-k // SIDE) + b // SIDE, a % SIDE * SIDE + b % SIDE
+
+
+def masks(cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, tiles and bits of the cells that each row of ``cells`` names: one entry for a row and tile."""
+    tile, spot = tiles_of(cells, k)
+    row = np.repeat(np.arange(len(cells)), cells.shape[1])
+    order = np.lexsort((tile.ravel(), row))
+    row, tile = row[order], tile.ravel()[order]
+    begin = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(tile) != 0)]) if len(row) else np.zeros(0, np.int64)
+    bits = np.left_shift(np.uint64(1), spot.ravel()[order].astype(np.uint64))
+    return row[begin], tile[begin], np.bitwise_or.reduceat(bits, begin).view(np.int64) if len(row) else bits.view(np.int64)
+
+
+class _Rows(NamedTuple):
+    """Vectors of one tile and block: stored ones, or queries from elsewhere."""
+
+    ids: np.ndarray
+    n: np.ndarray
+    unit: np.ndarray
+    home: np.ndarray
+    spot: np.ndarray
+    mask: np.ndarray
+    visits: np.ndarray | None
 
-    def unpack(column: pa.Array) -> np.ndarray:
-        raw = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
-        return unit(raw)
+    def at(self, place: np.ndarray) -> "_Rows":
+        return _Rows(*(None if x is None else x[place] for x in self))
 
-    def result(ids, counts, forest_ids, root) -> pa.RecordBatch:
-        linked = counts > 0
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        a = np.concatenate([ids[linked], forest_ids[moved]])
-        b = pa.array(np.concatenate([ids[linked], forest_ids[root[moved]]]))
+
+def _verified(kind: str, threshold: float):
+    """Tasks over rows sorted by tile, block and kind: stored vectors first, then queries."""
+
+    def unpack(rows: pa.RecordBatch, stored: bool) -> _Rows:
+        ids, n, home, spot = (rows.column(k).to_numpy() for k in (3, 4, 6, 7))
+        raw = np.frombuffer(b"".join(rows.column(5).to_pylist()), kind).reshape(len(rows), -1)
+        visits = np.frombuffer(b"".join(rows.column(9).to_pylist()), "<i4").reshape(len(rows), -1) if stored else None
+        return _Rows(ids, n, unit(raw), home, spot, rows.column(8).to_numpy().view(np.uint64), visits)
+
+    def sums(ids: np.ndarray, counts: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        linked, moved = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(root)))
+        a = np.concatenate([ids[linked], ids[moved]])
+        b = np.concatenate([ids[linked], ids[root[moved]]])
         links = np.concatenate([counts[linked], np.zeros(len(moved), np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(links)], ["a", "b", "links"])
-
-    def within(v: np.ndarray, ids: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        i, j = np.nonzero(np.triu(v @ v.T >= threshold, 1))
-        counts = np.zeros(len(ids), np.int64)
-        np.add.at(counts, i, n[j])
-        np.add.at(counts, j, n[i])
-        forest = Forest(len(ids))
-        forest.link(i, j)
-        return result(ids, counts, ids, forest.root)
-
-    def across(stored: tuple, rows: pa.RecordBatch) -> pa.RecordBatch:
-        v, ids, n, visits, cell = stored
-        q, q_ids, q_n, home = unpack(rows.column(5)), *(rows.column(k).to_numpy() for k in (3, 4, 6))
-        i, j = np.nonzero(q @ v.T >= threshold)
-        # A pair whose other end visits back is counted in the smaller of the two cells.
-        back = (visits[j] == home[i][:, None]).any(axis=1) & (home[i] < cell)
-        i, j = i[~back], j[~back]
-        every = np.concatenate([ids, q_ids])
-        counts = np.zeros(len(every), np.int64)
-        np.add.at(counts, j, q_n[i])
-        np.add.at(counts, i + len(ids), n[j])
-        forest = Forest(len(every))
-        forest.link(i + len(ids), j)
-        return result(every, counts, every, forest.root)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(links)], ["a", "b", "links"])
+
+    def pairs(one: _Rows, other: _Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(_HELD // max(len(other.ids), 1), 1)
+        for lo in range(0, len(one.ids), step):
+            i, j = np.nonzero(one.unit[lo : lo + step] @ other.unit.T >= threshold)
+            yield i + lo, j
+
+    def across(query: _Rows, stored: _Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in pairs(query, stored):
+            home = query.home[i]
+            # A pair whose other end visits back is counted in the smaller of the two cells.
+            back = (home < stored.home[j]) & (stored.visits[j] == home[:, None]).any(axis=1)
+            yield i[~back], j[~back]
+
+    def visiting(rows: _Rows, spot: int, home_too: bool) -> np.ndarray:
+        named = (rows.mask >> np.uint64(spot)) & np.uint64(1) == 1
+        return np.flatnonzero(named if home_too else named & (rows.spot != spot))
+
+    def within(tile: _Rows, cells: dict[int, np.ndarray]) -> pa.RecordBatch:
+        """Links among the stored vectors of a tile."""
+        counts, forest = np.zeros(len(tile.ids), np.int64), Forest(len(tile.ids))
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
+            np.add.at(counts, i, tile.n[j])
+            np.add.at(counts, j, tile.n[i])
+            forest.link(i, j)
+
+        for spot, members in cells.items():
+            own = tile.at(members)
+            for i, j in pairs(own, own):
+                add(members[i[i < j]], members[j[i < j]])
+            guests = visiting(tile, spot, False)
+            for i, j in across(tile.at(guests), own):
+                add(guests[i], members[j])
+        return sums(tile.ids, counts, forest.root)
+
+    def met(query: _Rows, tile: _Rows, cells: dict[int, np.ndarray]) -> pa.RecordBatch:
+        """Links of queries from elsewhere with the stored vectors of a tile."""
+        ids = np.concatenate([tile.ids, query.ids])
+        counts, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
+        for spot, members in cells.items():
+            guests = visiting(query, spot, True)
+            for i, j in across(query.at(guests), tile.at(members)):
+                i, j = guests[i], members[j]
+                np.add.at(counts, j, query.n[i])
+                np.add.at(counts, i + len(tile.ids), tile.n[j])
+                forest.link(i + len(tile.ids), j)
+        return sums(ids, counts, forest.root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts, stored = None, [], None
+        key, parts, tile, cells = None, [], None, {}
+
+        def whole() -> tuple[_Rows, dict[int, np.ndarray]]:
+            rows = _Rows(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            return rows, {s: np.flatnonzero(rows.spot == s) for s in np.unique(rows.spot).tolist()}
+
         for batch in batches:
-            cell, block, query = (batch.column(k).to_numpy() for k in range(3))
-            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(query) != 0)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(cell)], strict=True):
+            place, block, query = (batch.column(k).to_numpy() for k in range(3))
+            cuts = np.flatnonzero((np.diff(place) != 0) | (np.diff(block) != 0) | (np.diff(query) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(place)], strict=True):
+                if (place[lo], block[lo]) != key:
+                    if parts and tile is None:
+                        yield within(*whole())
+                    key, parts, tile = (place[lo], block[lo]), [], None
                 rows = batch.slice(lo, hi - lo)
-                if (cell[lo], block[lo]) != key:
-                    if parts and stored is None:
-                        yield within(*_joined(parts)[:3])
-                    key, parts, stored = (cell[lo], block[lo]), [], None
                 if not query[lo]:
-                    parts.append((unpack(rows.column(5)), rows.column(3).to_numpy(), rows.column(4).to_numpy(), np.array(rows.column(7).to_pylist())))
+                    parts.append(unpack(rows, True))
                 elif parts:
-                    if stored is None:
-                        stored = (*_joined(parts), cell[lo])
-                        yield within(*stored[:3])
-                    for at in range(0, len(rows), BLOCK):
-                        yield across(stored, rows.slice(at, BLOCK))
-        if parts and stored is None:
-            yield within(*_joined(parts)[:3])
-
-    def _joined(parts: list[tuple]) -> tuple:
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+                    if tile is None:
+                        tile, cells = whole()
+                        yield within(tile, cells)
+                    for at in range(0, len(rows), _STEP):
+                        yield met(unpack(rows.slice(at, _STEP), False), tile, cells)
+        if parts and tile is None:
+            yield within(*whole())
 
     return run
 
@@ -239,7 +318,8 @@ def _plans(classes: DataFrame, kind: str, threshold: float, recall: float) -> di
         picked = sorted((r["first"], bytes(r["vec"])) for r in drawn.select("first", "vec").collect())
         x = unit(np.frombuffer(b"".join(v for _, v in picked), kind).reshape(len(picked), dims))
         k = int(min(np.clip(np.ceil(np.sqrt(n / CELL)), 1, MOST_CODES), len(picked)))
-        books = codebook(x[:, : dims // 2], k), codebook(x[:, dims // 2 :], k)
+        halves = x[:, : dims // 2], x[:, dims // 2 :]
+        books = tuple(neighbours_first(codebook(half, k)) for half in halves)
         plans[dims] = (books, cells_to_visit(x, books, threshold, recall))
     return plans
 
@@ -254,38 +334,43 @@ def _search(classes: DataFrame, kind: str, plans: dict[int, tuple], threshold: f
             lengths = np.array([len(v) // size for v in vectors])
             for dims in np.unique(lengths):
                 at = np.flatnonzero(lengths == dims)
-                cell = np.zeros((len(at), 1), np.int64)
+                cell, k = np.zeros((len(at), 1), np.int64), 1
                 if dims in plans:
                     x = unit(np.frombuffer(b"".join(vectors[i] for i in at), kind).reshape(len(at), dims))
-                    cell = visited(x, *plans[dims]).astype(np.int64)
-                # The length is part of the cell, so no two lengths meet.
-                cell = cell + dims * MOST_CODES**2
-                visits = pa.array(list(cell), pa.list_(pa.int64()))
-                columns = batch.take(pa.array(at)).columns
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(cell[:, 0]), visits], ["id", "n", "vec", "home", "visits"])
-
-    placed = classes.select("first", "n", "vec").mapInArrow(assign, "id long, n long, vec binary, home long, visits array<long>")
+                    cell, k = visited(x, *plans[dims]).astype(np.int64), len(plans[dims][0][0])
+                home, spot = tiles_of(cell[:, 0], k)
+                row, tile, mask = masks(cell, k)
+                own = tile == home[row]
+                # The length is part of the tile, so no two lengths meet.
+                tile = tile + dims * MOST_CODES**2
+                count = np.bincount(row[~own], minlength=len(at))
+                other = pa.StructArray.from_arrays([pa.array(tile[~own]), pa.array(mask[~own])], ["tile", "mask"])
+                others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), other)
+                visits = pa.array([v.tobytes() for v in cell.astype("<i4")], pa.binary())
+                found = [pa.array(tile[own]), pa.array(cell[:, 0].astype(np.int32)), pa.array(spot.astype(np.int8)), pa.array(mask[own])]
+                columns = [*batch.take(pa.array(at)).columns, *found, visits, others]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "tile", "home", "spot", "mask", "visits", "others"])
+
+    placed = classes.select(F.col("first").alias("id"), "n", "vec").mapInArrow(
+        assign,
+        "id long, n long, vec binary, tile long, home int, spot byte, mask long, visits binary, others array<struct<tile: long, mask: long>>",
+    )
     placed = materialise(placed)
-    large = placed.groupBy("home").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
-    blocks = small(materialise(large.select(F.col("home").alias("cell"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))))
+    large = placed.groupBy("tile").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK)
+    blocks = small(materialise(large.select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))))
     count = F.coalesce("blocks", F.lit(1))
-    stored = (
-        placed.withColumn("cell", F.col("home"))
-        .join(blocks, "cell", "left")
-        .withColumn("block", F.pmod(F.xxhash64("id"), count).cast("int"))
-        .drop("blocks")
-    )
-    upto = lambda last: F.explode(F.sequence(F.lit(0), last))
-    own = stored.where("block > 0").withColumn("block", upto(F.col("block") - 1))
-    others = (
-        placed.withColumn("cell", F.explode("visits"))
-        .where("cell <> home")
-        .join(blocks, "cell", "left")
-        .withColumn("block", upto(count - 1))
-    )
-    columns = ["cell", "block", "query", "id", "n", "vec", "home", "visits"]
-    none = F.lit(None).cast("array<long>")
-    queries = [q.withColumn("query", F.lit(1)).withColumn("visits", none).select(columns) for q in (own, others)]
+    every = F.explode(F.sequence(F.lit(0), count - 1))
+    stored = placed.join(blocks, "tile", "left").withColumn("block", F.pmod(F.xxhash64("id"), count).cast("int"))
+    # To the other blocks of its tile a vector goes for the cells it visits, for its own cell to those before.
+    own = stored.where("blocks > 1").withColumn("to", every).where("to <> block")
+    besides = F.col("mask").bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, spot)")))
+    own = own.withColumn("mask", F.when(F.col("to") < F.col("block"), F.col("mask")).otherwise(besides)).where("mask <> 0")
+    own = own.withColumn("block", F.col("to"))
+    sent = placed.select("id", "n", "vec", "home", "spot", F.inline("others"))
+    sent = sent.join(blocks, "tile", "left").withColumn("block", every)
+    columns = ["tile", "block", "query", "id", "n", "vec", "home", "spot", "mask", "visits"]
+    none = F.lit(None).cast("binary")
+    queries = [q.withColumn("query", F.lit(1)).withColumn("visits", none).select(columns) for q in (own, sent)]
     dealt = stored.withColumn("query", F.lit(0)).select(columns).unionByName(queries[0]).unionByName(queries[1])
-    dealt = dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "query")
+    dealt = dealt.repartition("tile", "block").sortWithinPartitions("tile", "block", "query")
     return dealt.mapInArrow(_verified(kind, threshold), "a long, b long, links long")

@@ -62,7 +62,7 @@ def test_every_length_is_linked(spark, few, monkeypatch):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
-@pytest.mark.parametrize("cell, block", [(8, 1024), (8, 3), (1000, 16)])
+@pytest.mark.parametrize("cell, block", [(8, 1024), (8, 3), (2, 5), (1, 40), (1000, 16)])
 def test_whole_recall_equals_brute_force(spark, cell, block, monkeypatch):
     monkeypatch.setattr(multi_index, "CELL", cell)
     monkeypatch.setattr(multi_index, "BLOCK", block)
@@ -72,6 +72,22 @@ def test_whole_recall_equals_brute_force(spark, cell, block, monkeypatch):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
+def test_tiles_and_bits_name_the_visited_cells():
+    rng = np.random.default_rng(2)
+    for k in (1, 7, 8, 9, 20):
+        cells = np.array([rng.permutation(k * k)[: min(k * k, 12)] for _ in range(30)])
+        row, tile, mask = multi_index.masks(cells, k)
+        assert len(set(zip(row.tolist(), tile.tolist(), strict=True))) == len(row)
+        named = [set() for _ in cells]
+        place = dict(zip(zip(*(x.tolist() for x in multi_index.tiles_of(np.arange(k * k), k)), strict=True), range(k * k), strict=True))
+        for r, t, m in zip(row, tile.tolist(), mask.view(np.uint64).tolist(), strict=True):
+            named[r] |= {place[t, s] for s in range(64) if m >> s & 1}
+        assert named == [set(c.tolist()) for c in cells]
+        codes = rng.normal(size=(k, 5))
+        ordered = multi_index.neighbours_first(codes)
+        assert sorted(map(tuple, ordered)) == sorted(map(tuple, codes))
+
+
 def test_recall_of_links(spark, monkeypatch):
     monkeypatch.setattr(multi_index, "CELL", 8)
     monkeypatch.setattr(multi_index, "FEW", 0)
