@@ -142,18 +142,21 @@ class Lattice:
                 found.append((i, size, at[part] - i * n, piece[part]))
         return sorted(found, key=lambda x: x[0])
 
-    def forward(self, arcs: list, n: int, m: int) -> np.ndarray:
+    def forward(self, arcs: list, n: int, m: int, log_p: np.ndarray | None = None) -> np.ndarray:
+        log_p = self.pieces.log_p if log_p is None else log_p
         # Pieces that begin at a place come after all that end there.
         alpha = np.full((m + 1, n), -np.inf)
         alpha[0] = 0.0
         for start, size, word, piece in arcs:
             end = alpha[start + size]
-            end[word] = np.logaddexp(end[word], alpha[start, word] + self.pieces.log_p[piece])
+            end[word] = np.logaddexp(end[word], alpha[start, word] + log_p[piece])
         return alpha
 
-    def log_probability(self, words: np.ndarray) -> np.ndarray:
+    def log_probability(self, words: np.ndarray, *scores: np.ndarray) -> list[np.ndarray]:
+        """Marginals of the words under each of the scores; the pieces in the words are sought once."""
         m, n = words.shape
-        return self.forward(self.arcs(words), n, m)[m]
+        arcs = self.arcs(words)
+        return [self.forward(arcs, n, m, log_p)[m] for log_p in scores or (self.pieces.log_p,)]
 
     def expected(self, words: np.ndarray, into: np.ndarray) -> None:
         """Adds each piece's expected number of uses over all segmentations."""
@@ -283,20 +286,22 @@ def log10_uses(lp, n, prior: float):
     return (log_x + log_gamma(x + n) - log_gamma(x + 1.0)) / _LN10
 
 
-def _values(counts: DataFrame, pieces: Pieces, shares: Shares) -> DataFrame:
-    """``word``, ``n``, ``c`` and ``lp``, the log10 probability of the word."""
+def _values(counts: DataFrame, given: Pieces, fitted: Pieces, shares: Shares) -> DataFrame:
+    """``word``, ``n``, ``c``, ``lp``, the log10 probability of the word, and ``spelt``, that of its
+    segmentations by the given scores alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces)
+        lattice = Lattice(given)
         for batch in batches:
             words = batch.column(0).to_pylist()
-            lp = np.zeros(len(words))
+            spelt, lp = np.zeros(len(words)), np.zeros(len(words))
             for part, data in by_length(words):
-                lp[part] = lattice.log_probability(data)
-            value = shares.log_word(batch.column(2).to_numpy(), lp) / np.log(10.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], ["word", "n", "c", "lp"])
+                spelt[part], lp[part] = lattice.log_probability(data, given.log_p, fitted.log_p)
+            lp = shares.log_word(batch.column(2).to_numpy(), lp) / _LN10
+            spelt = (np.log(1.0 - shares.p_end) + spelt) / _LN10
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp), pa.array(spelt)], ["word", "n", "c", "lp", "spelt"])
 
-    return counts.mapInArrow(run, "word binary, n long, c long, lp double")
+    return counts.mapInArrow(run, "word binary, n long, c long, lp double, spelt double")
 
 
 def _most_frequent(table: DataFrame, most: int) -> DataFrame:
@@ -312,7 +317,11 @@ def _most_frequent(table: DataFrame, most: int) -> DataFrame:
 
 
 def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int = ROUNDS, frequent: int = FREQUENT, prior: float = PRIOR) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` per document."""
+    """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``, ``lattice_score`` per document.
+
+    ``lattice_score`` is the log10 marginal over all segmentations of all words by the vocabulary's own
+    scores; of the corpus it knows only how often a text ends.
+    """
     counts = materialise(word_counts(docs, training))
     # The end is a token of every training document.
     ends = docs.where(training).count()
@@ -323,23 +332,26 @@ def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int
     # Absolute discounting by the numbers of words seen once and twice.
     discount = min(max((sums["n1"] + 0.5) / (sums["n1"] + 2 * sums["n2"] + 1.0), 0.1), 0.9)
     shares = Shares(sums["c"] or 0, sums["v"], ends, discount)
-    table = materialise(_values(counts, fit(counts, vocabulary(path), rounds), shares))
+    given = vocabulary(path)
+    table = materialise(_values(counts, given, fit(counts, given, rounds), shares))
     scale = float(np.log10(total + distinct + 1))
-    top = _most_frequent(table, frequent).select("word", "c", "lp").toArrow()
+    top = _most_frequent(table, frequent).select("word", "c", "lp", "spelt").toArrow()
     sent = docs.sparkSession.sparkContext.broadcast(
-        (top.column("word").to_pylist(), top.column("c").to_numpy(), top.column("lp").to_numpy())
+        (top.column("word").to_pylist(), *(top.column(name).to_numpy() for name in ("c", "lp", "spelt")))
     )
     log_end = float(np.log10(prior * shares.p_end))
     base_end = float(np.log10(ends + 1)) - scale
+    spelt_end = float(np.log10(shares.p_end))
     known_end = int(ends > 0)
-    names = ["doc_id", "h", "word", "n", "tokens", "known", "base", "lp_sum"]
+    names = ["doc_id", "h", "word", "n", "tokens", "known", "base", "lp_sum", "spelt_sum"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, c, lp = sent.value
+        words, c, lp, spelt = sent.value
         place = dict(zip(words, range(len(words)), strict=True))
         # The last place stands for words that are not here.
         known = np.append(c > 0, False).astype(np.int64)
         base = np.append(np.log10(c + 1) - scale, 0.0)
+        spelt = np.append(spelt, 0.0)
         absent = len(words)
         for batch in batches:
             columns: list[list] = [[] for _ in names]
@@ -353,8 +365,8 @@ def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int
                 own_words += float(np.subtract(*log_gamma(size))) / _LN10 + log_end
                 h = xxhash.xxh64_intdigest(text or b"", 7) - (1 << 63)
                 # No word holds a space, so this row meets no word and rows spread by their text.
-                own = (b" %d" % h, 0, len(tokens) + 1, int(known[at].sum()) + known_end, float(base[at].sum()) + base_end, own_words)
-                for values in (own, *((w, k, 0, 0, 0.0, 0.0) for w, k in rest.items())):
+                own = (b" %d" % h, 0, len(tokens) + 1, int(known[at].sum()) + known_end, float(base[at].sum()) + base_end, own_words, float(spelt[at].sum()) + spelt_end)
+                for values in (own, *((w, k, 0, 0, 0.0, 0.0, 0.0) for w, k in rest.items())):
                     columns[0].append(row)
                     columns[1].append(h)
                     for column, value in zip(columns[2:], values, strict=True):
@@ -366,12 +378,12 @@ def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int
 
     def pack(batch: pa.RecordBatch, columns: list[list]) -> pa.RecordBatch:
         ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([ids, *(pa.array(v, k) for v, k in zip(columns[1:], kinds, strict=True))], names)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    rows = source.mapInArrow(run, "doc_id long, h long, word binary, n long, tokens long, known long, base double, lp_sum double")
-    joined = rows.join(table.select("word", "c", "lp"), "word", "left")
+    rows = source.mapInArrow(run, "doc_id long, h long, word binary, n long, tokens long, known long, base double, lp_sum double, spelt_sum double")
+    joined = rows.join(table.select("word", "c", "lp", "spelt"), "word", "left")
     c = F.coalesce("c", F.lit(0))
     found = joined.select(
         "doc_id",
@@ -381,8 +393,9 @@ def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int
         (F.col("known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("known"),
         (F.col("base") + F.col("n") * (F.log10(c + 1) - F.lit(scale))).alias("base"),
         (F.col("lp_sum") + F.when(F.col("n") > 0, log10_uses(F.col("lp"), F.col("n"), prior)).otherwise(0.0)).alias("lp"),
+        (F.col("spelt_sum") + F.col("n") * F.coalesce("spelt", F.lit(0.0))).alias("spelt"),
     )
-    sums_of = [F.sum(x).alias(x) for x in ("copies", "tokens", "known", "base", "lp")]
+    sums_of = [F.sum(x).alias(x) for x in ("copies", "tokens", "known", "base", "lp", "spelt")]
     each = found.groupBy("doc_id", "h").agg(*sums_of)
     # Rows with equal id and text were added up together; each gets its share.
     each = each.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
@@ -394,4 +407,5 @@ def score(docs: DataFrame, training: Column, path: str = VOCABULARY, rounds: int
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("copies")).alias("base_score"),
         (F.col("lp") / F.col("copies")).alias("score"),
+        (F.col("spelt") / F.col("copies")).alias("lattice_score"),
     )

@@ -34,8 +34,12 @@ def test_forward_sums_all_segmentations(pieces):
     model = lattice.Lattice(pieces)
     assert abs(np.exp(pieces.log_p).sum() - 1) < 1e-9
     for part, data in lattice.by_length(WORDS):
-        for k, value in zip(part, model.log_probability(data), strict=True):
+        other = np.log(np.linspace(1, 2, len(pieces.log_p)) * 1e-4)
+        own, twice = model.log_probability(data, pieces.log_p, other)
+        assert (model.log_probability(data)[0] == own).all()
+        for k, value, with_other in zip(part, own, twice, strict=True):
             assert abs(value - brute_log(WORDS[k], pieces)) < 1e-8
+            assert abs(with_other - brute_log(WORDS[k], pieces._replace(log_p=other))) < 1e-8
 
 
 def test_expected_uses_cover_every_byte_once(pieces):
@@ -62,13 +66,30 @@ def brute(data):
     return sorted(out, key=repr)
 
 
+def brute_lattice(data, pieces):
+    """Every word by all its segmentations, then the end."""
+    texts = [[odd.lower(w).encode() for w in odd.space_words(d[1])] for d in data]
+    used = [zlib.crc32(b"" if d[0] is None else str(d[0]).encode()) % 7 != 2 for d in data]
+    ends, words = sum(used), sum(len(t) for t, u in zip(texts, used, strict=True) if u)
+    end = (ends + 0.5) / (words + ends + 1)
+    known = {w: brute_log(w, pieces) for w in {w for t in texts for w in t}}
+    return [
+        (d[0], sum(math.log10(1 - end) + known[w] / math.log(10) for w in t) + math.log10(end))
+        for d, t in zip(data, texts, strict=True)
+    ]
+
+
 @pytest.mark.parametrize("frequent", [0, 7, 200_000])
-def test_documents_equal_brute_force(spark, frequent):
+def test_documents_equal_brute_force(spark, frequent, pieces):
     data = odd.rows(6)
     docs = spark.createDataFrame(data, odd.SCHEMA)
     got = lattice.score(docs, fold_of(F.col("doc_id"), 7) != 2, rounds=1, frequent=frequent).collect()
     assert sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got), key=repr) == brute(data)
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    want = brute_lattice(data, pieces)
+    pure = sorted((repr(r.doc_id), r.lattice_score) for r in got)
+    assert [i for i, _ in pure] == sorted(repr(i) for i, _ in want)
+    assert np.allclose([x for _, x in pure], [x for _, x in sorted((repr(i), x) for i, x in want)], rtol=1e-9)
     other = lattice.score(docs, fold_of(F.col("doc_id"), 7) != 2, rounds=1).collect()
     assert sorted((repr(r.doc_id), round(r.score, 5)) for r in got) == sorted((repr(r.doc_id), round(r.score, 5)) for r in other)
 
