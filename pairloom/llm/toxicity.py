@@ -64,10 +64,11 @@ def automaton(terms: tuple, exceptions: tuple = ()) -> ahocorasick.Automaton | N
     """Matcher of terms and exception phrases; None without any."""
     found = ahocorasick.Automaton()
     for term, weight in terms:
-        found.add_word(" " + term, (len(term) + 1, weight))
+        found.add_word(" " + term, (len(term) + 1, weight, False))
     for phrase in exceptions:
-        known = found.get(" " + phrase, (len(phrase) + 1, 0.0))
-        found.add_word(" " + phrase, (known[0], -math.inf))
+        # A phrase may also be a term: it is quiet as a whole word, and longer words still count.
+        size, weight, _ = found.get(" " + phrase, (len(phrase) + 1, 0.0, True))
+        found.add_word(" " + phrase, (size, weight, True))
     if not len(found):
         return None
     found.make_automaton()
@@ -80,12 +81,11 @@ def hits(folded: str, machine: ahocorasick.Automaton | None) -> dict[int, float]
         return {}
     best: dict[int, float] = {}
     quiet: list[tuple[int, int]] = []
-    for end, (size, weight) in machine.iter(folded):
+    for end, (size, weight, phrase) in machine.iter(folded):
         start = end - size + 1
-        if weight == -math.inf:
-            # A phrase ends with its word.
-            if not folded[end + 1 : end + 2].isalnum():
-                quiet.append((start, end))
+        # A phrase ends with its word.
+        if phrase and not folded[end + 1 : end + 2].isalnum():
+            quiet.append((start, end))
         elif weight > best.get(start, 0.0):
             best[start] = weight
     for start, end in quiet:

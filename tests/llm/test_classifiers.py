@@ -45,6 +45,59 @@ def test_terms_folding_and_exceptions(text, starts):
     assert sorted(toxicity.hits(toxicity.fold(text), machine)) == starts
 
 
+def brute_hits(folded, terms, exceptions):
+    """Every word start against every term, then every place of every phrase."""
+    spaces = [i for i, c in enumerate(folded) if c == " "]
+    best = {}
+    for i in spaces:
+        weights = [w for t, w in terms if folded.startswith(" " + t, i) and w > 0]
+        if weights:
+            best[i] = max(weights)
+    for phrase in exceptions:
+        for a in spaces:
+            end = a + len(phrase)
+            if folded.startswith(" " + phrase, a) and not folded[end + 1 : end + 2].isalnum():
+                best = {i: w for i, w in best.items() if not a <= i < end}
+    return best
+
+
+def brute_score(text, lexicon):
+    folded = toxicity.fold(text)
+    weight = sum(brute_hits(folded, lexicon.terms, lexicon.exceptions).values())
+    x = (1.0, np.log1p(weight), np.log1p(100 * weight / max(folded.count(" "), 20)))
+    return 1 / (1 + np.exp(-np.clip(np.dot(x, lexicon.curve), -30, 30)))
+
+
+def test_scores_equal_brute_force(spark):
+    made = toxicity.Lexicon((("dam", 2.0), ("damn", 3.0), ("id", 1.0), ("idiot", 2.5)), ("dam", "big dam", "idiot proof"), (-2.0, 1.0, 0.5))
+    learned = toxicity.learn(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    odd_docs = [(d[1],) for d in odd.rows(3)] + [(t,) for t in ("a dam", "damn", "big dam idiot", "id idiot proof idiots", "dam damn dams")]
+    docs = spark.createDataFrame(odd_docs, "text string").unionByName(table(spark, "/root/testdata/sf0.001", "documents").select("text"))
+    for lexicon in (made, learned):
+        got = docs.select("text", toxicity.toxicity(docs["text"], lexicon).alias("s")).collect()
+        assert len(got) > 200 and all(abs(r.s - brute_score(r.text, lexicon)) < 1e-9 for r in got)
+    assert toxicity.measure("damn", toxicity.automaton(made.terms, made.exceptions))[0] > 0
+    assert toxicity.measure("a dam", toxicity.automaton(made.terms, made.exceptions))[0] == 0
+
+
+def test_ranking_weights_are_the_bradley_terry_optimum(spark, monkeypatch):
+    seen = []
+    fit = logistic.fit
+    monkeypatch.setattr(logistic, "fit", lambda x, y, *a, **k: seen.append((x, y, k["ridge"], fit(x, y, *a, **k))) or seen[-1][3])
+    ranker = quality.learn(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    (gaps, y, ridge, weights), = seen
+    assert (y == 1).all() and np.allclose(weights, ranker.weights)
+    # The gradient of the logistic loss on differences, pair by pair, vanishes.
+    grad = ridge * weights
+    for gap in gaps:
+        grad = grad - gap / (1 + np.exp(gap @ weights)) / len(gaps)
+    assert np.abs(grad).max() < 1e-8
+    rows = table(spark, SF, "documents").join(table(spark, SF, "labels"), "doc_id").select("text", "quality").collect()
+    sums = np.array([np.dot((quality.features(r.text) - ranker.mean) / ranker.scale, ranker.weights) for r in rows])
+    good = np.array([r.quality == 1 for r in rows])
+    assert (sums[good][:, None] > sums[~good]).mean() > 0.95
+
+
 def test_weight_is_normalised_by_length():
     machine = toxicity.automaton(TERMS)
     short, long = (toxicity.measure("trash " + "w " * n, machine) for n in (50, 500))
