@@ -6,6 +6,11 @@ rarest one: a document without it cannot hold the window. Documents are joined o
 its offset in the window bounds where the window may lie in the document, the two lengths bound
 whether it fits, and the words in place are compared last, inside the join condition.
 
+Where a benchmark has too many windows for a broadcast, words are joined with the distinct pairs of
+offset and length that their windows have, which gives the passages a window could be; passages and
+windows then meet by all their words, so that no frequent word gathers rows. A row of that join
+carries the words around a place, not the text.
+
 Everything is DataFrame operations. Null texts have no words. Rows with equal id and text get equal
 results. Windows of an item with null id count as hits, but the item is not listed.
 """
@@ -14,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairloom.llm.words import alnum_words, small
+from pairloom.llm.words import alnum_words, is_small, small
 from pairloom.storage import materialise
 
 WINDOW = 10
@@ -57,26 +62,60 @@ def _key(docs: DataFrame) -> list[Column]:
     return [F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash")]
 
 
-def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``start`` and ``words`` of every window found in a document."""
+def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``start`` and ``words`` of every window found in a document.
+
+    ``window`` is the length of the longest of ``windows``.
+    """
     words = docs.select(*_key(docs), alnum_words(F.col("text")).alias("ws"))
     tokens = words.select(F.explode("ws").alias("word"))
     prefix = materialise(rarest_word(windows, tokens).withColumnRenamed("word", "token"))
     placed = words.select("doc_id", "text_hash", "ws", F.posexplode("ws").alias("pos", "word"))
+    if not is_small(prefix):
+        return _occurrences_of_many(placed, prefix, window)
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.size("words") <= F.size("ws"))
     # slice() counts from 1 and must not see a start below that.
     same = F.slice("ws", F.greatest(start, F.lit(0)) + 1, F.size("words")) == F.col("words")
-    return placed.join(small(prefix), (F.col("word") == F.col("token")) & fits & same).select(
+    return placed.join(F.broadcast(prefix), (F.col("word") == F.col("token")) & fits & same).select(
         "doc_id", "text_hash", start.alias("start"), "words"
     )
 
 
+def _occurrences_of_many(placed: DataFrame, prefix: DataFrame, window: int) -> DataFrame:
+    """The same for a ``prefix`` that is too large to send: by the passages its words may lie in."""
+    steps = materialise(prefix.select("token", "offset", F.size("words").alias("len")).distinct())
+    sent = is_small(steps)
+    first = F.lit(0) if sent else F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    # Words that are joined where they lie may look at the text; those that are shuffled take a slice.
+    near = F.col("ws") if sent else F.slice("ws", first + 1, 2 * window - 1)
+    around = placed.select(
+        "doc_id", "text_hash", "word", "pos", first.alias("first"), near.alias("near"), F.size("ws").alias("n")
+    )
+    start = F.col("pos") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("len") <= F.col("n"))
+    passages = around.join(
+        F.broadcast(steps) if sent else steps, (F.col("word") == F.col("token")) & fits
+    ).select(
+        "doc_id",
+        "text_hash",
+        start.alias("start"),
+        F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("len")).alias("passage"),
+        F.col("word").alias("by"),
+        F.col("offset").alias("by_offset"),
+    )
+    # A window has one rarest word, so a passage meets it once.
+    met = (
+        (F.col("passage") == F.col("words")) & (F.col("by") == F.col("token")) & (F.col("by_offset") == F.col("offset"))
+    )
+    return passages.join(prefix, met).select("doc_id", "text_hash", "start", "words")
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``,
     besides ``doc_id`` and ``text_hash``."""
     windows = materialise(item_windows(items, window))
-    found = materialise(occurrences(docs, windows))
+    found = materialise(occurrences(docs, windows, window))
     key = ["doc_id", "text_hash"]
     spans = found.groupBy(*key, "start").agg(F.max(F.size("words")).alias("len"))
     ordered = Window.partitionBy(*key).orderBy("start")
@@ -117,7 +156,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    found = occurrences(docs, materialise(item_windows(items, window)))
+    found = occurrences(docs, materialise(item_windows(items, window)), window)
     hit = materialise(
         found.select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_hash")).distinct()
     )

@@ -32,9 +32,14 @@ def alnum_words(text: Column) -> Column:
     return pieces(ascii_lower(text), NOT_ALNUM)
 
 
+def is_small(table: DataFrame) -> bool:
+    """Whether the table's measured size allows a broadcast."""
+    return fits_broadcast(table, max_rows=500_000, max_bytes=64 << 20)
+
+
 def small(table: DataFrame) -> DataFrame:
     """The table with a broadcast hint if its measured size allows one; else joins shuffle it."""
-    return F.broadcast(table) if fits_broadcast(table, max_rows=500_000, max_bytes=64 << 20) else table
+    return F.broadcast(table) if is_small(table) else table
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -39,10 +39,16 @@ def items_of(data):
     return long + odd_ones
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_equals_brute_force(spark, broadcast, monkeypatch):
-    if not broadcast:
-        monkeypatch.setattr("pairloom.llm.decontaminate.small", lambda df: df)
+def limit_broadcasts(monkeypatch, sent):
+    """Send nothing, or only the offsets of rarest words."""
+    monkeypatch.setattr("pairloom.llm.decontaminate.small", lambda df: df)
+    monkeypatch.setattr("pairloom.llm.decontaminate.is_small", lambda df: sent == "offsets" and "len" in df.columns)
+
+
+@pytest.mark.parametrize("sent", ["all", "offsets", "nothing"])
+def test_equals_brute_force(spark, sent, monkeypatch):
+    if sent != "all":
+        limit_broadcasts(monkeypatch, sent)
     data = [r for r in odd.rows(3) if len(r[1] or "") < 10_000]
     data.append((300, "the " * 40, "en", "a", 0, None, None, None))
     docs, items = spark.createDataFrame(data, odd.SCHEMA), spark.createDataFrame(items_of(data), ITEMS)
@@ -65,6 +71,22 @@ def test_long_texts_and_empty_tables(spark):
     assert decontaminate.clean_documents(docs, none).count() == docs.count()
 
 
+def test_shuffled_words_carry_no_texts(spark, monkeypatch):
+    limit_broadcasts(monkeypatch, "nothing")
+    items = spark.createDataFrame([(1, "word " * 12 + "x", 0), (2, "x", 0), (3, "x word word", 0)], ITEMS)
+    text = " ".join(["word"] * 3_000 + ["x"] + ["word"] * 3_000)
+    docs = spark.createDataFrame([(1, text), (2, "word " * 9 + "X."), (3, "word " * 8 + "x")], "doc_id long, text string")
+    windows = decontaminate.item_windows(items)
+    found = decontaminate.occurrences(docs, windows)
+    met = sorted((r.doc_id, r.start, len(r.words)) for r in found.collect())
+    # Of the windows with an x: the one at its item's end, the item of one word, and x and two words.
+    ten_words = [(1, i, 10) for i in range(2_991)] + [(1, 3_001 + i, 10) for i in range(2_991)]
+    assert met == sorted([*ten_words, (1, 2_991, 10), (1, 3_000, 1), (1, 3_000, 3), (2, 0, 10), (2, 9, 1), (3, 8, 1)])
+    # The text is not an output of what is joined with the windows, nor of the exchange under it.
+    exchanged = plan(found).split("Exchange")
+    assert not any(" ws#" in part.split("\n")[1] for part in exchanged[1:] if "\n" in part)
+
+
 def test_only_jvm_operations(spark):
     items = spark.createDataFrame([(1, "word " * 12, 0)], ITEMS)
     text = plan(decontaminate.contamination(odd.documents(spark), items))
