@@ -34,31 +34,54 @@ def text_quality(text: Column, size: Column) -> Column:
     return F.greatest(size, F.lit(1)).cast("double") / (size + 20) / (1.0 + spread)
 
 
+def in_order(rows: DataFrame, order: Column) -> DataFrame:
+    """The rows stored in ranges of ``order``, which has no ties; ``part`` numbers the ranges from below."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(rows.repartitionByRange(ranges, order).withColumn("part", F.spark_partition_id()))
+
+
+def offsets(ordered: DataFrame, **sums: Column) -> DataFrame:
+    """For each ``part``, the sums over all earlier parts, and with ``later_`` before the name over all
+    later ones. Windows here hold a row per part."""
+    parts = ordered.groupBy("part").agg(*[value.alias(name) for name, value in sums.items()])
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    found = [F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"earlier_{name}") for name in sums]
+    found += [F.coalesce(F.sum(name).over(after), F.lit(0)).alias(f"later_{name}") for name in sums]
+    return F.broadcast(parts.select("part", *found))
+
+
 def source_targets(
     sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5, most: float = 2.0
 ) -> DataFrame:
     """``source``, ``source_size``, ``target`` from rows of ``source`` and ``size``.
 
     Water filling in closed form: with sources ordered by cap over weight, the level is the largest
-    of (budget - caps before) / (weights from here on). The windows hold one row per source.
+    of (budget - caps before) / (weights from here on). Sources are ranked and summed in ranges, so
+    that no task holds all of them.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    ranged = in_order(totals, F.col("source").asc_nulls_last())
+    inside = Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())
+    rank = F.col("earlier_n") + F.row_number().over(inside) - 1
     share = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    cap = F.col("source_size") * F.lit(float(most))
-    weighed = totals.select("source", "source_size", share.alias("w"), cap.alias("cap"))
-    every = Window.partitionBy()
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    here_on = order.rowsBetween(0, Window.unboundedFollowing)
+    weighed = (
+        ranged.join(offsets(ranged, n=F.count(F.lit(1))), "part")
+        .withColumn("w", share)
+        .select("source", "source_size", "w", (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    )
+    filling = in_order(weighed, F.struct(F.col("cap") / F.col("w"), F.col("source").isNull(), "source"))
+    order = Window.partitionBy("part").orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
+    before = F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    here_on = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
+    all_words = filling.agg(F.sum("source_size")).first()[0] or 0
     level = (
-        F.sum("source_size").over(every) * F.lit(float(budget))
-        - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    ) / F.sum("w").over(here_on)
-    return (
-        weighed.withColumn("level", level)
-        .withColumn("level", F.max("level").over(every))
-        .select("source", "source_size", F.least("cap", F.col("w") * F.col("level")).alias("target"))
+        F.lit(all_words * float(budget)) - (F.col("earlier_cap") + F.coalesce(before, F.lit(0.0)))
+    ) / (F.col("later_w") + here_on)
+    at = filling.join(offsets(filling, cap=F.sum("cap"), w=F.sum("w")), "part").select(level.alias("level"))
+    highest = at.agg(F.max("level")).first()[0] or 0.0
+    return filling.select(
+        "source", "source_size", F.least("cap", F.col("w") * F.lit(highest)).alias("target")
     )
 
 

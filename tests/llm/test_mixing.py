@@ -67,6 +67,18 @@ def test_targets_share_again_until_none_is_over(spark):
     assert abs(sum(got.values()) - 1.5 * sum(sizes.values())) < 1e-6
 
 
+def test_many_sources_are_ranked_in_ranges(spark):
+    sizes = {f"host{i * 7919 % 5003}": (i * 37) % 211 for i in range(3_000)} | {None: 50}
+    df = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, size long")
+    targets = mixing.source_targets(df)
+    want = brute_targets(sizes)
+    got = {r.source: r.target for r in targets.collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
+    ranged = mixing.in_order(df, F.col("source").asc_nulls_last())
+    parts = {r.part: r.n for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(parts) > 1 and max(parts.values()) < len(sizes)
+
+
 def test_taken_words_come_near_the_target(spark):
     rows = [(i, "word " * (i % 40), "en", f"s{i % 4}", 1, None, None, None) for i in range(2000)]
     got = mixing.mix(spark.createDataFrame(rows, odd.SCHEMA)).groupBy("source", "target").sum("taken").collect()
