@@ -32,6 +32,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path given by :func:`scratch_path`, after its last reader has written its own result.
+
+    Other paths are refused; a path that is not there is left alone.
+    """
+    if os.path.dirname(path) != os.path.join(checkpoint_dir(spark), "tables"):
+        raise ValueError(f"{path} is no scratch path of this session")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once and keep reliably; for results that several later steps read."""
     checkpoint_dir(df.sparkSession)
