@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import decontaminate, mixing, secret_scan, simhash, toxicity
-from pairloom.storage import scratch_path
+from pairloom.storage import discard, scratch_path
 
 # Learned steps and hashes on Python's side have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -67,10 +67,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of the whole documents table; every stage goes through a written table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The mix of the whole documents table; every stage goes through a written table.
+
+    A stage's table is deleted when the next one is written whole; the last one stays for the caller.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs

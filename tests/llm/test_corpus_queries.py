@@ -10,6 +10,7 @@ from conftest import rows
 
 import __spark_entry__ as entry
 from pairloom.llm import oracles, queries, secret_scan
+from pairloom.storage import checkpoint_dir
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
@@ -49,7 +50,11 @@ def test_stages_act_on_all_that_came_before(spark, tmp_path):
     assert set(near) == {ids[r] for r in set(root)}
     mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert sorted(r.doc_id for r in mixed.collect()) == sorted(redacted)
+    tables = os.path.join(checkpoint_dir(spark), "tables")
+    there = set(os.listdir(tables)) if os.path.isdir(tables) else set()
     assert rows(corpus_pipeline.run(spark, SMALL)) == rows(mixed)
+    left = {t.rsplit("-", 1)[0] for t in set(os.listdir(tables)) - there}
+    assert {t for t in left if t.startswith("pipeline-")} == {"pipeline-mix"}
 
 
 def test_stages_take_odd_documents(spark):
