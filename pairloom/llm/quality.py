@@ -6,12 +6,15 @@ difference of features, without an intercept. The scores of labelled documents t
 threshold: the quantile near the share of bad labels that errs least. A logistic curve puts that
 quantile at ``cut``.
 
-Labels are learned from at most about ``max_rows`` documents for each value (documented bound), with
-``OPPONENTS`` pairs for each document of the smaller class; copies of a text count once. Every whole
-text is scored. Null and empty texts have the features of an empty document. Without labels of both
-kinds every score is ``cut``.
+Weights, means and threshold come from all labelled documents; copies of a text count once. Pairs are
+made inside blocks of about ``BLOCK`` documents, dealt by a hash of the text, with ``OPPONENTS`` pairs
+for each document of a block's smaller class. One block is fitted on the driver; more stay in tasks,
+which return sums of a fixed size for each Newton step, and the threshold is found in ranges of the
+sorted scores. Every whole text is scored. Null and empty texts have the features of an empty
+document. Without labels of both kinds every score is ``cut``.
 """
 
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -19,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from pairloom.llm import logistic
-from pairloom.llm.words import bounded_labels
+from pairloom.llm.mixing import in_order, offsets
+from pairloom.llm.words import is_small, known_labels
 from pairloom.storage import materialise
 
-MAX_ROWS = 4_000
+# Documents in a block, whose pairs are made in one task.
+BLOCK = 8_192
+RIDGE = 1e-3
 OPPONENTS = 16
 CUT = 0.3
 
@@ -97,31 +104,141 @@ def _vectors() -> Column:
     return run(F.col("text"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS) -> Ranker | None:
-    """Ranker from a bounded sample; None without labels of both kinds."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``label``, features ``x`` and text hash ``h`` of each distinct labelled text."""
+    texts = docs.select("doc_id", "text")
+    hashed = F.xxhash64("text").alias("h")
+    if is_small(labels):
+        rows = texts.join(F.broadcast(labels), "doc_id").select("label", _vectors().alias("x"), hashed)
+    else:
+        # Features are shuffled in place of texts.
+        rows = texts.select("doc_id", _vectors().alias("x"), hashed).join(labels, "doc_id").drop("doc_id")
+    return materialise(rows.dropDuplicates(["label", "h"]))
+
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", block: int | None = None) -> Ranker | None:
+    """Ranker from all labelled documents; None without labels of both kinds."""
     usable = labels.where(F.col(label).isin(0, 1))
-    chosen = bounded_labels(usable, label, max_rows, "quality")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = sample.select("label", _vectors().alias("x"), F.xxhash64("text").alias("h"))
-    sample = materialise(sample.dropDuplicates(["label", "h"]))
-    # Bounded by the sample; sorted so that the pairs are the same in every run.
-    rows = sorted(((r["label"], r["h"], r["x"]) for r in sample.collect()), key=lambda r: r[:2])
-    x = np.array([r[2] for r in rows])
-    y = np.array([r[0] for r in rows], int)
-    if len(set(y.tolist())) < 2:
+    rows = labelled(docs, materialise(known_labels(usable, label)))
+    found = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(found) < 2:
         return None
+    # Distinct texts count as often as their class has labels.
+    shares = {r["label"]: r["count"] for r in usable.groupBy(F.col(label).alias("label")).count().collect()}
+    each = (shares[0] / found[0], shares[1] / found[1])
+    blocks = -(-sum(found.values()) // (block or BLOCK))
+    return _learn_block(rows, each) if blocks == 1 else _learn_blocks(rows, blocks, found, each)
+
+
+def _learn_block(rows: DataFrame, each: tuple[float, float]) -> Ranker:
+    """Fit on the driver; the rows are at most a block."""
+    # Sorted so that the pairs are the same in every run.
+    found = sorted(((r["label"], r["h"], r["x"]) for r in rows.collect()), key=lambda r: r[:2])
+    x = np.array([r[2] for r in found])
+    y = np.array([r[0] for r in found], int)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
     z = (x - mean) / scale
+    gaps = _gaps(z, y)
+    weights = logistic.fit(gaps, np.ones(len(gaps)), ridge=RIDGE)
+    sums = z @ weights
+    threshold = _threshold(sums, y, np.where(y == 1, each[1], each[0]))
+    return Ranker(tuple(mean), tuple(scale), tuple(weights), threshold, 4.0 / max(float(sums.std()), 1e-6))
+
+
+def _gaps(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differences of features of a block's pairs."""
     order = np.random.default_rng(0).permutation(len(y))
     good, bad = order[y[order] == 1], order[y[order] == 0]
     up, down = preferences(len(good), len(bad))
-    gaps = z[good[up]] - z[bad[down]]
-    weights = logistic.fit(gaps, np.ones(len(gaps)), ridge=1e-3)
-    sums = z @ weights
-    shares = {r["label"]: r["count"] for r in usable.groupBy(F.col(label).alias("label")).count().collect()}
-    weight = np.where(y == 1, shares[1] / len(good), shares[0] / len(bad))
-    threshold = _threshold(sums, y, weight)
-    return Ranker(tuple(mean), tuple(scale), tuple(weights), threshold, 4.0 / max(float(sums.std()), 1e-6))
+    return z[good[up]] - z[bad[down]]
+
+
+def _packed(rows: DataFrame, blocks: int) -> DataFrame:
+    """A row per block: features, labels and hashes as bytes, in order of label and hash."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("label", "ascending"), ("h", "ascending")])
+        parts = (table["x"].combine_chunks().flatten(), table["label"], table["h"])
+        kinds = (np.float64, np.int8, np.int64)
+        return pa.table({n: pa.array([np.asarray(v).astype(k).tobytes()], pa.binary()) for n, v, k in zip("xyh", parts, kinds)})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "h"), F.lit(blocks)))
+    return materialise(dealt.groupBy("block").applyInArrow(pack, "x binary, y binary, h binary"))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for x, y, h in zip(*batch.columns, strict=True):
+            y, h = np.frombuffer(y.as_buffer(), np.int8), np.frombuffer(h.as_buffer(), np.int64)
+            yield np.frombuffer(x.as_buffer(), np.float64).reshape(len(y), -1), y, h
+
+
+def _total(packed: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of a vector of fixed size over all blocks; a task returns one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for x, y, _ in _unpacked(batches):
+            total = total + measure(x, y)
+        if not np.isscalar(total):
+            yield pa.record_batch({"total": pa.array([total.tobytes()], pa.binary())})
+
+    return sum(np.frombuffer(r["total"], np.float64) for r in packed.mapInArrow(run, "total binary").collect())
+
+
+def _learn_blocks(rows: DataFrame, blocks: int, found: dict[int, int], each: tuple[float, float]) -> Ranker:
+    """Fit in tasks; the driver holds sums whose size is that of the features squared."""
+    packed = _packed(rows, blocks)
+    n = sum(found.values())
+    mean = _total(packed, lambda x, y: x.sum(axis=0)) / n
+    scale = np.maximum(np.sqrt(_total(packed, lambda x, y: ((x - mean) ** 2).sum(axis=0)) / n), 1e-6)
+
+    def derivatives(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def measure(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            gaps = _gaps((x - mean) / scale, y)
+            p = logistic.sigmoid(gaps @ w)
+            return np.r_[len(gaps), gaps.T @ (p - 1), ((gaps * (p * (1 - p))[:, None]).T @ gaps).ravel()]
+
+        total = _total(packed, measure)
+        total = total[1:] / max(total[0], 1.0)
+        return total[: len(w)], total[len(w) :].reshape(len(w), -1)
+
+    weights = logistic.newton(len(mean), derivatives, RIDGE)
+    middle = _total(packed, lambda x, y: ((x - mean) / scale @ weights).sum(keepdims=True))[0] / n
+    spread = _total(packed, lambda x, y: (((x - mean) / scale @ weights - middle) ** 2).sum(keepdims=True))[0] / n
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y, h in _unpacked(batches):
+            yield pa.record_batch({"s": (x - mean) / scale @ weights, "label": y.astype(np.int32), "h": h})
+
+    threshold = _threshold_in_ranges(packed.mapInArrow(scored, "s double, label int, h long"), found, each)
+    return Ranker(tuple(mean), tuple(scale), tuple(weights), threshold, 4.0 / max(float(np.sqrt(spread)), 1e-6))
+
+
+def _threshold_in_ranges(sums: DataFrame, found: dict[int, int], each: tuple[float, float]) -> float:
+    """The same as :func:`_threshold` for sums that are sorted in ranges, from counts of labels below each place."""
+    n = found[0] + found[1]
+    total = found[0] * each[0] + found[1] * each[1]
+    share = found[0] * each[0] / total
+    order = F.struct("s", "label", "h")
+    ranged = in_order(sums, order)
+    before = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    counted = ranged.join(offsets(ranged, n=F.count(F.lit(1)), good=F.sum("label")), "part").select(
+        "s",
+        (F.col("earlier_n") + F.count(F.lit(1)).over(before)).alias("at"),
+        (F.col("earlier_good") + F.coalesce(F.sum("label").over(before), F.lit(0))).alias("good"),
+    )
+    good, bad = F.col("good") * F.lit(each[1] / total), (F.col("at") - F.col("good")) * F.lit(each[0] / total)
+    level = good + bad
+    cuts = counted.where((level >= share / 2) & (level <= min(2 * share, 1.0))).select(
+        (F.lit(share) + good - bad).alias("error"), F.abs(level - share).alias("off"), "at"
+    )
+    best = cuts.agg(F.min(F.struct("error", "off", "at")).alias("b")).first()["b"]
+    # A cut above all rows, where that is allowed.
+    found_cuts = ([tuple(best)] if best else []) + ([(1.0 - share, 1.0 - share, n)] if 2 * share >= 1.0 else [])
+    at = min(found_cuts)[2] if found_cuts else n // 2
+    beside = {r["at"]: r["s"] for r in counted.where(F.col("at").isin(max(at - 1, 0), min(at, n - 1))).collect()}
+    return float((beside[max(at - 1, 0)] + beside[min(at, n - 1)]) / 2)
 
 
 def _threshold(sums: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:

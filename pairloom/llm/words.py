@@ -47,19 +47,24 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def bounded_labels(labels: DataFrame, label: str, max_rows: int, seed: str) -> DataFrame:
-    """At most about ``max_rows`` ids of each value of ``label``, chosen by a hash of the id.
-
-    Ids with a null label, or with rows that disagree, teach nothing. The result has ``doc_id`` and
-    ``label``; its size is bounded by the number of values, so it may be broadcast.
-    """
-    known = (
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id`` and ``label`` of every labelled id, once. Ids with a null label, or with rows that disagree, teach nothing."""
+    return (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id")
         .agg(F.min(label).alias("label"), F.max(label).alias("most"))
         .where("label = most")
         .select("doc_id", "label")
     )
+
+
+def bounded_labels(labels: DataFrame, label: str, max_rows: int, seed: str) -> DataFrame:
+    """At most about ``max_rows`` of the known labels of each value, chosen by a hash of the id.
+
+    The result has ``doc_id`` and ``label``; its size is bounded by the number of values, so it may be
+    broadcast.
+    """
+    known = known_labels(labels, label)
     counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     share = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     return (

@@ -98,6 +98,51 @@ def test_ranking_weights_are_the_bradley_terry_optimum(spark, monkeypatch):
     assert (sums[good][:, None] > sums[~good]).mean() > 0.95
 
 
+def test_ranker_learns_from_every_label(spark):
+    """Weights, means and threshold against brute force over all rows, with more than a block of them."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab cd.E1!|"), 3 + i % 40)) + f" {i}" for i in range(9_000)]
+    texts += [t + " | | | spam spam" for t in texts[:300]] + texts[:50]
+    rows = [(i, t, int(i < 9_000 or i >= 9_300) if i % 97 else int(i % 2), 0) for i, t in enumerate(texts)]
+    table_ = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int").repartition(3)
+    ranker = quality.learn(table_.select("doc_id", "text"), table_.select("doc_id", "quality"))
+    distinct = list({(r[2], r[1]): None for r in rows})
+    y = np.array([d[0] for d in distinct])
+    x = np.array([quality.features(d[1]) for d in distinct])
+    assert np.allclose(ranker.mean, x.mean(axis=0)) and np.allclose(ranker.scale, np.maximum(x.std(axis=0), 1e-6))
+    z = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-6)
+    sums = z @ np.array(ranker.weights)
+    assert abs(ranker.slope - 4 / sums.std()) < 1e-6
+    # No cut between half and twice the share of bad labels errs less.
+    counts = np.bincount([r[2] for r in rows])
+    w = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum()) / len(rows)
+    share = w[y == 0].sum()
+
+    def error(cut):
+        return w[(sums < cut) & (y == 1)].sum() + w[(sums >= cut) & (y == 0)].sum()
+
+    cuts = np.append(np.sort(sums), np.inf)
+    level = np.append(0.0, np.cumsum(w[np.argsort(sums, kind="stable")]))
+    allowed = cuts[(level >= share / 2) & (level <= min(2 * share, 1.0))]
+    assert abs(error(ranker.threshold) - min(map(error, allowed))) < 1e-9
+    # Blocks of any size learn from the same documents; with one block the driver fits them.
+    whole = quality.learn(table_.select("doc_id", "text"), table_.select("doc_id", "quality"), block=20_000)
+    assert np.allclose(whole.mean, ranker.mean) and np.corrcoef(sums, z @ np.array(whole.weights))[0, 1] > 0.99
+    # One packed block gives what the driver's fit gives.
+    found = {0: int((y == 0).sum()), 1: int((y == 1).sum())}
+    each = (counts[0] / found[0], counts[1] / found[1])
+    known = quality.labelled(table_, table_.select("doc_id", table_["quality"].alias("label")))
+    packed = quality._learn_blocks(known, 1, found, each)
+    assert np.allclose(packed.weights, whole.weights, atol=1e-7) and abs(packed.slope - whole.slope) < 1e-6
+
+
+def test_features_are_joined_where_labels_are_many(spark, monkeypatch):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    few = quality.learn(docs, labels)
+    monkeypatch.setattr(quality, "is_small", lambda _: False)
+    assert np.allclose(quality.learn(docs, labels).weights, few.weights)
+
+
 def test_weight_is_normalised_by_length():
     machine = toxicity.automaton(TERMS)
     short, long = (toxicity.measure("trash " + "w " * n, machine) for n in (50, 500))
