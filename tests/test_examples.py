@@ -123,3 +123,17 @@ def test_ids_of_a_stored_tokeniser_give_the_text_back(spark):
     assert all(r.text == (r.c or "") for r in back.collect())
     none = encoding.decode_with(spark.createDataFrame([(None,)], "ids array<int>"), path, {"ids": "text"})
     assert none.first().text is None and encoding.encode_with(df.limit(0), path, {"c": "ids"}).count() == 0
+
+
+def test_slices_of_a_batch_encode_alike(spark, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"text {i} " * (i % 7) if i % 11 else None for i in range(300)] + ["long " * 400, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, c string").coalesce(1)
+    monkeypatch.setattr(encoding, "SLICE", 64)
+    coded = encoding.encode_with(df, path, {"c": "ids"})
+    whole = Tokenizer.from_file(path)
+    got = encoding.decode_with(coded, path, {"ids": "text"}).collect()
+    assert len(got) == len(texts)
+    assert all(r.ids == whole.encode(r.c or "", add_special_tokens=False).ids and r.text == (r.c or "") for r in got)
+    odd = coded.withColumn("ids", F.when(F.col("i") % 2 == 0, F.col("ids")))
+    assert all(r.text == ((r.c or "") if r.i % 2 == 0 else None) for r in encoding.decode_with(odd, path, {"ids": "text"}).collect())
