@@ -463,8 +463,9 @@ def read_results(t: Tables) -> DataFrame:
 def run_store(t: Tables) -> DataFrame:
     """The metrics of all runs as the store has them after they were put there twice."""
     path = scratch_path(t.spark, "runs")
+    metrics = _run_metrics(t)
     for _ in range(2):
-        result_files.append_run_metrics(_run_metrics(t), path)
+        result_files.append_run_metrics(metrics, path)
     return result_files.read_runs(t.spark, path, metrics=True).select(F.col("run_id").cast("long"), "model", "metric", "value")
 
 

@@ -6,7 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 import check
-from bindings import oracles, queries as bound
+from bindings import oracles, queries
+from bindings import queries as bound
 from conftest import plan
 
 SMALL = "/root/testdata/sf0.001"
@@ -36,3 +37,19 @@ def test_entry(spark):
 def test_scoring_stays_in_the_jvm(spark, name):
     text = plan(entry.queries()[name](spark, SMALL))
     assert "Python" not in text and "CartesianProduct" not in text
+
+
+def test_run_store_scores_once_and_puts_twice(spark, monkeypatch):
+    calls = {"score": 0, "put": 0}
+
+    def counted(name, run):
+        def call(*args):
+            calls[name] += 1
+            return run(*args)
+
+        return call
+
+    monkeypatch.setattr(queries, "score_generations", counted("score", queries.score_generations))
+    monkeypatch.setattr(queries.result_files, "append_run_metrics", counted("put", queries.result_files.append_run_metrics))
+    entry.queries()["run_store"](spark, SMALL)
+    assert calls == {"score": 1, "put": 2}
