@@ -30,7 +30,7 @@ FILE_BYTES = 1 << 29
 
 # The references that pages use most; the table of all of them is asked after these.
 COMMON = ("amp", "lt", "gt", "quot", "apos", "nbsp", "copy", "reg", "laquo", "raquo", "middot", "ndash", "mdash", "hellip", "eacute")
-_HIDDEN = r"(?is)<!--.*?(?:-->|$)|<(script|style|noscript|template)\b[^<>]*+>.*?(?:</\1\s*+>|$)"
+_HIDDEN = r"(?is)<(?:!--.*?(?:-->|$)|(script|style|noscript|template)\b[^<>]*+>.*?(?:</\1\s*+>|$))"
 # A tag ends before the next one begins, so one that is never closed is not read again from every place.
 _BREAKS = r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|blockquote|pre|title|body|head)\b[^<>]*+>|br\b[^<>]*+>)"
 _TAGS = r"<[!/?A-Za-z][^<>]*+>"
@@ -103,7 +103,8 @@ def with_plain_text(df: DataFrame, html: str, out: str) -> DataFrame:
     In steps over columns: an expression that is used several times is computed once.
     """
     shown = F.regexp_replace(F.coalesce(html, F.lit("")), _HIDDEN, " ")
-    flat = F.regexp_replace(shown, r"\s+", " ")
+    # Runs of spaces are folded once, at the end.
+    flat = F.regexp_replace(shown, r"[\t-\r]+", " ")
     bare = F.regexp_replace(F.regexp_replace(flat, _BREAKS, "\n"), _TAGS, "")
     read = df.withColumn(out, bare).withColumn(out, unescaped(F.col(out)))
     tidy = F.regexp_replace(F.regexp_replace(out, r"[ \x{A0}]+", " "), r" ?\n[ \n]*", "\n")

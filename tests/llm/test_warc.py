@@ -100,3 +100,13 @@ def test_captured_responses_keep_their_headers(spark, tmp_path):
     assert {"http-status: 404", "http-content-type: text/html", "http-header: X-Cache: a:b", "title: T"} <= set(lines)
     assert {r.payload_digest for r in derived} == {"sha1:ABC"}
     assert all("WARC-Target-URI: http://x/" in r.headers and "WARC-Date: 2024-01-01T00:00:00Z" in r.headers for r in derived)
+
+
+def test_white_space_folds_once(spark):
+    pages = [
+        (1, "u", "a\r\n b\t\tc <p>\n x <b> </b>  y&nbsp; z\x0b\fq<!-- x\n --> r <!-- open"),
+        (2, "u", "<script>a</script >b\n<STYLE x>c</style>d<br>\n e<script>f"),
+    ]
+    found = warc.derive(warc.responses(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    texts = {r.page_id: r.block for r in found.where("kind = 'conversion'").collect()}
+    assert texts == {1: "a b c\nx y z q r", 2: "b d\ne"}
