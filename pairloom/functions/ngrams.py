@@ -22,15 +22,20 @@ def extend(grams: str, toks: str, n: int) -> str:
     )
 
 
+def run_starts(ordered: str) -> str:
+    """Places from 0 where a sorted array has another value than before."""
+    starts = f"filter(sequence(0, size({ordered}) - 1), i -> i = 0 or get({ordered}, i) <> get({ordered}, i - 1))"
+    return f"if(size({ordered}) = 0, cast(array() as array<int>), {starts})"
+
+
 def run_lengths(values: str) -> str:
     """Distinct values with their counts, by sorting: n log n for any text length."""
-    starts = "filter(sequence(0, size(s) - 1), i -> i = 0 or get(s, i) <> get(s, i - 1))"
     runs = (
         "zip_with(st, concat(slice(st, 2, size(st)), array(size(s))),"
         " (a, b) -> named_struct('value', get(s, a), 'cnt', b - a))"
     )
     empty = "cast(array() as array<struct<value: string, cnt: int>>)"
-    return let("s", f"sort_array({values})", f"if(size(s) = 0, {empty}, {let('st', starts, runs)})")
+    return let("s", f"sort_array({values})", f"if(size(s) = 0, {empty}, {let('st', run_starts('s'), runs)})")
 
 
 def repeat_tags(runs: str) -> str:

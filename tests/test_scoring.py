@@ -90,6 +90,20 @@ def test_ngram_counts(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_ngram_counts_of_many_texts_look_runs_up_in_generated_code(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["a", "b", "é", "dd"]) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    texts += ["", "a " * 40, "x y z " * 9, None]
+    # Keys may repeat and be null; a row is a text of its own.
+    df = spark.createDataFrame([(None if i % 9 == 0 else f"k{i % 20}", t) for i, t in enumerate(texts)], "k string, text string")
+    counted = scoring.ngram_counts(scoring.tokenize_text(df, "text"), "k", "tokens")
+    want = [
+        (r.k, n, " ".join(g), c) for r in df.collect() for n in (1, 2, 3, 4) for g, c in grams(r.text or "", n)[0].items()
+    ]
+    assert rows(counted) == sorted(want, key=repr)
+    assert "named_struct(value" not in plan(counted)
+
+
 def test_pass_rate(spark):
     samples = spark.createDataFrame([(1, "m"), (2, "m"), (3, "m")], "sample_id int, model string")
     outcomes = spark.createDataFrame(
