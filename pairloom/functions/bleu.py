@@ -5,7 +5,7 @@ n-grams plus the common tags of repeated ones, both by hash set inside ``array_i
 Arguments are SQL expressions, see ``ngrams``.
 """
 
-from pairloom.functions.ngrams import let, per_order, repeat_tags, run_lengths
+from pairloom.functions.ngrams import extend, let, per_order, repeat_tags, run_lengths
 from pairloom.schemas import BLEU_FLOOR, BLEU_ORDER
 
 # Up to this many common words, looking each token up costs less than joining its n-grams.
@@ -24,21 +24,35 @@ def reference_profile(toks: str, max_n: int = BLEU_ORDER) -> str:
 
 
 def clipped_counts(toks: str, profile: str, max_n: int = BLEU_ORDER) -> str:
-    """Clipped n-gram matches of a hypothesis against a reference profile, one entry per order."""
+    """Clipped n-gram matches of a hypothesis against a reference profile, one entry per order.
 
-    def entry(grams: str, n: int) -> str:
+    Where no n-gram matches, no longer one can, and longer ones are not built.
+    """
+
+    def hits(grams: str, n: int) -> str:
         ref = f"{profile}.orders[{n - 1}]"
         tags = repeat_tags(run_lengths("present"))
         repeats = f"if(size({ref}.tags) = 0, 0, size(array_intersect({tags}, {ref}.tags)))"
-        hits = f"size(array_intersect(present, {ref}.grams)) + {repeats}"
-        return let("present", f"array_compact({grams})", f"if(size(present) = 0, 0, {hits})")
+        found = f"size(array_intersect(present, {ref}.grams)) + {repeats}"
+        return let("present", f"array_compact({grams})", f"if(size(present) = 0, 0, {found})")
 
-    # A token the reference lacks turns every n-gram over it into null.
-    masked = f"transform({toks}, t -> if(array_contains(common, t), t, null))"
+    def level(grams: str, n: int) -> str:
+        if n == max_n:
+            return f"array({hits(grams, n)})"
+        longer = f"g{n + 1}"
+        rest = let(longer, extend(grams, "g1", n + 1), level(longer, n + 1))
+        return let(f"h{n}", hits(grams, n), f"if(h{n} = 0, array_repeat(0, {max_n - n + 1}), concat(array(h{n}), {rest}))")
+
+    # A token the reference lacks turns every n-gram over it into null; one null stands for a run of them.
+    masked = let(
+        "m",
+        f"transform({toks}, t -> if(array_contains(common, t), t, null))",
+        "filter(m, (t, i) -> t is not null or (i > 0 and get(m, i - 1) is not null))",
+    )
     return let(
         "common",
         f"array_intersect({toks}, {profile}.orders[0].grams)",
-        let("g1", f"if(size(common) <= {MASK_LIMIT}, {masked}, {toks})", per_order("g1", max_n, entry)),
+        let("g1", f"if(size(common) <= {MASK_LIMIT}, {masked}, {toks})", level("g1", 1)),
     )
 
 

@@ -9,6 +9,9 @@ WHITESPACE_CLASS = r"[\s\x1c-\x1f\x85\p{Z}]"
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f\x85\p{Z}]"
 # Strings without escapes and whole numbers have one spelling each.
 PLAIN_JSON_PATTERN = r'\A(?:"[^"\\]*"|0|-?[1-9][0-9]*)\z'
+# These and lists or objects are never equal; a fraction of zeros is dropped unparsed while doubles are exact.
+NESTED_JSON_PATTERN = r"\A[\[{]"
+WHOLE_JSON_PATTERN = r"\A(?:0|-?[1-9][0-9]{0,14})\.0+\z"
 JSON_TOKEN_PATTERN = r'"(?:[^"\\]|\\.)*+"|[^\s,:\[\]{}"]+|[,:\[\]{}]'
 
 
@@ -44,6 +47,8 @@ def canonical_json(col: Column) -> Column:
             F.when(tok.startswith('"'), tok)
             .when(tok == "true", F.lit("1"))
             .when(tok == "false", F.lit("0"))
+            # A failing cast raises an exception inside, which costs far more than a pattern.
+            .when(~tok.rlike(r"^-?[0-9]"), tok)
             .when(tok.rlike(r"^-?[0-9]+$") & (tok != "-0"), tok)
             .when(whole, number.cast("bigint").cast("string"))
             .when(number.isNotNull(), number.cast("string"))
@@ -56,10 +61,19 @@ def canonical_json(col: Column) -> Column:
 
 
 def json_equal(left: Column, right: Column) -> Column:
-    """Equality of JSON values. Only pairs that two plain spellings cannot decide are parsed."""
-    plain = left.rlike(PLAIN_JSON_PATTERN) & right.rlike(PLAIN_JSON_PATTERN)
+    """Equality of JSON values. Only what plain spellings cannot decide is parsed."""
+    plain = {side: col.rlike(PLAIN_JSON_PATTERN) for side, col in (("left", left), ("right", right))}
+    apart = (plain["left"] & right.rlike(NESTED_JSON_PATTERN)) | (plain["right"] & left.rlike(NESTED_JSON_PATTERN))
+
+    def spelled(col: Column, known: Column) -> Column:
+        whole = F.when(col.rlike(WHOLE_JSON_PATTERN), F.substring_index(col, ".", 1))
+        # Longer numbers are read as doubles.
+        return F.when(known & (col.startswith('"') | (F.length(col) <= 30)), col).otherwise(
+            F.coalesce(whole, canonical_json(col))
+        )
+
     return (
         F.when(left == right, True)
-        .when(plain, False)
-        .otherwise(canonical_json(left) == canonical_json(right))
+        .when((plain["left"] & plain["right"]) | apart, False)
+        .otherwise(spelled(left, plain["left"]) == spelled(right, plain["right"]))
     )

@@ -5,6 +5,7 @@ from collections import Counter
 
 from conftest import plan, rows
 
+from pairloom.functions.bleu import clipped_counts
 from pairloom.operators import scoring
 
 
@@ -64,6 +65,15 @@ def test_bleu_of_long_near_copies(spark):
     check(spark, [(" ".join(words), " ".join(changed)), (" ".join(words[:50]), " ".join(words))])
 
 
+def test_bleu_stops_at_the_first_order_without_hits(spark):
+    rng = random.Random(11)
+    # Hits of one, two, three and four words between long runs of words that the reference lacks.
+    parts = ["a", "a b", "a b c", "a b c d", "d c", "zz", "yy xx ww", "b b", "c a"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    check(spark, [(r, h) for r in ("a b c d e", "d c b a", "b b b a", "q") for h in texts])
+    assert "if(h1 = 0, array_repeat(0, 4)" in clipped_counts("toks", "p")
+
+
 def test_bleu_of_equal_texts_is_one(spark):
     got = scored(spark, [("the cat sat down", "The cat sat down"), ("a a a a a", "a a a a a")]).collect()
     assert [r.bleu for r in got] == [1.0, 1.0]

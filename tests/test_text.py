@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import one_column, values
+from conftest import plan, one_column, values
 from pyspark.sql import functions as F
 
 from pairloom.functions import text
@@ -82,6 +82,26 @@ def test_json_equality(spark):
         assert (json.loads(a) == json.loads(b)) == want
 
 
+def test_json_equality_parses_and_casts_only_what_needs_it(spark):
+    pairs = [
+        ("12.0", "12", True), ("12.00", "12.0", True), ("-7.0", "-7", True), ("0.0", "0", True), ("-0.0", "0", None),
+        ("123456789012345.0", "123456789012345", True), ("1234567890123456.0", "1234567890123456", True),
+        ("99999999999999999999.0", "99999999999999999999", None), ("1.5", "1.50", True), ("1.0", "10", False),
+        ('"[1]"', "[1]", False), ("[1]", "1", False), ("1", "{}", False), ("[1", '"a"', False), ("[1", "[1", True),
+        ("true", "1.0", True), ("1e999", "1e999", True), ("[-1e999, null]", "[-1e999,null]", None), (" [1]", "[1.0]", True),
+        (None, "[1]", None), ("[1]", None, None), ("nan", "NaN", False), ("1d", "1", False), (" 1", "1", True),
+        ("1" + "0" * 40, "1e40", True), ("1" + "0" * 25, "1" + "0" * 25 + ".0", None), ("100", "1e2", True),
+    ]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    left, right = F.col("a"), F.col("b")
+    # Every pair as if nothing were decided before it is parsed.
+    parsed = F.when(left == right, True).otherwise(text.canonical_json(left) == text.canonical_json(right))
+    for r in df.select("*", text.json_equal(left, right).alias("got"), parsed.alias("parsed")).collect():
+        assert r.got == r.parsed and (r.want is None or r.got == r.want), r
+    cast = plan(spark.range(1).select(text.canonical_json(F.col("id").cast("string"))))
+    assert cast.count("^-?[0-9]") > cast.count("^-?[0-9]+$") > 0
+
+
 def test_json_equality_of_long_values(spark):
     long = json.dumps("\\n\"x\" " * 50_000)
     numbers = json.dumps(list(range(20_000)))
