@@ -176,7 +176,9 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(rows: DataFrame) -> DataFrame:
     """Spanning links of rows with ``task``, ``side``, ``block`` and ``rot``."""
-    dealt = rows.select("task", "side", "block", "rot").repartition("task")
+    # Not by the task itself: rows that come from a join on it are dealt so already, the plan then leaves this step
+    # out, and an adaptive plan may read the join's rows in other parts. A trie cut in parts loses links.
+    dealt = rows.select("task", "side", "block", "rot").repartition(F.xxhash64("task"))
     # As unsigned numbers, so that a trie's ranges are in the order of their bits.
     unsigned = F.col("rot").bitwiseXOR(F.lit(-(1 << 63)))
     return dealt.sortWithinPartitions("task", "side", unsigned).mapInArrow(_walk, "a long, b long")

@@ -9,6 +9,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from pairloom.llm import simhash
+from pairloom.llm.components import Forest
+from pairloom.storage import materialise
 
 
 def brute_fingerprint(text):
@@ -51,6 +53,40 @@ def test_links_span_the_components(spark, leaf):
     assert got == want
 
 
+@pytest.mark.parametrize(
+    "read",
+    [
+        {},
+        {
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.5",
+        },
+    ],
+    ids=["broadcast", "skew"],
+)
+def test_links_span_the_components_however_tries_are_spread(spark, read):
+    """Small tables end in one partition; larger ones do not, and a join on the way may be read in other parts."""
+    held = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", **read}
+    before = {k: spark.conf.get(k, None) for k in held}
+    v = close_values(7, 4000)
+    near = np.bitwise_count(v[:, None] ^ v[None, :]) <= 3
+    try:
+        for k, x in held.items():
+            spark.conf.set(k, x)
+        prints = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long").repartition(8)
+        links = simhash.linked(materialise(prints), 128).collect()
+    finally:
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+    place = {int(x): i for i, x in enumerate(v.view(np.int64))}
+    got, want = Forest(len(v)), Forest(len(v))
+    got.link(np.array([place[a] for a, _ in links]), np.array([place[b] for _, b in links]))
+    want.link(*np.nonzero(near))
+    assert got.root.tolist() == want.root.tolist()
+
+
 def test_documents_equal_brute_force(spark):
     data = [r for r in odd.rows(2) if r[0] is not None]
     prints = [brute_fingerprint(r[1]) for r in data]
